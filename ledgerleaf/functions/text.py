@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -10,6 +12,17 @@ def as_col(value: Column | str) -> Column:
     return F.col(value) if isinstance(value, str) else value
 
 
+def text_array(values: Sequence[str]) -> Column:
+    """Array literal of strings, parsed in one go."""
+    quoted = ", ".join("'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'" for value in values)
+    return F.expr(f"array({quoted})")
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), 0)
+
+
 # Unicode white space plus the four separator controls.
 WHITE_SPACE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007" \
     "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"

@@ -25,25 +25,26 @@ from ledgerleaf.functions.constants import (
     TYPE_KEYWORDS,
     VOTE_WEIGHTS,
 )
-from ledgerleaf.functions.text import as_col, file_suffix, strip
+from ledgerleaf.functions.text import as_col, file_suffix, let, strip, text_array
 from ledgerleaf.operators.generate import generate
 
 Keywords = Mapping[str, Mapping[str, Sequence[str]]]
 
 
-def _literals(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(value) for value in values])
+def _signal(label: Column, confidence: Column) -> Column:
+    return F.struct(label.alias("type"), confidence.alias("confidence"))
 
 
 def _first_best(scores: Mapping[str, Column]) -> Column:
     """(type, confidence) of the highest score; the earlier type wins a tie, no score at all is 'other'."""
-    best = F.greatest(*scores.values())
-    label = F.lit(OTHER_TYPE)
-    for doc_type, score in reversed(list(scores.items())):
-        label = F.when(score == best, doc_type).otherwise(label)
-    return F.when(best > 0, F.struct(label.alias("type"), best.alias("confidence"))).otherwise(
-        F.struct(F.lit(OTHER_TYPE).alias("type"), F.lit(0.0).alias("confidence"))
-    )
+    names = list(scores)
+
+    def pick(values: Column) -> Column:
+        best = F.array_max(values)
+        label = F.element_at(text_array(names), F.array_position(values, best).cast("int"))
+        return F.when(best > 0, _signal(label, best)).otherwise(_signal(F.lit(OTHER_TYPE), F.lit(0.0)))
+
+    return let(F.array(*scores.values()), pick)
 
 
 def folder_signal(path: Column | str, keywords: Keywords = TYPE_KEYWORDS) -> Column:
@@ -68,7 +69,7 @@ def filename_signal(filename: Column | str, path: Column | str, keywords: Keywor
 
     def score(spec: Mapping[str, Sequence[str]]) -> Column:
         hits = F.aggregate(
-            _literals(spec["keywords"]),
+            text_array(spec["keywords"]),
             F.lit(0.0),
             lambda total, word: total
             + F.when(F.contains(name, word), FILENAME_KEYWORD_SCORE).otherwise(0.0)
@@ -85,7 +86,7 @@ def content_signal(lowered_text: Column | str, keywords: Keywords = TYPE_KEYWORD
     text = as_col(lowered_text)
 
     def score(spec: Mapping[str, Sequence[str]]) -> Column:
-        present = F.size(F.filter(_literals(spec["keywords"]), lambda word: F.contains(text, word)))
+        present = F.size(F.filter(text_array(spec["keywords"]), lambda word: F.contains(text, word)))
         return F.least(present * CONTENT_KEYWORD_SCORE, F.lit(1.0))
 
     return _first_best({doc_type: score(spec) for doc_type, spec in keywords.items()})
@@ -93,26 +94,37 @@ def content_signal(lowered_text: Column | str, keywords: Keywords = TYPE_KEYWORD
 
 def vote(folder: Column, filename: Column, content: Column | None = None) -> Column:
     """Weighted vote of the signals; a tie goes to folder before filename before content."""
-    ballots = [
-        (F.when(folder["confidence"] > FOLDER_MIN_CONFIDENCE, folder["type"]), folder["confidence"], "folder"),
-        (filename["type"], filename["confidence"], "filename"),
+
+    def ballot(signal: Column, name: str) -> Column:
+        return F.struct(
+            signal["type"].alias("type"), (signal["confidence"] * VOTE_WEIGHTS[name]).alias("value")
+        )
+
+    cast = [
+        F.when(folder["confidence"] > FOLDER_MIN_CONFIDENCE, ballot(folder, "folder")),
+        ballot(filename, "filename"),
     ]
     if content is not None:
-        ballots.append((content["type"], content["confidence"], "content"))
-    weighted = [(label, confidence * VOTE_WEIGHTS[name]) for label, confidence, name in ballots]
+        cast.append(F.when(content.isNotNull(), ballot(content, "content")))
+
+    def count(ballots: Column) -> Column:
+        totals = F.transform(
+            ballots,
+            lambda one: F.aggregate(
+                ballots,
+                F.lit(0.0),
+                lambda total, other: total + F.when(other["type"] == one["type"], other["value"]).otherwise(0.0),
+            ),
+        )
+
+        def pick(values: Column) -> Column:
+            best = F.array_max(values)
+            winner = F.element_at(ballots, F.array_position(values, best).cast("int"))
+            return _signal(winner["type"], F.least(best, F.lit(1.0)))
 
-    def total(label: Column) -> Column:
-        parts = F.lit(0.0)
-        for other, value in weighted:
-            parts = parts + F.when(other == label, value).otherwise(0.0)
-        return F.when(label.isNotNull(), parts).otherwise(-1.0)
+        return let(totals, pick)
 
-    totals = [total(label) for label, _ in weighted]
-    best = F.greatest(*totals)
-    winner = weighted[-1][0]
-    for (label, _), score in reversed(list(zip(weighted[:-1], totals[:-1]))):
-        winner = F.when(score == best, label).otherwise(winner)
-    return F.struct(winner.alias("type"), F.least(best, F.lit(1.0)).alias("confidence"))
+    return let(F.array_compact(F.array(*cast)), count)
 
 
 def classify(
@@ -142,7 +154,11 @@ def classify(
         ballot = F.when(F.length(content) > 0, F.col("_content"))
     voted = base.withColumn("_vote", vote(F.col("_folder"), F.col("_filename"), ballot))
     return voted.withColumns(
-        {"document_type": F.col("_vote.type"), "classification_confidence": F.col("_vote.confidence")}
+        {
+            # Never NULL, which saves joins on the type from testing for it.
+            "document_type": F.coalesce("_vote.type", F.lit(OTHER_TYPE)),
+            "classification_confidence": F.col("_vote.confidence"),
+        }
     ).drop("_folder", "_filename", "_lowered", "_content", "_vote")
 
 

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions.constants import ANSWER_TOP_K
-from ledgerleaf.session import fits
 
 # Distinct question vectors sent to every task: 1,024 vectors of 1,024 doubles are 8 MB.
 MAX_SHARED_VECTORS = 1024
@@ -165,10 +164,11 @@ def search(
     for by_company in (True, False):
         part = asked.filter(F.col("company_id").isNotNull() if by_company else F.col("company_id").isNull())
         vectors = part.groupBy("_vector").agg(F.any_value("embedding").alias("embedding"))
-        if fits(vectors, max_shared_vectors):
-            shared = vectors.collect()
-            if not shared:
-                continue
+        # One vector more than allowed is enough to know that there are too many.
+        shared = vectors.limit(max_shared_vectors + 1).collect()
+        if not shared:
+            continue
+        if len(shared) <= max_shared_vectors:
             corpus = chunks
             if by_company:
                 corpus = chunks.join(part.select("company_id").distinct(), "company_id", "left_semi")

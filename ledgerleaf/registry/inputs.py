@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import ids
+from ledgerleaf.functions.text import text_array
 from ledgerleaf.operators.chunk import chunk
 from ledgerleaf.operators.classify import classify
 from ledgerleaf.session import spread
@@ -213,11 +214,11 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def letter_embedding(df: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
     """How often each letter a-z occurs: a plain embedder whose results SQL can reproduce."""
     lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    counts = [
-        (F.length("_lowered") - F.length(F.replace(F.col("_lowered"), F.lit(letter), F.lit("")))).cast("double")
-        for letter in "abcdefghijklmnopqrstuvwxyz"
-    ]
-    return df.withColumn("_lowered", lowered).withColumn(out, F.array(*counts)).drop("_lowered")
+    counts = F.transform(
+        text_array("abcdefghijklmnopqrstuvwxyz"),
+        lambda letter: (F.length("_lowered") - F.length(F.replace(F.col("_lowered"), letter, F.lit("")))).cast("double"),
+    )
+    return df.withColumn("_lowered", lowered).withColumn(out, counts).drop("_lowered")
 
 
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

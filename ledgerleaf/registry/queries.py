@@ -469,18 +469,18 @@ def parsed_values(spark, sf_dir):
 
 
 _LONG = (
-    "SELECT metric_id, company_id, document_id, period, metric_name, round(value, 6) AS value, confidence_score FROM "
+    "SELECT metric_id, company_id, document_id, period, metric_name, value, confidence_score FROM "
 )
 
 
 @query("table_metrics", sql(_LONG + "table_metrics", "table_metrics"))
 def table_metrics(spark, sf_dir):
-    return metrics.table_metrics(inputs.cells(spark, sf_dir)).withColumn("value", _r("value"))
+    return metrics.table_metrics(inputs.cells(spark, sf_dir))
 
 
 @query("text_metrics", sql(_LONG + "text_metrics", "text_metrics"))
 def text_metrics(spark, sf_dir):
-    return metrics.text_metrics(spread(inputs.statement_text(spark, sf_dir))).withColumn("value", _r("value"))
+    return metrics.text_metrics(spread(inputs.statement_text(spark, sf_dir)))
 
 
 def _long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -499,7 +499,7 @@ def _wide_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     sql(
         "SELECT metric_id, company_id, document_id, period_start, period_end, confidence_score, "
         + ", ".join(
-            f"CAST({name} AS INT) AS {name}" if name in ("headcount", "active_users") else f"round({name}, 6) AS {name}"
+            f"CAST({name} AS INT) AS {name}" if name in ("headcount", "active_users") else name
             for name in METRIC_COLUMNS
         )
         + " FROM metrics_wide",
@@ -507,20 +507,19 @@ def _wide_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     ),
 )
 def metrics_wide(spark, sf_dir):
-    wide = _wide_metrics(spark, sf_dir)
-    return wide.withColumns({n: _r(n) for n in METRIC_COLUMNS if n not in ("headcount", "active_users")})
+    return _wide_metrics(spark, sf_dir)
 
 
 @query(
     "best_metrics",
     sql(
-        """SELECT company_id, period, metric_name, round(max_by(value, confidence_score || '/' || metric_id), 6) AS value,
+        """SELECT company_id, period, metric_name, max_by(value, confidence_score || '/' || metric_id) AS value,
           max(confidence_score) AS confidence_score FROM metrics_long GROUP BY company_id, period, metric_name""",
         "metrics_long",
     ),
 )
 def best_metrics(spark, sf_dir):
-    return metrics.best_per_period(_long_metrics(spark, sf_dir)).withColumn("value", _r("value"))
+    return metrics.best_per_period(_long_metrics(spark, sf_dir))
 
 
 @query(
@@ -588,7 +587,7 @@ def period_keys(spark, sf_dir):
 @query(
     "financial_summary",
     sql(
-        """SELECT company_id, count(*) AS metric_count, round(avg(revenue), 4) AS avg_revenue, round(avg(burn_rate), 4) AS avg_burn_rate,
+        """SELECT company_id, count(*) AS metric_count, round(avg(revenue), -2) AS avg_revenue, round(avg(burn_rate), 3) AS avg_burn_rate,
           round(avg(runway_months), 6) AS avg_runway FROM metrics_wide GROUP BY company_id""",
         "metrics_wide",
     ),
@@ -596,15 +595,15 @@ def period_keys(spark, sf_dir):
 def financial_summary(spark, sf_dir):
     summary = report.financial_summary(_wide_metrics(spark, sf_dir))
     return summary.withColumns(
-        {"avg_revenue": _r("avg_revenue", 4), "avg_burn_rate": _r("avg_burn_rate", 4), "avg_runway": _r("avg_runway")}
+        {"avg_revenue": _r("avg_revenue", -2), "avg_burn_rate": _r("avg_burn_rate", 3), "avg_runway": _r("avg_runway")}
     )
 
 
 @query(
     "company_metric_profile",
     sql(
-        """SELECT company_id, round(revenue, 4) AS revenue, round(revenue_growth_rate, 6) AS revenue_growth_rate,
-          round(gross_margin, 6) AS gross_margin, round(burn_rate, 4) AS burn_rate, round(runway_months, 6) AS runway_months,
+        """SELECT company_id, round(revenue, -2) AS revenue, round(revenue_growth_rate, 6) AS revenue_growth_rate,
+          round(gross_margin, 6) AS gross_margin, round(burn_rate, 3) AS burn_rate, round(runway_months, 6) AS runway_months,
           round(cac, 6) AS cac, round(ltv, 6) AS ltv, round(ltv_cac_ratio, 6) AS ltv_cac_ratio, CAST(headcount AS INT) AS headcount
         FROM profile""",
         "profile",
@@ -612,9 +611,10 @@ def financial_summary(spark, sf_dir):
 )
 def company_metric_profile(spark, sf_dir):
     profile = score.metric_profile(_wide_metrics(spark, sf_dir))
-    four = ("revenue", "burn_rate")
+    # Revenues reach 1e14, where an average is exact to some cents only.
+    digits = {"revenue": -2, "burn_rate": 3}
     return profile.withColumns(
-        {n: _r(n, 4 if n in four else 6) for n in profile.columns if n not in ("company_id", "headcount")}
+        {n: _r(n, digits.get(n, 6)) for n in profile.columns if n not in ("company_id", "headcount")}
     )
 
 
@@ -720,7 +720,7 @@ _QUESTION_VIEWS = {
     "question_vectors": f"SELECT question_id, company_id, v FROM (SELECT question_id, company_id, {LETTERS.replace('text', 'question')} AS v FROM asked)",
     "found": """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY score DESC, chunk_id) AS rank FROM (
       SELECT q.question_id, c.chunk_id, c.document_id, c.document_type, c.text,
-        round(coalesce(list_cosine_similarity(q.v, c.v), 0), 9) AS score
+        CASE WHEN list_sum(c.v) = 0 THEN 0 ELSE round(list_cosine_similarity(q.v, c.v), 9) END AS score
       FROM question_vectors q JOIN vectors c ON q.company_id IS NULL OR q.company_id = c.company_id)) WHERE rank <= 3""",
 }
 

@@ -1,4 +1,4 @@
-"""Session helpers: shared scratch space, input spreading and size checks."""
+"""Session helpers: shared scratch space and input spreading."""
 
 from __future__ import annotations
 
@@ -40,8 +40,3 @@ def spread(scan: DataFrame) -> DataFrame:
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
-
-
-def fits(df: DataFrame, max_rows: int) -> bool:
-    """Whether a frame has at most ``max_rows`` rows; reads no more than one row beyond that."""
-    return df.limit(max_rows + 1).count() <= max_rows
