@@ -36,10 +36,14 @@ def _seconds_after_start(number: Column) -> Column:
 
 
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest_of(table(spark, sf_dir, "documents"))
+
+
+def manifest_of(documents: DataFrame) -> DataFrame:
     """Documents with company, file name, folder and processing state."""
     doc = F.col("doc_id")
     return (
-        table(spark, sf_dir, "documents")
+        documents
         .withColumn("filename", F.concat(_pick(_TITLES, doc), F.lit("_"), doc.cast("string"), _pick(_EXTENSIONS, doc)))
         .select(
             "doc_id",

@@ -24,9 +24,11 @@ from ledgerleaf.operators import (
     status,
 )
 from ledgerleaf.registry import inputs
-from ledgerleaf.registry.views import IS_PERIOD, LETTERS, METRIC_OF_LABEL, AMOUNT, sql
-from ledgerleaf.session import spread
-from ledgerleaf.sources import files
+from ledgerleaf.registry.views import AMOUNT, BLANKS, IS_PERIOD, LETTERS, METRIC_OF_LABEL, sql
+from ledgerleaf.plans import analyse
+from ledgerleaf.session import scratch_path, spread, stored
+from ledgerleaf.sources import files, parsers
+from ledgerleaf.streaming import incremental
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -494,6 +496,11 @@ def _wide_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.to_wide(_long_metrics(spark, sf_dir)).drop("extracted_at")
 
 
+def _wide_in_millions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Revenues in millions: averages near 1e14 have no exact dollars to print."""
+    return _wide_metrics(spark, sf_dir).withColumn("revenue", F.col("revenue") / 1e6)
+
+
 @query(
     "metrics_wide",
     sql(
@@ -620,7 +627,7 @@ def company_metric_profile(spark, sf_dir):
 
 @query("financial_narrative", sql("SELECT company_id, financial_analysis FROM narrative", "narrative"))
 def financial_narrative(spark, sf_dir):
-    return score.metric_profile(_wide_metrics(spark, sf_dir)).select(
+    return score.metric_profile(_wide_in_millions(spark, sf_dir)).select(
         "company_id", score.financial_narrative().alias("financial_analysis")
     )
 
@@ -694,6 +701,11 @@ def similarity_many_questions(spark, sf_dir):
     return retrieve.search(questions, vectors, k=2, max_shared_vectors=64).withColumn("score", _r("score"))
 
 
+def _chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks as a written table, as retrieval finds them: made once, read for scoring and for the texts."""
+    return stored(inputs.document_chunks(spark, sf_dir), "chunks")
+
+
 # Every company gets two questions; the regions have no documents at all. One question is for all companies.
 _QUESTIONS = ("What are the main risks?", "Who are the target customers?")
 _OPEN_QUESTION = "What is the revenue and growth rate?"
@@ -734,7 +746,7 @@ _QUESTION_VIEWS = {
 )
 def retrieved_chunks(spark, sf_dir):
     found = retrieve.retrieve(
-        _questions(spark, sf_dir), inputs.document_chunks(spark, sf_dir), inputs.letter_embedding, k=3
+        _questions(spark, sf_dir), _chunk_table(spark, sf_dir), inputs.letter_embedding, k=3
     )
     return found.select(
         "question_id", "rank", "chunk_id", "document_type", F.md5("text").alias("text_md5"), _r("score").alias("score")
@@ -752,7 +764,7 @@ def retrieved_chunks(spark, sf_dir):
 )
 def answer_context(spark, sf_dir):
     found = retrieve.retrieve(
-        _questions(spark, sf_dir), inputs.document_chunks(spark, sf_dir), inputs.letter_embedding, k=3
+        _questions(spark, sf_dir), _chunk_table(spark, sf_dir), inputs.letter_embedding, k=3
     )
     return answer.context(found).select(
         "question_id", F.col("num_sources").cast("long").alias("num_sources"), F.md5("context").alias("context_md5")
@@ -767,15 +779,13 @@ _ANSWERED = """SELECT a.question_id, a.company_id, coalesce(n, 0) AS num_sources
 
 
 def _answered(asked: str) -> str:
-    from ledgerleaf.registry.views import BLANKS
-
     return sql(_ANSWERED.format(asked=asked, blanks=BLANKS), "chunk_texts", "companies", extra=_QUESTION_VIEWS)
 
 
 @query("ask_batch", _answered("asked"))
 def ask_batch(spark, sf_dir):
     answered = answer.ask(
-        _questions(spark, sf_dir), inputs.document_chunks(spark, sf_dir), embed=inputs.letter_embedding, k=3
+        _questions(spark, sf_dir), _chunk_table(spark, sf_dir), embed=inputs.letter_embedding, k=3
     )
     return answered.select(
         "question_id", "company_id", F.col("num_sources").cast("long").alias("num_sources"), "answer", "confidence"
@@ -787,7 +797,7 @@ def compare_companies(spark, sf_dir):
     known = inputs.companies(spark, sf_dir).select("company_id")
     unknown = inputs.table(spark, sf_dir, "region").select(ids.company_id("r_name").alias("company_id"))
     compared = answer.compare_companies(
-        _QUESTIONS[0], known.unionByName(unknown), inputs.document_chunks(spark, sf_dir), embed=inputs.letter_embedding, k=3
+        _QUESTIONS[0], known.unionByName(unknown), _chunk_table(spark, sf_dir), embed=inputs.letter_embedding, k=3
     )
     return compared.select(
         "question_id", "company_id", F.col("num_sources").cast("long").alias("num_sources"), "answer", "confidence"
@@ -803,7 +813,7 @@ def compare_companies(spark, sf_dir):
 )
 def source_preview(spark, sf_dir):
     answered = answer.ask(
-        _questions(spark, sf_dir), inputs.document_chunks(spark, sf_dir), embed=inputs.letter_embedding, k=3
+        _questions(spark, sf_dir), _chunk_table(spark, sf_dir), embed=inputs.letter_embedding, k=3
     )
     return answer.source_preview(answered)
 
@@ -1168,3 +1178,167 @@ def duplicate_texts(spark, sf_dir):
 def range_violations(spark, sf_dir):
     broken = quality.violations(inputs.analyses(spark, sf_dir), {"overall_score": (0, 5)})
     return broken.select("analysis_id", "overall_score")
+
+
+# ------------------------------------------------------------------ whole runs
+
+
+def _summary(prompts: list[str]) -> list[str]:
+    """Scripted generator: repeats the first strength, refuses companies that are passed on."""
+    replies = []
+    for prompt in prompts:
+        if "Recommendation: PASS" in prompt:
+            raise ValueError("nothing to say")
+        strength = prompt.split("Strengths:\n- ", 1)[1].split("\n", 1)[0]
+        overview = prompt.split("Overview: ", 1)[1].split("\n", 1)[0]
+        replies.append(f"  {overview} is strong in {strength}. ")
+    return replies
+
+
+@query(
+    "analysis_memo",
+    sql(
+        """SELECT a.company_id, round(overall_score, 6) AS overall_score, recommendation, round(confidence_level, 6) AS confidence_level,
+          market_analysis, competitive_moat, team_assessment, key_risks, coalesce(key_opportunities, '') AS key_opportunities, next_steps,
+          CASE WHEN recommendation = 'pass' THEN 'Investment analysis for ' || a.company_id || '. Overall score: ' || format('{:.1f}', overall_score) || '/10. Recommendation: PASS.'
+               ELSE a.name || ' is strong in ' || top || '.' END AS executive_summary,
+          coalesce(financial_analysis, 'Financial data not available.') AS financial_analysis, coalesce(n, 0) AS documents_analyzed, 'system' AS analyzed_by
+        FROM (SELECT substr(md5('s' || CAST(s.company_id AS VARCHAR)), 1, 16) AS company_id, u.s_name AS name, s.company_id AS k,
+                s.* EXCLUDE (company_id) FROM scored s JOIN supplier u ON u.s_suppkey = s.company_id) a
+        JOIN (SELECT company_id AS k, next_steps FROM next_steps_of) ns USING (k)
+        LEFT JOIN (SELECT company_id AS k, key_opportunities FROM opportunities) o USING (k)
+        JOIN (SELECT company_id AS k, first(dimension || ': ' || format('{:.1f}', score) || '/10' ORDER BY score DESC, ord) AS top FROM dimensions_parsed GROUP BY 1) t USING (k)
+        LEFT JOIN narrative f ON f.company_id = a.company_id
+        LEFT JOIN (SELECT substr(md5('s' || CAST(doc_id % 20 AS VARCHAR)), 1, 16) AS company_id, CAST(count(*) AS INT) AS n FROM documents GROUP BY 1) d ON d.company_id = a.company_id""",
+        "scored", "next_steps_of", "opportunities", "narrative", "dimensions_parsed",
+    ),
+)
+def analysis_memo(spark, sf_dir):
+    def company(column: str) -> Column:
+        return ids.company_id(F.concat(F.lit("s"), F.col(column).cast("string")))
+
+    cards = score.scorecard(_dimensions(spark, sf_dir)).withColumn("company_id", company("company_id"))
+    overviews = inputs.table(spark, sf_dir, "supplier").select(
+        company("s_suppkey").alias("company_id"), F.col("s_name").alias("overview")
+    )
+    documents = inputs.table(spark, sf_dir, "documents").withColumn("owner", F.col("doc_id") % 20).select(
+        company("owner").alias("company_id")
+    )
+    memo = analyse.assemble(
+        analyse.executive_summaries(cards, overviews, _summary), _wide_in_millions(spark, sf_dir), documents
+    )
+    return memo.select(
+        "company_id", _r("overall_score").alias("overall_score"), "recommendation",
+        _r("confidence_level").alias("confidence_level"), "market_analysis", "competitive_moat", "team_assessment",
+        *[F.array_join(name, "|").alias(name) for name in ("key_risks", "key_opportunities", "next_steps")],
+        "executive_summary", "financial_analysis", "documents_analyzed", "analyzed_by",
+    )
+
+
+def _judge(prompts: list[str]) -> list[str]:
+    """Scripted generator: a score that follows from the length of the prompt."""
+    return [
+        '```json\n{"score": %.1f, "reasoning": "%d", "key_findings": []}\n```' % (len(p) * 7 % 101 / 10, len(p))
+        for p in prompts
+    ]
+
+
+@query(
+    "dimension_analysis",
+    sql(
+        """SELECT company_id, dimension, weight, ord, round((n * 7 % 101) / 10, 6) AS score, CAST(n AS VARCHAR) AS reasoning FROM (
+          SELECT company_id, dimension, weight, ord,
+            length('Judge a company''s ' || replace(dimension, '_', ' ') || ' from these answers:' || chr(10) || chr(10)
+              || string_agg('Q: ' || question || chr(10) || 'A: ' || answer, chr(10) || chr(10) ORDER BY question_number))
+            + length(chr(10) || chr(10) || 'Reply with one JSON object: "score" is a number from 0 (poor) over 5 (average) to 10 (excellent), '
+              || '"reasoning" explains it in two or three sentences, "key_findings" lists two or three findings.') AS n
+          FROM answers GROUP BY company_id, dimension, weight, ord)""",
+        "chunk_texts", "companies", "dimension_questions",
+        extra={
+            "vectors": _QUESTION_VIEWS["vectors"],
+            "question_vectors": f"SELECT * EXCLUDE (text), {LETTERS} AS v FROM (SELECT *, question AS text FROM dimension_questions)",
+            "answers": """SELECT company_id, dimension, weight, ord, question_number, question, trim(split_part(text, chr(10), 1), BLANKS) AS answer FROM (
+              SELECT c.company_id, q.dimension, q.weight, q.ord, q.question_number, q.question, c.text, row_number() OVER (PARTITION BY c.company_id, q.dimension, q.question_number
+                ORDER BY CASE WHEN list_sum(c.v) = 0 THEN 0 ELSE round(list_cosine_similarity(q.v, c.v), 9) END DESC, c.chunk_id) AS rank
+              FROM vectors c CROSS JOIN question_vectors q) WHERE rank = 1""".replace("BLANKS", BLANKS),
+        },
+    ),
+)
+def dimension_analysis(spark, sf_dir):
+    chunks = _chunk_table(spark, sf_dir)
+    judged = analyse.judge_dimensions(
+        inputs.companies(spark, sf_dir), chunks, answer.extractive_reply, _judge, inputs.letter_embedding
+    )
+    return judged.select("company_id", "dimension", "weight", "ord", _r("score").alias("score"), "reasoning")
+
+
+@query(
+    "incremental_ingest",
+    sql(
+        """SELECT c.document_type, count(*) AS n_documents, CAST(sum(n) AS BIGINT) AS n_chunks, CAST(sum(chars) AS BIGINT) AS n_chars
+        FROM classified c JOIN (SELECT document_id, count(*) AS n, coalesce(sum(char_count), 0) AS chars FROM chunk_texts GROUP BY 1) USING (document_id)
+        GROUP BY c.document_type""",
+        "classified", "chunk_texts",
+    ),
+)
+def incremental_ingest(spark, sf_dir):
+    target, checkpoint = scratch_path(spark, "ingested"), scratch_path(spark, "offsets")
+    columns = ("document_id", "company_id", "filename", "relative_path", "text")
+    incremental.incremental(
+        spark, f"{sf_dir}/documents*.parquet", "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG",
+        target, checkpoint, lambda rows: inputs.manifest_of(rows).select(*columns),
+    ).awaitTermination()
+    chunks = spark.read.parquet(f"{target}/chunks").groupBy("document_id").agg(
+        F.count("*").alias("n"), F.sum("char_count").alias("chars")
+    )
+    return spark.read.parquet(f"{target}/documents").join(chunks, "document_id").groupBy("document_type").agg(
+        F.count("*").alias("n_documents"), F.sum("n").alias("n_chunks"), F.sum("chars").alias("n_chars")
+    )
+
+
+@query(
+    "text_files",
+    """SELECT source AS company_folder, count(*) AS n_lines, CAST(sum(length(text) + 1) AS BIGINT) AS n_chars
+    FROM documents WHERE source IS NOT NULL GROUP BY source""",
+)
+def text_files(spark, sf_dir):
+    # Documents as lines of text files, one folder per company, then read back as files.
+    base = scratch_path(spark, "texts")
+    lines = inputs.table(spark, sf_dir, "documents").select(
+        F.col("source").alias("company"), F.translate("text", "\r\n", "  ").alias("value")
+    )
+    lines.write.partitionBy("company").text(base)
+    found = files.company_files(spark, base).filter(F.col("file_type") == ".txt")
+    read = parsers.extract(found.withColumn("document_id", F.col("path")))
+    placed = read.join(found.select(F.col("path").alias("document_id"), "company_folder"), "document_id")
+    return placed.groupBy(F.replace(F.col("company_folder"), F.lit("company="), F.lit("")).alias("company_folder")).agg(
+        F.sum(F.col("line_count") - 1).alias("n_lines"), F.sum("char_count").alias("n_chars")
+    )
+
+
+@query(
+    "csv_files",
+    sql(
+        "SELECT company_id, metric_name, count(*) AS n, round(sum(value), 2) AS total FROM table_metrics GROUP BY 1, 2",
+        "table_metrics",
+    ),
+)
+def csv_files(spark, sf_dir):
+    # Statements as CSV files, a folder per company and a column per quarter, then read back as tables.
+    base = scratch_path(spark, "statements")
+    periods = [f"Q{quarter} {year}" for year in range(1992, 2003) for quarter in range(1, 5)]
+    wide = (
+        inputs.cells(spark, sf_dir)
+        .groupBy("company_id", "document_id", "row_label")
+        .agg(*[F.max(F.when(F.col("col_name") == p, F.col("value"))).alias(p) for p in periods])
+        .select(F.col("company_id").alias("company"), F.col("row_label").alias("label"), *[F.col(f"`{p}`") for p in periods])
+    )
+    wide.write.partitionBy("company").option("header", True).csv(base)
+    found = files.company_files(spark, base).filter(F.col("file_type") == ".csv")
+    company = F.replace(F.col("company_folder"), F.lit("company="), F.lit(""))
+    owner = found.select(F.col("path").alias("document_id"), company.alias("company_id"))
+    read = parsers.extract(found.withColumn("document_id", F.col("path")))
+    cells = parsers.extracted_cells(read).join(owner, "document_id")
+    return metrics.table_metrics(cells).groupBy("company_id", "metric_name").agg(
+        F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")
+    )

@@ -365,7 +365,7 @@ FROM (SELECT company_id, list_filter([
   CASE WHEN revenue_growth_rate <> 0 THEN 'Growth rate: ' || format('{:.1f}', revenue_growth_rate * 100) || '%' END,
   CASE WHEN burn_rate <> 0 AND runway_months <> 0 THEN 'Burn rate: $' || format('{:,.0f}', burn_rate) || '/month. Runway: ' || format('{:.1f}', runway_months) || ' months' END,
   CASE WHEN ltv_cac_ratio <> 0 THEN 'LTV/CAC: ' || format('{:.1f}', ltv_cac_ratio) || 'x' END], lambda x: x IS NOT NULL) AS parts
-FROM profile)
+FROM (SELECT * REPLACE (revenue / 1e6 AS revenue) FROM profile))
 """
 
 # View: (SQL, views it needs).
