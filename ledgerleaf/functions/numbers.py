@@ -26,11 +26,13 @@ def suffix_multiplier(suffix: Column | str) -> Column:
 
 def parse_amount(value: Column | str) -> Column:
     """'$1.2M', '(1,234)', '25%', '3b' to a number; anything else to NULL."""
-    bare = F.replace(F.regexp_replace(strip(value), "[$€£,)]", ""), F.lit("("), F.lit("-"))
-    suffix = F.regexp_extract(bare, r"([KkMmBb])$", 1)
-    scaled = _to_double(F.regexp_replace(bare, r"[KkMmBb]$", "")) * suffix_multiplier(suffix)
+    # "(" becomes a minus sign, the other listed characters vanish.
+    bare = F.translate(strip(value), "($€£,)", "-")
+    suffix = F.upper(F.right(bare, F.lit(1)))
+    has_suffix = suffix.isin("K", "M", "B")
+    digits = F.when(has_suffix, F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
     percent = _to_double(F.replace(bare, F.lit("%"), F.lit(""))) / 100.0
-    return F.when(bare.contains("%"), percent).otherwise(scaled)
+    return F.when(bare.contains("%"), percent).otherwise(_to_double(digits) * suffix_multiplier(suffix))
 
 
 def is_period(heading: Column | str, patterns: Iterable[str] = PERIOD_PATTERNS) -> Column:

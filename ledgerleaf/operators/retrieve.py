@@ -67,27 +67,40 @@ def _ranked(candidates: DataFrame, keys: list[str], k: int) -> DataFrame:
     return candidates.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= k)
 
 
-def _search_shared(vectors: list, chunks: DataFrame, k: int, by_company: bool) -> DataFrame:
-    """Score every chunk against few vectors; ``k`` best per vector, and per company if asked. The chunk
-    table itself is not shuffled."""
+def _matrix(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     names = np.array([row["_vector"] for row in vectors], dtype=object)
-    matrix = _unit_rows([row["embedding"] for row in vectors])
+    return names, _unit_rows([row["embedding"] for row in vectors]) if vectors else np.zeros((0, 0))
+
+
+def _search_shared(filtered: list, unfiltered: list, chunks: DataFrame, k: int) -> DataFrame:
+    """Score every chunk against few vectors, in one pass over the chunks and without shuffling them.
+
+    Gives ``_vector, _scope, rank, chunk_id, score``: the ``k`` best of each company for the filtered
+    vectors, and the ``k`` best of all, with scope '', for the others.
+    """
+    of_company, of_all = _matrix(filtered), _matrix(unfiltered)
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             if len(batch) == 0:
                 continue
             ids = batch["chunk_id"].to_numpy()
-            company = batch["company_id"].to_numpy()
-            groups = pd.factorize(batch["company_id"])[0] if by_company else np.zeros(len(batch), dtype=np.int64)
-            best = _best_per_batch(ids, _unit_rows(batch["embedding"].tolist()), matrix, names, groups, k)
-            row = best.pop("_row").to_numpy()
-            yield best.assign(chunk_id=ids[row], company_id=company[row])
+            data = _unit_rows(batch["embedding"].tolist())
+            codes, names = pd.factorize(batch["company_id"], use_na_sentinel=False)
+            companies = np.array([None if pd.isna(name) else name for name in names], dtype=object)
+            if filtered:
+                best = _best_per_batch(ids, data, of_company[1], of_company[0], codes, k)
+                row = best.pop("_row").to_numpy()
+                yield best.assign(_scope=companies[codes[row]], chunk_id=ids[row])
+            if unfiltered:
+                best = _best_per_batch(ids, data, of_all[1], of_all[0], np.zeros(len(ids), dtype=np.int64), k)
+                row = best.pop("_row").to_numpy()
+                yield best.assign(_scope="", chunk_id=ids[row])
 
     candidates = chunks.select("chunk_id", "company_id", "embedding").mapInPandas(
-        score, "_vector string, score double, chunk_id string, company_id string"
+        score, "_vector string, score double, _scope string, chunk_id string"
     )
-    return _ranked(candidates, ["_vector", "company_id"] if by_company else ["_vector"], k)
+    return _ranked(candidates, ["_vector", "_scope"], k)
 
 
 def _blocks(rows: DataFrame, key: str, scope: str, salt: Column) -> DataFrame:
@@ -160,28 +173,26 @@ def search(
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "company_id", "embedding").withColumn(
         "_vector", F.md5(F.to_json("embedding"))
     )
-    parts = []
-    for by_company in (True, False):
-        part = asked.filter(F.col("company_id").isNotNull() if by_company else F.col("company_id").isNull())
-        vectors = part.groupBy("_vector").agg(F.any_value("embedding").alias("embedding"))
-        # One vector more than allowed is enough to know that there are too many.
-        shared = vectors.limit(max_shared_vectors + 1).collect()
-        if not shared:
-            continue
-        if len(shared) <= max_shared_vectors:
-            corpus = chunks
-            if by_company:
-                corpus = chunks.join(part.select("company_id").distinct(), "company_id", "left_semi")
-            best = _search_shared(shared, corpus, k, by_company)
-            keys = ["_vector", "company_id"] if by_company else ["_vector"]
-            found = best if by_company else best.drop("company_id")
-            parts.append(part.select("query_id", *keys).join(found, keys).select("query_id", "rank", "chunk_id", "score"))
-        else:
-            best = _search_blocks(part, chunks, k, by_company, salts)
-            parts.append(best.select("query_id", "rank", "chunk_id", "score"))
-    if not parts:
-        return chunks.sparkSession.createDataFrame([], "query_id string, rank int, chunk_id string, score double")
-    return parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
+    # One vector more than allowed is enough to know that there are too many.
+    has_company = F.col("company_id").isNotNull()
+    vectors = (
+        asked.groupBy("_vector", has_company.alias("_filtered"))
+        .agg(F.any_value("embedding").alias("embedding"))
+        .limit(max_shared_vectors + 1)
+        .collect()
+    )
+    if len(vectors) <= max_shared_vectors:
+        filtered = [row for row in vectors if row["_filtered"]]
+        unfiltered = [row for row in vectors if not row["_filtered"]]
+        corpus = chunks
+        if not unfiltered:
+            corpus = chunks.join(asked.select("company_id").distinct(), "company_id", "left_semi")
+        best = _search_shared(filtered, unfiltered, corpus, k)
+        scoped = asked.withColumn("_scope", F.coalesce("company_id", F.lit("")))
+        return scoped.join(best, ["_vector", "_scope"]).select("query_id", "rank", "chunk_id", "score")
+    of_company = _search_blocks(asked.filter(has_company), chunks, k, True, salts)
+    of_all = _search_blocks(asked.filter(~has_company), chunks, k, False, salts)
+    return of_company.unionByName(of_all).select("query_id", "rank", "chunk_id", "score")
 
 
 def retrieve(

@@ -85,11 +85,11 @@ def companies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statement tables in long form: one per supplier, one column per quarter."""
     item = table(spark, sf_dir, "lineitem")
-    quarter = F.concat(
-        F.lit("Q"), F.quarter("l_shipdate").cast("string"), F.lit(" "), F.year("l_shipdate").cast("string")
-    )
-    quarters = item.groupBy(F.col("l_suppkey").alias("s"), quarter.alias("period")).agg(
-        F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.count("*").alias("n")
+    per_quarter = item.groupBy(
+        F.col("l_suppkey").alias("s"), F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q")
+    ).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.count("*").alias("n"))
+    quarters = per_quarter.withColumn(
+        "period", F.concat(F.lit("Q"), F.col("q").cast("string"), F.lit(" "), F.col("y").cast("string"))
     )
     n = F.col("n").cast("string")
     values = (
