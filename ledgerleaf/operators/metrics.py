@@ -6,7 +6,6 @@ confidence_score``, one row per metric, so that they can be united and turned wi
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable, Iterable, Mapping, Sequence
 from functools import reduce
 
@@ -115,28 +114,11 @@ def _number_form(spec: Mapping[str, str]) -> tuple[str, str]:
     return r"(\d+(?:\.\d+)?)", spec["after"]
 
 
-def _upper_pattern(pattern: str) -> str:
-    """The pattern for upper-case text; classes such as ``\\s`` stay as they are."""
-    return re.sub(r"(?<!\\)[a-z]", lambda letter: letter.group().upper(), pattern)
-
-
-def _fold(upper: str) -> Column:
-    """Upper-case text in which the two letters that upper case leaves apart equal their ASCII forms.
-
-    Searching folded text with plain patterns finds what a case-insensitive search would, several times
-    faster.
-    """
-    text = F.col(upper)
-    return F.when(text.contains("\u0130") | text.contains("\u212a"), F.translate(text, "\u0130\u212a", "IK")).otherwise(
-        text
-    )
-
-
 def _matches(name: str, spec: Mapping) -> Column:
-    """Array of all matches of one pattern in ``_upper``. The text is searched once, and only if a stem
-    occurs; the groups are taken from the short matches."""
+    """Array of all matches of one pattern in ``_text``. The text is searched once, and only if a stem
+    occurs in ``_upper``; the groups are taken from the short matches."""
     number, after = _number_form(spec)
-    pattern = "(?U)" + _upper_pattern(rf"(?:{spec['names']})[\s:]+{number}{after}")
+    pattern = rf"(?iU)(?:{spec['names']})[\s:]+{number}{after}"
 
     def record(match: Column, ordinal: Column) -> Column:
         return F.struct(
@@ -144,10 +126,10 @@ def _matches(name: str, spec: Mapping) -> Column:
             F.lit(spec["column"]).alias("metric_name"),
             ordinal.alias("ordinal"),
             F.regexp_extract(match, pattern, 1).alias("number"),
-            F.regexp_extract(match, pattern, 2).alias("after"),
+            F.upper(F.regexp_extract(match, pattern, 2)).alias("after"),
         )
 
-    found = F.transform(F.regexp_extract_all("_upper", F.lit(pattern), F.lit(0)), record)
+    found = F.transform(F.regexp_extract_all("_text", F.lit(pattern), F.lit(0)), record)
     stems = [F.col("_upper").contains(stem) for stem in spec.get("stems", ())]
     if not stems:
         return found
@@ -164,8 +146,8 @@ def text_metrics(
 
     Values are in base units: K/M/B applied, runway in months, margins as fractions.
     """
-    searched = documents.select("company_id", "document_id", F.upper(text).alias("_raw")).withColumn(
-        "_upper", _fold("_raw")
+    searched = documents.select("company_id", "document_id", F.col(text).alias("_text")).withColumn(
+        "_upper", F.upper("_text")
     )
     found = F.concat(*[_matches(name, spec) for name, spec in patterns.items()])
     unit = F.col("_m.after")
