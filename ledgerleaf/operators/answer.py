@@ -11,6 +11,7 @@ from ledgerleaf.functions.constants import ANSWER_TOP_K, NO_ANSWER
 from ledgerleaf.functions.text import as_col, strip
 from ledgerleaf.operators.generate import Generator, extractive_reply, generate
 from ledgerleaf.operators.retrieve import Embedder, hashed_embedding, retrieve
+from ledgerleaf.session import stored
 
 
 def context(retrieved: DataFrame) -> DataFrame:
@@ -77,6 +78,8 @@ def ask(
     prompted = questions.join(contexts, "question_id", "left").withColumn(
         "_prompt", F.when(F.col("context").isNotNull(), answer_prompt("question", "context"))
     )
+    # Read for the prompts and again for the answers: the search runs once.
+    prompted = stored(prompted, "prompts")
     answered = generate(prompted, "_prompt", fn, "_reply", "error")
     has_sources = F.col("context").isNotNull()
     empty = F.array().cast("array<struct<document_id:string,document_type:string,text:string,score:double>>")

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ledgerleaf.session import stored
+
 Generator = Callable[[list[str]], list[str]]
 
 
@@ -37,7 +39,9 @@ def generate(
     """Add ``reply`` and ``error`` columns. ``fn`` maps a list of prompts to as many replies.
 
     With ``distinct`` equal prompts are asked once: the group-by combines copies before its shuffle,
-    so a prompt repeated in a third of all rows costs one call and one row.
+    so a prompt repeated in a third of all rows costs one call and one row. The replies are written to the
+    shared folder at once, so that no later step and no lost executor asks again. Without ``distinct``
+    nothing is written; store the result yourself if it is read more than once.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -59,7 +63,7 @@ def generate(
         prompts = (
             keyed.filter(F.col(prompt).isNotNull()).groupBy("_key").agg(F.any_value(F.col(prompt)).alias("_text"))
         )
-        return keyed.join(prompts.mapInPandas(ask, schema), "_key", "left").drop("_key")
+        return keyed.join(stored(prompts.mapInPandas(ask, schema), "replies"), "_key", "left").drop("_key")
 
     fields = [field for field in df.schema.fields if field.name not in (reply, error)]
     names = [field.name for field in fields]

@@ -13,13 +13,15 @@ import numpy as np
 import pandas as pd
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions.constants import ANSWER_TOP_K
 
 # Distinct question vectors sent to every task: 1,024 vectors of 1,024 doubles are 8 MB.
 MAX_SHARED_VECTORS = 1024
+# Company ids of at most this many asked companies are broadcast to filter the chunks.
+MAX_SHARED_COMPANIES = 10_000
 _DIGITS = 9
 _BLOCK_ROWS = 256
 
@@ -103,8 +105,8 @@ def _search_shared(filtered: list, unfiltered: list, chunks: DataFrame, k: int)
     return _ranked(candidates, ["_vector", "_scope"], k)
 
 
-def _blocks(rows: DataFrame, key: str, scope: str, salt: Column) -> DataFrame:
-    """Rows packed into blocks of at most 256 of one scope: ``_scope, _salt, ids, data``."""
+def _blocks(rows: DataFrame, key: str) -> DataFrame:
+    """Rows packed into blocks of at most 256 of one scope: ``_scope, ids, data``."""
 
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -116,26 +118,40 @@ def _blocks(rows: DataFrame, key: str, scope: str, salt: Column) -> DataFrame:
                         {"_scope": [name], "ids": [block["_key"].tolist()], "data": [data.tobytes()]}
                     )
 
-    packed = rows.select(
-        F.col(key).cast("string").alias("_key"), F.coalesce(F.col(scope), F.lit("")).alias("_scope"), "embedding"
-    ).mapInPandas(pack, "_scope string, ids array<string>, data binary")
-    return packed.withColumn("_salt", salt)
+    return rows.select(F.col(key).cast("string").alias("_key"), "_scope", "embedding").mapInPandas(
+        pack, "_scope string, ids array<string>, data binary"
+    )
 
 
-def _search_blocks(queries: DataFrame, chunks: DataFrame, k: int, by_company: bool, salts: int) -> DataFrame:
-    """Many vectors: blocks of chunks meet blocks of questions of the same company.
+def _search_blocks(queries: DataFrame, chunks: DataFrame, k: int, rows_per_task: int) -> DataFrame:
+    """Many vectors: blocks of chunks meet blocks of questions with the same ``_scope``.
 
-    Chunk blocks of one company go to ``salts`` different keys and question blocks to all of them, so a
-    company with a third of all chunks is still worked on by ``salts`` tasks. Only the ``k`` best of a
-    pair of blocks leave it.
+    Scopes with more than ``rows_per_task`` chunks are split: their chunk blocks go to as many keys as
+    their size asks for and their question blocks to all of these. There are at most
+    total / ``rows_per_task`` such scopes, which bounds the table that is broadcast. Only the ``k`` best
+    of a pair of blocks leave it.
     """
-    scope = "company_id" if by_company else "_all"
-    chunk_blocks = _blocks(
-        chunks.withColumn("_all", F.lit("")), "chunk_id", scope, F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int")
+    sizes = chunks.groupBy("_scope").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > rows_per_task)
+    split = F.broadcast(
+        sizes.select("_scope", F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts"))
+    )
+    parts = F.coalesce("_parts", F.lit(1))
+    chunk_blocks = (
+        _blocks(chunks, "chunk_id")
+        .join(split, "_scope", "left")
+        .withColumn("_part", F.pmod(F.xxhash64("ids"), parts).cast("int"))
+        .drop("_parts")
+    )
+    query_blocks = (
+        _blocks(queries, "query_id")
+        .join(split, "_scope", "left")
+        .select(
+            "_scope",
+            F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"),
+            F.col("ids").alias("query_ids"),
+            F.col("data").alias("query_data"),
+        )
     )
-    query_blocks = _blocks(
-        queries.withColumn("_all", F.lit("")), "query_id", scope, F.explode(F.sequence(F.lit(0), F.lit(salts - 1)))
-    ).select("_scope", "_salt", F.col("ids").alias("query_ids"), F.col("data").alias("query_data"))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -149,11 +165,11 @@ def _search_blocks(queries: DataFrame, chunks: DataFrame, k: int, by_company: bo
                 yield best.rename(columns={"_vector": "query_id"}).assign(chunk_id=ids[row])
 
     candidates = (
-        chunk_blocks.join(query_blocks, ["_scope", "_salt"])
+        chunk_blocks.join(query_blocks, ["_scope", "_part"])
         .select("ids", "data", "query_ids", "query_data")
         .mapInPandas(score, "query_id string, score double, chunk_id string")
     )
-    return _ranked(candidates, ["query_id"], k)
+    return _ranked(candidates, ["query_id"], k).select("query_id", "rank", "chunk_id", "score")
 
 
 def search(
@@ -161,20 +177,21 @@ def search(
     chunks: DataFrame,
     k: int = ANSWER_TOP_K,
     max_shared_vectors: int = MAX_SHARED_VECTORS,
-    salts: int = 32,
+    max_shared_companies: int = MAX_SHARED_COMPANIES,
+    rows_per_task: int = 500_000,
 ) -> DataFrame:
     """``query_id, rank, chunk_id, score`` of the ``k`` chunks most similar to each question.
 
     ``queries`` has ``query_id, company_id, embedding``, ``chunks`` has ``chunk_id, company_id, embedding``.
     A question with a company sees that company's chunks only, one without sees all. The same vector asked
     of many companies counts once: up to ``max_shared_vectors`` distinct ones go to the chunks, more of
-    them meet the chunks in a join of blocks.
+    them meet the chunks in a join of blocks. Both ways give the same rows.
     """
-    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "company_id", "embedding").withColumn(
-        "_vector", F.md5(F.to_json("embedding"))
+    has_company = F.col("company_id").isNotNull()
+    asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "company_id", "embedding").withColumns(
+        {"_vector": F.md5(F.to_json("embedding")), "_scope": F.coalesce("company_id", F.lit(""))}
     )
     # One vector more than allowed is enough to know that there are too many.
-    has_company = F.col("company_id").isNotNull()
     vectors = (
         asked.groupBy("_vector", has_company.alias("_filtered"))
         .agg(F.any_value("embedding").alias("embedding"))
@@ -186,13 +203,18 @@ def search(
         unfiltered = [row for row in vectors if not row["_filtered"]]
         corpus = chunks
         if not unfiltered:
-            corpus = chunks.join(asked.select("company_id").distinct(), "company_id", "left_semi")
+            companies = asked.select("company_id").distinct()
+            # Few companies: other chunks are left out early. Many: the filter would cost a shuffle of all
+            # embeddings and the last join drops what nobody asked for anyway.
+            if companies.limit(max_shared_companies + 1).count() <= max_shared_companies:
+                corpus = chunks.join(F.broadcast(companies), "company_id", "left_semi")
         best = _search_shared(filtered, unfiltered, corpus, k)
-        scoped = asked.withColumn("_scope", F.coalesce("company_id", F.lit("")))
-        return scoped.join(best, ["_vector", "_scope"]).select("query_id", "rank", "chunk_id", "score")
-    of_company = _search_blocks(asked.filter(has_company), chunks, k, True, salts)
-    of_all = _search_blocks(asked.filter(~has_company), chunks, k, False, salts)
-    return of_company.unionByName(of_all).select("query_id", "rank", "chunk_id", "score")
+        return asked.join(best, ["_vector", "_scope"]).select("query_id", "rank", "chunk_id", "score")
+    of_company = chunks.filter(has_company).withColumn("_scope", F.col("company_id"))
+    of_all = chunks.withColumn("_scope", F.lit(""))
+    return _search_blocks(asked.filter(has_company), of_company, k, rows_per_task).unionByName(
+        _search_blocks(asked.filter(~has_company), of_all, k, rows_per_task)
+    )
 
 
 def retrieve(

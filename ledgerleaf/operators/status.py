@@ -16,8 +16,9 @@ def work_list(documents: DataFrame) -> DataFrame:
 
 
 def new_rows(arrived: DataFrame, existing: DataFrame, key: str) -> DataFrame:
-    """Arrived rows with a key not seen before, one of each. Copies are combined before the shuffle."""
-    return arrived.join(existing.select(key), key, "left_anti").dropDuplicates([key]).select(*arrived.columns)
+    """Arrived rows with a key not seen before, one of each. Copies are combined before the shuffle, which
+    the join then shares."""
+    return arrived.dropDuplicates([key]).join(existing.select(key), key, "left_anti").select(*arrived.columns)
 
 
 def upsert_companies(existing: DataFrame, arrived: DataFrame) -> DataFrame:

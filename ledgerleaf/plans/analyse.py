@@ -58,7 +58,7 @@ def judge_dimensions(
         .withColumn("_prompt", dimension_prompt(F.col("dimension"), F.col("_questions")))
         .drop("_questions")
     )
-    judged = generate(prompts, "_prompt", judge_fn, "reply", "_error")
+    judged = generate(stored(prompts, "dimensions"), "_prompt", judge_fn, "reply", "_error")
     return score.parse_dimensions(judged.drop("_prompt", "_error"))
 
 
@@ -140,7 +140,7 @@ def analyse(
     overview = answer.compare_companies(
         OVERVIEW_QUESTION, companies, chunks, answer_fn, embed, OVERVIEW_TOP_K, embeddings
     ).select("company_id", F.col("answer").alias("overview"))
-    cards = executive_summaries(score.scorecard(dimensions), overview, summary_fn)
+    cards = executive_summaries(stored(score.scorecard(dimensions), "scorecards"), overview, summary_fn)
     return assemble(cards, metrics_wide, documents, analyzed_at)
 
 

@@ -15,12 +15,21 @@ from ledgerleaf.sources import files
 
 
 def classified_folder(
-    spark: SparkSession, base: str, companies: DataFrame, storage: str | None = None, hash_content: bool = False
+    spark: SparkSession,
+    base: str,
+    companies: DataFrame,
+    storage: str | None = None,
+    hash_content: bool = False,
+    with_content: bool = False,
 ) -> DataFrame:
-    """Classified ``documents`` rows of all files below ``<base>/<folder>/`` for ``companies`` (``folder, name``)."""
+    """Classified ``documents`` rows of all files below ``<base>/<folder>/`` for ``companies`` (``folder, name``).
+
+    ``with_content`` adds the bytes, as ``process_documents`` takes them. Id, company and type all follow
+    from the path, so bytes are parsed where they are read.
+    """
     known = companies.select(F.col("folder").alias("company_folder"), ids.company_id("name").alias("_company"))
     found = files.company_files(spark, base).join(known, "company_folder")
-    documents = classify(files.manifest(found, "_company", hash_content=hash_content))
+    documents = classify(files.manifest(found, "_company", hash_content=hash_content, with_content=with_content))
     if storage is None:
         return documents
     placed = storage_paths(documents, storage)

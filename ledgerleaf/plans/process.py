@@ -16,68 +16,62 @@ from ledgerleaf.sinks import tables
 from ledgerleaf.sources import parsers
 
 
-def read_contents(documents: DataFrame, base: str) -> DataFrame:
-    """``document_id, content`` of documents whose files lie below ``base``.
+# Ids of at most this many unprocessed documents are broadcast to pick their files.
+MAX_SHARED_DOCUMENTS = 100_000
 
-    The join on the path comes before the bytes are used, so files of other documents are not parsed.
-    """
-    files = (
-        documents.sparkSession.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .option("ignoreCorruptFiles", "true")
-        .load(base)
-    )
-    return documents.select("document_id", "file_path").join(
-        files.select(F.col("path").alias("file_path"), "content"), "file_path"
-    ).select("document_id", "content")
+
+def files_to_do(files: DataFrame, todo: DataFrame, max_shared: int = MAX_SHARED_DOCUMENTS) -> DataFrame:
+    """Files of the work list. File bytes are never shuffled: a short list is broadcast; with a long one all
+    files are parsed, and the keyed appends leave out what was stored before."""
+    listed = todo.select("document_id")
+    if listed.limit(max_shared + 1).count() > max_shared:
+        return files
+    return files.join(F.broadcast(listed), "document_id", "left_semi")
 
 
 def document_metrics(
-    extracted: DataFrame, documents: DataFrame, fn: Generator | None = None, document_type: str = "financial"
+    extracted: DataFrame, fn: Generator | None = None, document_type: str = "financial"
 ) -> DataFrame:
     """Long metrics of the financial documents: from tables, prose and, with ``fn``, a text generator."""
-    known = documents.filter(F.col("document_type") == document_type).select("document_id", "company_id")
-    texts = extracted.filter("success").join(known, "document_id").select(
-        "document_id", "company_id", F.col("full_text").alias("text")
-    )
-    cells = parsers.extracted_cells(extracted).join(known, "document_id")
-    parts = [metrics.table_metrics(cells), metrics.text_metrics(texts)]
+    financial = extracted.filter(F.col("success") & (F.col("document_type") == document_type))
+    texts = financial.select("document_id", "company_id", F.col("full_text").alias("text"))
+    parts = [metrics.table_metrics(parsers.extracted_cells(financial)), metrics.text_metrics(texts)]
     if fn is not None:
         parts.append(metrics.model_metrics(texts, fn))
     return metrics.combine(*parts)
 
 
-def document_chunks(
-    extracted: DataFrame, documents: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP
-) -> DataFrame:
+def document_chunks(extracted: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
     """Chunks of the readable documents, with company, type and section."""
     texts = extracted.filter("success").select(
-        "document_id", "page_count", "has_tables", F.col("full_text").alias("text"), heading_offsets("full_text").alias("headings")
+        "document_id", "company_id", "document_type", "page_count", "has_tables", F.col("full_text").alias("text"),
+        heading_offsets("full_text").alias("headings"),
     )
-    cut = chunk(texts.join(documents.select("document_id", "company_id", "document_type"), "document_id"), size=size, overlap=overlap)
-    return add_section_title(cut).withColumn("created_at", F.current_timestamp())
+    return add_section_title(chunk(texts, size=size, overlap=overlap)).withColumn("created_at", F.current_timestamp())
 
 
 def process_documents(
     spark: SparkSession,
     database: str,
-    contents: DataFrame,
+    files: DataFrame,
     parser_registry: dict[str, parsers.Parser] | None = None,
     fn: Generator | None = None,
     embed: retrieve.Embedder = retrieve.hashed_embedding,
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
 ) -> DataFrame:
-    """Process the unprocessed documents; ``contents`` gives their bytes (``document_id, content``).
+    """Process the unprocessed documents among ``files`` (``document_id, company_id, document_type, file_type,
+    content``, see ``classified_folder``).
 
-    Extracted documents are written to the shared folder once and read by each of the following steps.
-    Chunks and metrics are saved before the status, so a run that breaks off is simply repeated: what was
-    saved is recognised by its ids. Returns the run's summary.
+    Files are parsed where they are read. The texts are written to the shared folder once and read by each of
+    the following steps, none of which shuffles them. Chunks and metrics are saved before the status, so a
+    run that breaks off is simply repeated: what was saved is recognised by its ids. Returns the run's summary.
     """
     todo = work_list(spark.table(f"{database}.documents"))
-    extracted = stored(parsers.extract(todo.join(contents, "document_id"), parser_registry), "extracted")
-    chunks = stored(document_chunks(extracted, todo, size, overlap), "chunks")
-    found = stored(metrics.to_wide(document_metrics(extracted, todo, fn)), "metrics")
+    picked = files_to_do(files, todo)
+    extracted = stored(parsers.extract(picked, parser_registry, keep=("company_id", "document_type")), "extracted")
+    chunks = stored(document_chunks(extracted, size, overlap), "chunks")
+    found = stored(metrics.to_wide(document_metrics(extracted, fn)), "metrics")
 
     tables.append_new(chunks, f"{database}.document_chunks")
     tables.append_new(found, f"{database}.financial_metrics")

@@ -64,7 +64,11 @@ def company_files(spark: SparkSession, base: str, **options) -> DataFrame:
 
 
 def manifest(
-    files: DataFrame, company_id: Column | str, uploaded_at: Column | None = None, hash_content: bool = False
+    files: DataFrame,
+    company_id: Column | str,
+    uploaded_at: Column | None = None,
+    hash_content: bool = False,
+    with_content: bool = False,
 ) -> DataFrame:
     """Unclassified ``documents`` rows of scanned files.
 
@@ -87,6 +91,7 @@ def manifest(
         "file_size_bytes",
         F.lit(False).alias("processed"),
         (F.current_timestamp() if uploaded_at is None else uploaded_at).alias("uploaded_at"),
+        *(["content"] if with_content else []),
     )
 
 

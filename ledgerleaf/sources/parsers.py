@@ -10,12 +10,11 @@ import csv
 import io
 import re
 import zipfile
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from xml.etree import ElementTree
 
 import pandas as pd
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf import schemas
@@ -184,15 +183,16 @@ _DEFAULTS = {"has_tables": False, "has_charts": False, "table_count": 0}
 def extract(
     files: DataFrame,
     parsers: dict[str, Parser] | None = None,
-    document_id: Column | str = "document_id",
-    file_type: str = "file_type",
-    content: str = "content",
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Text, counts and cells of files (``schemas.EXTRACTED``), one row per file.
 
-    A file that cannot be parsed becomes a row with ``success = false`` and its ``error``.
+    ``files`` has ``document_id, file_type, content``. String columns in ``keep`` are passed on, which saves
+    joining texts with them later. A file that cannot be parsed becomes a row with ``success = false`` and
+    its ``error``.
     """
     registry = PARSERS if parsers is None else {**PARSERS, **parsers}
+    names = [*keep, *_COLUMNS]
 
     def parse_one(key: str, extension: str, data: bytes) -> dict:
         row = dict.fromkeys(_COLUMNS) | {"document_id": key, "success": False}
@@ -205,19 +205,22 @@ def extract(
         return row | _DEFAULTS | parsed | {"success": True, "char_count": len(parsed["full_text"])}
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        counts = {name: "Int32" for name in _COLUMNS if name.endswith("_count") or name == "total_rows"}
         for batch in batches:
             # One frame per file, so that the parsed form of only one file is held at a time.
-            for key, extension, data in zip(batch["document_id"], batch["file_type"], batch["content"]):
-                yield pd.DataFrame([parse_one(key, extension, data)], columns=_COLUMNS).astype(
-                    {name: "Int32" for name in _COLUMNS if name.endswith("_count") or name == "total_rows"}
-                )
+            for values in batch.itertuples(index=False, name=None):
+                row = dict(zip(batch.columns, values))
+                parsed = parse_one(row["document_id"], row["_type"], row["content"])
+                kept = {name: row[name] for name in keep}
+                yield pd.DataFrame([kept | parsed], columns=names).astype(counts)
 
-    key = F.col(document_id) if isinstance(document_id, str) else document_id
-    return files.select(
-        key.alias("document_id"), F.lower(file_type).alias("file_type"), F.col(content).alias("content")
-    ).mapInPandas(parse, schemas.EXTRACTED)
+    passed = "".join(f"`{name}` STRING, " for name in keep)
+    return files.select("document_id", F.lower("file_type").alias("_type"), "content", *keep).mapInPandas(
+        parse, passed + schemas.EXTRACTED
+    )
 
 
 def extracted_cells(extracted: DataFrame) -> DataFrame:
     """Cells of all tables in long form."""
-    return extracted.filter("success").select("document_id", F.inline("cells"))
+    kept = [name for name in extracted.columns if name in ("company_id", "document_type")]
+    return extracted.filter("success").select("document_id", *kept, F.inline("cells"))

@@ -1,10 +1,12 @@
 """Incremental processing: newly arrived documents run through the batch operators as micro-batches.
 
-The stream's checkpoint remembers which input was taken; keyed appends make a repeated batch harmless.
+The stream's checkpoint remembers which input was taken; document ids and one partition per batch make
+repeated deliveries and repeated batches harmless.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,28 +20,30 @@ from ledgerleaf.operators.classify import classify
 DocumentsOf = Callable[[DataFrame], DataFrame]
 
 
-def _missing(rows: DataFrame, path: str, key: str) -> DataFrame:
-    """Rows not yet stored at ``path``, one per key."""
-    spark = rows.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    single = rows.dropDuplicates([key])
-    if not hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop):
-        return single
-    return single.join(spark.read.schema(rows.schema).parquet(path).select(key), key, "left_anti").select(*rows.columns)
+def _stored_ids(spark: SparkSession, path: str, label: str) -> DataFrame | None:
+    """Ids of the documents stored by other batches, or None before the first."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        return None
+    stored = spark.read.schema("document_id STRING, batch STRING").parquet(path)
+    return stored.filter(F.col("batch") != label).select("document_id")
 
 
-def process_batch(arrived: DataFrame, target: str) -> None:
+def process_batch(arrived: DataFrame, target: str, label: str) -> None:
     """Classify, chunk and measure a batch of ``document_id, company_id, filename, relative_path, text``.
 
-    Documents are stored last: a batch that breaks off is taken again as a whole, and what it had
-    already stored is left out.
+    Documents that another batch has stored are left out. Each batch owns the partition ``batch=<label>`` of
+    every table and overwrites it, so a batch that broke off is repeated without checking chunk by chunk.
     """
-    batch = _missing(classify(arrived), f"{target}/documents", "document_id").persist()
+    fresh = arrived.dropDuplicates(["document_id"])
+    known = _stored_ids(arrived.sparkSession, f"{target}/documents", label)
+    if known is not None:
+        fresh = fresh.join(known, "document_id", "left_anti")
+    batch = classify(fresh).persist()
     chunks = chunk(batch.select("document_id", "company_id", "document_type", "text"))
     found = metrics.text_metrics(batch.filter(F.col("document_type") == "financial"))
-    _missing(chunks, f"{target}/chunks", "chunk_id").write.mode("append").parquet(f"{target}/chunks")
-    _missing(found, f"{target}/metrics", "metric_id").write.mode("append").parquet(f"{target}/metrics")
-    batch.drop("text").write.mode("append").parquet(f"{target}/documents")
+    for name, rows in (("chunks", chunks), ("metrics", found), ("documents", batch.drop("text"))):
+        rows.write.mode("overwrite").parquet(f"{target}/{name}/batch={label}")
     batch.unpersist()
 
 
@@ -60,8 +64,11 @@ def incremental(
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
 
-    def handle(batch: DataFrame, _: int) -> None:
-        process_batch(documents_of(batch), target)
+    # Batch numbers count within a checkpoint.
+    stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+
+    def handle(batch: DataFrame, number: int) -> None:
+        process_batch(documents_of(batch), target, f"{stream}-{number}")
 
     return (
         reader.parquet(source)

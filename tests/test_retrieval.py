@@ -40,11 +40,11 @@ def brute_force(queries, chunks, k):
     return expected
 
 
-@pytest.mark.parametrize("shared", [1024, 5])
+@pytest.mark.parametrize("options", [{}, {"max_shared_vectors": 5, "rows_per_task": 100}, {"max_shared_vectors": 5}])
 @pytest.mark.parametrize("k", [1, 5])
-def test_search_is_exact(spark, shared, k):
+def test_search_is_exact(spark, options, k):
     queries, chunks, asked, stored = frames(spark)
-    rows = retrieve.search(queries, chunks.repartition(6), k, max_shared_vectors=shared, salts=3).collect()
+    rows = retrieve.search(queries, chunks.repartition(6), k, **options).collect()
     found = {(row["query_id"], row["rank"]): row["chunk_id"] for row in rows}
     assert found == brute_force(asked, stored, k)
     assert len(rows) == len(found)
@@ -56,8 +56,9 @@ def test_same_question_for_many_companies_is_one_vector(spark):
     queries = companies.select(
         F.concat(F.lit("q"), "company_id").alias("query_id"), "company_id", F.array(*[F.lit(1.0)] * 8).alias("embedding")
     )
-    rows = retrieve.search(queries, chunks, 2, max_shared_vectors=1).collect()
-    assert len(rows) == 2 * companies.count()
+    for limit in (1, 1000):
+        rows = retrieve.search(queries, chunks, 2, max_shared_vectors=1, max_shared_companies=limit).collect()
+        assert len(rows) == 2 * companies.count()
 
 
 def texts(spark):

@@ -51,7 +51,7 @@ def test_ingest_process_analyse(spark, base):
     assert (again["Acme Corp"]["documents_found"], again["Acme Corp"]["documents_registered"]) == (4, 0)
     assert (counts(spark)["companies"], counts(spark)["documents"]) == (3, 5)
 
-    contents = process.read_contents(spark.table(f"{DB}.documents"), base)
+    contents = ingest.classified_folder(spark, base, companies, with_content=True)
     ran = process.process_documents(spark, DB, contents).first()
     assert (ran["documents"], ran["processed"]) == (5, 4)
     documents = {row["filename"]: row for row in spark.table(f"{DB}.documents").collect()}
@@ -68,6 +68,8 @@ def test_ingest_process_analyse(spark, base):
 
     process.process_documents(spark, DB, contents)
     assert counts(spark) == before
+    assert process.files_to_do(contents, spark.table(f"{DB}.documents").limit(2), 2).count() == 2
+    assert process.files_to_do(contents, spark.table(f"{DB}.documents").limit(2), 1).count() == 5
 
     reply = '{"score": 7.5, "reasoning": "fine", "key_findings": ["one", "two", "three"]}'
 
@@ -128,13 +130,15 @@ def test_micro_batches_equal_one_batch(spark, tmp_path):
         ).awaitTermination()
 
     def rows(target, name):
-        return sorted(map(str, spark.read.parquet(str(tmp_path / target / name)).collect()))
+        return sorted(map(str, spark.read.parquet(str(tmp_path / target / name)).drop("batch").collect()))
 
     run("many", "offsets1", 1)
-    incremental.process_batch(shaped(documents), str(tmp_path / "one"))
+    incremental.process_batch(shaped(documents), str(tmp_path / "one"), "only")
     for name in ("documents", "chunks", "metrics"):
         assert rows("many", name) == rows("one", name)
     before = rows("many", "chunks")
+    incremental.process_batch(shaped(documents), str(tmp_path / "one"), "only")  # the same batch once more
+    assert rows("one", "chunks") == before
     run("many", "offsets1")  # nothing new
     run("many", "offsets2")  # everything delivered once more
     assert rows("many", "chunks") == before
