@@ -168,15 +168,19 @@ def classify_by_model(
     filename: str = "filename",
     text: str = "text",
     keywords: Keywords = TYPE_KEYWORDS,
-    preview_chars: int = MODEL_TYPE_PREVIEW_CHARS,
+    preview_chars: int | None = MODEL_TYPE_PREVIEW_CHARS,
 ) -> DataFrame:
-    """Add ``model_ballot`` (type, confidence) from a text generator; its errors fall back to keywords."""
+    """Add ``model_ballot`` (type, confidence) from a text generator; its errors fall back to keywords.
+
+    ``preview_chars`` limits the text in the prompt, None gives the whole text.
+    """
+    preview = F.col(text) if preview_chars is None else F.substring(F.col(text), 1, preview_chars)
     prompt = F.concat(
         F.lit("Name the category of this document: financial, pitch_deck, technical, legal, product or other.\n"),
         F.lit("Filename: "),
         F.col(filename),
         F.lit("\n\nContent preview:\n"),
-        F.substring(F.col(text), 1, preview_chars),
+        preview,
         F.lit("\n\nCategory:"),
     )
     replied = generate(documents.withColumn("_prompt", prompt), "_prompt", fn, "_reply", "_error")

@@ -172,7 +172,8 @@ def text_metrics(
     )
 
 
-def metric_prompt(text: Column | str, max_chars: int = METRIC_PROMPT_CHARS) -> Column:
+def metric_prompt(text: Column | str, max_chars: int | None = METRIC_PROMPT_CHARS) -> Column:
+    """Prompt over the beginning of a text, or all of it if ``max_chars`` is None."""
     fields = ",\n".join(f'  "{name}": <{what}>' for name, what in MODEL_METRIC_FIELDS.items())
     return F.concat(
         F.lit(
@@ -180,7 +181,7 @@ def metric_prompt(text: Column | str, max_chars: int = METRIC_PROMPT_CHARS) -> C
             "with null for what is not there. Amounts are in dollars, margins are fractions.\n{\n" + fields + "\n}\n\n"
             "Text:\n"
         ),
-        F.substring(as_col(text), 1, max_chars),
+        as_col(text) if max_chars is None else F.substring(as_col(text), 1, max_chars),
         F.lit("\n\nJSON:"),
     )
 
@@ -189,7 +190,7 @@ def model_metrics(
     documents: DataFrame,
     fn: Callable[[list[str]], list[str]],
     text: str = "text",
-    max_chars: int = METRIC_PROMPT_CHARS,
+    max_chars: int | None = METRIC_PROMPT_CHARS,
 ) -> DataFrame:
     """Metrics a text generator finds, one row per non-null field; replies that are no JSON object give none."""
     fields = ", ".join(f"{name} DOUBLE" for name in MODEL_METRIC_FIELDS)

@@ -88,9 +88,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     per_quarter = item.groupBy(
         F.col("l_suppkey").alias("s"), F.year("l_shipdate").alias("y"), F.quarter("l_shipdate").alias("q")
     ).agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("cents"), F.count("*").alias("n"))
-    quarters = per_quarter.withColumn(
-        "period", F.concat(F.lit("Q"), F.col("q").cast("string"), F.lit(" "), F.col("y").cast("string"))
-    )
+    period = F.concat(F.lit("Q"), F.col("q").cast("string"), F.lit(" "), F.col("y").cast("string"))
     n = F.col("n").cast("string")
     values = (
         F.concat(F.lit("$"), F.floor(F.col("cents") / 100000).cast("string"), F.lit("K")),
@@ -103,11 +101,13 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     rows = F.array(
         *[
-            F.struct(F.lit(i).alias("row_index"), F.lit(label).alias("row_label"), value.alias("value"))
+            F.struct(
+                period.alias("col_name"), F.lit(i).alias("row_index"), F.lit(label).alias("row_label"), value.alias("value")
+            )
             for i, (label, value) in enumerate(zip(_STATEMENT_ROWS, values))
         ]
     )
-    filled = quarters.select("s", F.col("period").alias("col_name"), F.inline(rows))
+    filled = per_quarter.select("s", F.inline(rows))
     notes = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("s"),
         F.lit("Comment").alias("col_name"),

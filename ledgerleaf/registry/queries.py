@@ -138,7 +138,7 @@ def _named_type(prompts: list[str]) -> list[str]:
 )
 def model_classification(spark, sf_dir):
     documents = inputs.manifest(spark, sf_dir).select("doc_id", "filename", "text")
-    judged = classifying.classify_by_model(documents, _named_type)
+    judged = classifying.classify_by_model(documents, _named_type, preview_chars=None)
     return judged.select(
         "doc_id", F.col("model_ballot.type").alias("document_type"), _r("model_ballot.confidence").alias("confidence")
     )
@@ -158,6 +158,18 @@ def url_filenames(spark, sf_dir):
     return inputs.table(spark, sf_dir, "pages").select("page_id", url_filename("url", as_of=as_of).alias("filename"))
 
 
+@query(
+    "url_list",
+    "SELECT url, count(*) AS n FROM pages WHERE length(trim(url)) > 0 GROUP BY url",
+)
+def url_list(spark, sf_dir):
+    # The URLs as lines of text files, padded and with blank lines between them, then read as a list.
+    base = scratch_path(spark, "urls")
+    lines = F.array(F.concat(F.lit("  "), F.col("url"), F.lit(" ")), F.lit(""))
+    inputs.table(spark, sf_dir, "pages").select(F.explode(lines).alias("value")).write.text(base)
+    return files.read_urls(spark, base).groupBy("url").agg(F.count("*").alias("n"))
+
+
 @query(
     "fetched_documents",
     r"""SELECT substr(sha256(substr(md5(host), 1, 16) || '|' || url || '|' || sha256(html)), 1, 32) AS document_id,
@@ -651,7 +663,7 @@ def _json_metrics(prompts: list[str]) -> list[str]:
       FROM orders CROSS JOIN (VALUES ('cac'), ('ltv')) AS v(metric_name) WHERE o_orderkey % 2 = 0)""",
 )
 def model_metrics(spark, sf_dir):
-    found = metrics.model_metrics(inputs.statement_text(spark, sf_dir), _json_metrics)
+    found = metrics.model_metrics(inputs.statement_text(spark, sf_dir), _json_metrics, max_chars=None)
     return found.select("metric_id", "document_id", "metric_name", "value", "confidence_score")
 
 
