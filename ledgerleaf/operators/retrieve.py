@@ -7,6 +7,7 @@ fall to the smaller chunk id, which keeps results independent of how rows are sp
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -123,34 +124,31 @@ def _blocks(rows: DataFrame, key: str) -> DataFrame:
     )
 
 
-def _search_blocks(queries: DataFrame, chunks: DataFrame, k: int, rows_per_task: int) -> DataFrame:
-    """Many vectors: blocks of chunks meet blocks of questions with the same ``_scope``.
+def _search_blocks(queries: DataFrame, chunks: DataFrame, k: int, rows_per_task: int, by_company: bool) -> DataFrame:
+    """Many vectors: blocks of chunks meet blocks of questions, of the same company if asked.
 
-    Scopes with more than ``rows_per_task`` chunks are split: their chunk blocks go to as many keys as
-    their size asks for and their question blocks to all of these. There are at most
-    total / ``rows_per_task`` such scopes, which bounds the table that is broadcast. Only the ``k`` best
-    of a pair of blocks leave it.
+    More than ``rows_per_task`` chunks (of a company) are split: the chunk blocks go to as many keys as
+    their number asks for and the question blocks to all of these. There are at most
+    total / ``rows_per_task`` split companies, which bounds the table that is broadcast. Only the ``k``
+    best of a pair of blocks leave it.
     """
-    sizes = chunks.groupBy("_scope").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > rows_per_task)
-    split = F.broadcast(
-        sizes.select("_scope", F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts"))
-    )
-    parts = F.coalesce("_parts", F.lit(1))
-    chunk_blocks = (
-        _blocks(chunks, "chunk_id")
-        .join(split, "_scope", "left")
-        .withColumn("_part", F.pmod(F.xxhash64("ids"), parts).cast("int"))
-        .drop("_parts")
-    )
-    query_blocks = (
-        _blocks(queries, "query_id")
-        .join(split, "_scope", "left")
-        .select(
-            "_scope",
-            F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"),
-            F.col("ids").alias("query_ids"),
-            F.col("data").alias("query_data"),
+    chunk_blocks, query_blocks = _blocks(chunks, "chunk_id"), _blocks(queries, "query_id")
+    if by_company:
+        sizes = chunks.groupBy("_scope").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > rows_per_task)
+        split = F.broadcast(
+            sizes.select("_scope", F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts"))
         )
+        chunk_blocks = chunk_blocks.join(split, "_scope", "left")
+        query_blocks = query_blocks.join(split, "_scope", "left")
+        parts, keys = F.coalesce("_parts", F.lit(1)), ["_scope", "_part"]
+    else:
+        parts, keys = F.lit(max(1, math.ceil(chunks.count() / rows_per_task))), ["_part"]
+    chunk_blocks = chunk_blocks.withColumn("_part", F.pmod(F.xxhash64("ids"), parts).cast("int"))
+    query_blocks = query_blocks.select(
+        "_scope",
+        F.explode(F.sequence(F.lit(0), parts - 1)).alias("_part"),
+        F.col("ids").alias("query_ids"),
+        F.col("data").alias("query_data"),
     )
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -165,7 +163,7 @@ def _search_blocks(queries: DataFrame, chunks: DataFrame, k: int, rows_per_task:
                 yield best.rename(columns={"_vector": "query_id"}).assign(chunk_id=ids[row])
 
     candidates = (
-        chunk_blocks.join(query_blocks, ["_scope", "_part"])
+        chunk_blocks.join(query_blocks, keys)
         .select("ids", "data", "query_ids", "query_data")
         .mapInPandas(score, "query_id string, score double, chunk_id string")
     )
@@ -212,8 +210,8 @@ def search(
         return asked.join(best, ["_vector", "_scope"]).select("query_id", "rank", "chunk_id", "score")
     of_company = chunks.filter(has_company).withColumn("_scope", F.col("company_id"))
     of_all = chunks.withColumn("_scope", F.lit(""))
-    return _search_blocks(asked.filter(has_company), of_company, k, rows_per_task).unionByName(
-        _search_blocks(asked.filter(~has_company), of_all, k, rows_per_task)
+    return _search_blocks(asked.filter(has_company), of_company, k, rows_per_task, True).unionByName(
+        _search_blocks(asked.filter(~has_company), of_all, k, rows_per_task, False)
     )
 
 

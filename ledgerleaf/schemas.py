@@ -12,9 +12,13 @@ DOCUMENTS = """
     document_id STRING NOT NULL, company_id STRING NOT NULL, filename STRING NOT NULL, file_path STRING NOT NULL,
     relative_path STRING, source_url STRING, file_type STRING, file_size_bytes BIGINT, document_type STRING,
     classification_confidence DOUBLE, page_count INT, has_tables BOOLEAN, has_charts BOOLEAN, processed BOOLEAN,
-    processing_error STRING, uploaded_at TIMESTAMP, processed_at TIMESTAMP
+    processing_error STRING, uploaded_at TIMESTAMP, processed_at TIMESTAMP, upload_day DATE
 """
 
+# Partition columns, always last, and what they are made of.
+PARTITIONS = {"documents": "upload_day"}
+DERIVED = {"upload_day": "coalesce(to_date(uploaded_at), DATE '1970-01-01')"}
+
 FINANCIAL_METRICS = """
     metric_id STRING NOT NULL, company_id STRING NOT NULL, document_id STRING NOT NULL, period_start STRING,
     period_end STRING, revenue DOUBLE, revenue_growth_rate DOUBLE, recurring_revenue DOUBLE, gross_margin DOUBLE,

@@ -8,7 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf import schemas
@@ -29,14 +29,16 @@ KEYS = {
 def create_tables(spark: SparkSession, database: str, names: Iterable[str] = tuple(schemas.TABLES)) -> None:
     """Create the database and those of the tables that are missing.
 
-    Tables are not partitioned by company: a few huge and very many tiny partitions would be the
-    result. Readers that filter by company profit from sorted files instead (see ``append``).
+    Documents are partitioned by upload day, so that a status update rewrites the days it touches. No
+    table is partitioned by company: a few huge and very many tiny partitions would be the result.
+    Readers that filter by company profit from sorted files instead (see ``append``).
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name in names:
         # Files cannot enforce NOT NULL; ``quality.check_columns`` reports it.
         columns = re.sub(r"\s+NOT NULL", "", schemas.TABLES[name])
-        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet")
+        partition = f"PARTITIONED BY ({schemas.PARTITIONS[name]})" if name in schemas.PARTITIONS else ""
+        spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet {partition}")
 
 
 def drop_tables(spark: SparkSession, database: str, names: Iterable[str] = tuple(schemas.TABLES)) -> None:
@@ -51,13 +53,14 @@ def count_tables(spark: SparkSession, database: str) -> DataFrame:
 
 
 def _fitted(df: DataFrame, table: DataFrame) -> DataFrame:
-    """Columns of the table in its order; missing ones become NULL."""
-    return df.select(
-        *[
-            (F.col(field.name) if field.name in df.columns else F.lit(None)).cast(field.dataType).alias(field.name)
-            for field in table.schema.fields
-        ]
-    )
+    """Columns of the table in its order; derived ones are computed, missing ones become NULL."""
+
+    def column(name: str) -> Column:
+        if name in schemas.DERIVED:
+            return F.expr(schemas.DERIVED[name])
+        return F.col(name) if name in df.columns else F.lit(None)
+
+    return df.select(*[column(field.name).cast(field.dataType).alias(field.name) for field in table.schema.fields])
 
 
 def append(df: DataFrame, table: str) -> int:
@@ -79,15 +82,21 @@ def append_new(df: DataFrame, table: str, key: str | None = None) -> int:
     return append(new_rows(df, spark.table(table), key), table)
 
 
-def replace(df: DataFrame, table: str) -> None:
-    """Replace a table by rows that may be derived from it.
+def replace(df: DataFrame, table: str, partitions_only: bool = False) -> None:
+    """Replace a table, or only the partitions that occur in ``df``, by rows that may be derived from it.
 
     The rows are first written to the shared folder: the table is only touched once they are complete.
     """
     spark = df.sparkSession
     staged = scratch_path(spark, table.replace(".", "-"))
     _fitted(df, spark.table(table)).write.parquet(staged)
-    spark.read.parquet(staged).write.insertInto(table, overwrite=True)
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic" if partitions_only else "static")
+    try:
+        spark.read.parquet(staged).write.insertInto(table, overwrite=True)
+    finally:
+        spark.conf.set(setting, before)
 
 
 def register_companies(companies: DataFrame, table: str) -> None:
@@ -111,8 +120,12 @@ def register_documents(documents: DataFrame, table: str) -> int:
 
 
 def mark_documents(results: DataFrame, table: str) -> None:
-    """Record the outcome of a batch in the documents table, all documents in one pass."""
-    replace(status_merge(results.sparkSession.table(table), results), table)
+    """Record the outcome of a batch in the documents table: one pass over the days it touches."""
+    documents = results.sparkSession.table(table)
+    touched = documents.join(results.select("document_id"), "document_id", "left_semi").select("upload_day").distinct()
+    days = [row["upload_day"] for row in touched.collect()]
+    if days:
+        replace(status_merge(documents.filter(F.col("upload_day").isin(days)), results), table, partitions_only=True)
 
 
 def save_analyses(analyses: DataFrame, dimensions: DataFrame, database: str) -> int:

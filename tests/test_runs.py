@@ -10,7 +10,7 @@ from ledgerleaf.registry import inputs
 from ledgerleaf.sinks import tables
 from ledgerleaf.streaming import incremental
 
-DB = "dataroom_test"
+DB = "portfolio_test"
 
 
 
@@ -59,6 +59,7 @@ def test_ingest_process_analyse(spark, base):
     assert documents["old.pptx"]["processed"] is False
     assert documents["q1.csv"]["processed"] and documents["q1.csv"]["has_tables"] and documents["q1.csv"]["processed_at"]
     wide = spark.table(f"{DB}.financial_metrics")
+    assert "upload_day" in {c.name for c in spark.catalog.listColumns(f"{DB}.documents") if c.isPartition}
     assert {row[0] for row in wide.select("revenue").dropna().collect()} == {5e6, 6e6}
     assert {row[0] for row in wide.select("runway_months").dropna().collect()} == {18.0}
     chunks = spark.table(f"{DB}.document_chunks")
@@ -99,6 +100,33 @@ def test_ingest_process_analyse(spark, base):
     assert spark.catalog.listTables(DB) == []
 
 
+def test_status_rewrites_touched_days_only(spark):
+    database = DB + "3"
+    tables.create_tables(spark, database, ["documents"])
+    name = f"{database}.documents"
+    rows = [(f"d{i}", "c", f"f{i}", f"/f{i}", f"2024-01-0{1 + i % 3} 10:00:00") for i in range(9)]
+    documents = spark.createDataFrame(rows, "document_id string, company_id string, filename string, file_path string, t string")
+    documents = documents.withColumns({"uploaded_at": F.col("t").cast("timestamp"), "processed": F.lit(False)}).drop("t")
+    assert tables.register_documents(documents, name) == 9
+    assert tables.register_documents(documents, name) == 0
+
+    def files(day):
+        return set(spark.table(name).filter(F.col("upload_day") == day).select(F.col("_metadata.file_name")).toPandas()["file_name"])
+
+    before = {day: files(day) for day in ("2024-01-01", "2024-01-02")}
+    result = spark.createDataFrame([("d0", True, None, 3, False, True), ("d3", False, "torn", None, None, None)],
+                                   "document_id string, success boolean, error string, page_count int, has_tables boolean, has_charts boolean")
+    tables.mark_documents(result, name)
+    assert files("2024-01-02") == before["2024-01-02"] and files("2024-01-01") != before["2024-01-01"]
+    after = {row["document_id"]: row for row in spark.table(name).collect()}
+    assert len(after) == 9
+    assert (after["d0"]["processed"], after["d0"]["page_count"], after["d0"]["has_charts"]) == (True, 3, True)
+    assert (after["d3"]["processed"], after["d3"]["processing_error"]) == (False, "torn")
+    tables.mark_documents(result.filter("document_id = 'd3'").withColumn("success", F.lit(True)), name)
+    assert spark.table(name).filter("document_id = 'd3'").first()["processing_error"] is None
+    tables.drop_tables(spark, database, ["documents"])
+
+
 def test_company_updates(spark):
     tables.create_tables(spark, DB + "2", ["companies"])
     name = f"{DB}2.companies"
