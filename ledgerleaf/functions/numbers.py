@@ -13,8 +13,8 @@ from ledgerleaf.functions.text import as_col, strip
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
-def _to_double(value: Column) -> Column:
-    """Cast plain numbers only: a bare cast would also take '5d' or '5f'."""
+def plain_number(value: Column | str) -> Column:
+    """Text as DOUBLE if it is a plain number: a bare cast would also take '5d' or '5f'."""
     trimmed = strip(value)
     return F.when(trimmed.rlike(_NUMBER), trimmed.try_cast("double"))
 
@@ -31,8 +31,8 @@ def parse_amount(value: Column | str) -> Column:
     suffix = F.upper(F.right(bare, F.lit(1)))
     has_suffix = suffix.isin("K", "M", "B")
     digits = F.when(has_suffix, F.substring(bare, F.lit(1), F.length(bare) - 1)).otherwise(bare)
-    percent = _to_double(F.replace(bare, F.lit("%"), F.lit(""))) / 100.0
-    return F.when(bare.contains("%"), percent).otherwise(_to_double(digits) * suffix_multiplier(suffix))
+    percent = plain_number(F.replace(bare, F.lit("%"), F.lit(""))) / 100.0
+    return F.when(bare.contains("%"), percent).otherwise(plain_number(digits) * suffix_multiplier(suffix))
 
 
 def is_period(heading: Column | str, patterns: Iterable[str] = PERIOD_PATTERNS) -> Column:

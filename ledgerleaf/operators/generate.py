@@ -35,13 +35,15 @@ def generate(
     error: str = "error",
     distinct: bool = True,
     batch_size: int = 64,
+    parallelism: int | None = None,
 ) -> DataFrame:
     """Add ``reply`` and ``error`` columns. ``fn`` maps a list of prompts to as many replies.
 
     With ``distinct`` equal prompts are asked once: the group-by combines copies before its shuffle,
     so a prompt repeated in a third of all rows costs one call and one row. The replies are written to the
     shared folder at once, so that no later step and no lost executor asks again. Without ``distinct``
-    nothing is written; store the result yourself if it is read more than once.
+    nothing is written; store the result yourself if it is read more than once. ``parallelism`` sets the
+    number of tasks that ask: prompts are small and their answers slow, so few tasks may be too few.
     """
 
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -63,6 +65,8 @@ def generate(
         prompts = (
             keyed.filter(F.col(prompt).isNotNull()).groupBy("_key").agg(F.any_value(F.col(prompt)).alias("_text"))
         )
+        if parallelism is not None:
+            prompts = prompts.repartition(parallelism, "_key")
         return keyed.join(stored(prompts.mapInPandas(ask, schema), "replies"), "_key", "left").drop("_key")
 
     fields = [field for field in df.schema.fields if field.name not in (reply, error)]
@@ -80,8 +84,8 @@ def generate(
                     **{reply: [pair[0] for pair in pairs], error: [pair[1] for pair in pairs]}
                 )
 
-    out = df.select(*names).schema.add(reply, "string").add(error, "string")
-    return df.select(*names).mapInPandas(ask_rows, out)
+    rows = df.select(*names) if parallelism is None else df.select(*names).repartition(parallelism)
+    return rows.mapInPandas(ask_rows, df.select(*names).schema.add(reply, "string").add(error, "string"))
 
 
 def extractive_reply(prompts: list[str]) -> list[str]:

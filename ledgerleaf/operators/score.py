@@ -33,8 +33,8 @@ from ledgerleaf.functions.constants import (
     STEPS_PASS,
     TOP_DIMENSIONS,
 )
-from ledgerleaf.functions.numbers import fixed
-from ledgerleaf.functions.text import as_col
+from ledgerleaf.functions.numbers import fixed, plain_number
+from ledgerleaf.functions.text import as_col, title_case
 
 _STRICT_JSON = {"allowSingleQuotes": "false"}
 
@@ -77,10 +77,12 @@ def parse_reply(reply: Column | str) -> Column:
         .when(text.contains("```"), F.regexp_extract(text, r"(?s)```(.*?)(?:```|\z)", 1))
         .otherwise(text)
     )
+    # As the only element of an array the object may have nothing behind it.
+    alone = F.json_array_length(F.concat(F.lit("["), body, F.lit("]"))) == 1
     parsed = F.from_json(body, "score STRING, reasoning STRING, key_findings ARRAY<STRING>", _STRICT_JSON)
     keys = F.json_object_keys(body)
-    score = F.when(F.array_contains(keys, "score"), parsed["score"].try_cast("double")).otherwise(NEUTRAL_SCORE)
-    usable = keys.isNotNull() & score.isNotNull()
+    score = F.when(F.array_contains(keys, "score"), plain_number(parsed["score"])).otherwise(NEUTRAL_SCORE)
+    usable = F.coalesce(alone, F.lit(False)) & keys.isNotNull() & score.isNotNull()
     return F.struct(
         F.when(usable, score).otherwise(NEUTRAL_SCORE).alias("score"),
         F.when(usable, F.coalesce(parsed["reasoning"], F.lit(""))).otherwise(NEUTRAL_REASONING).alias("reasoning"),
@@ -211,6 +213,14 @@ def financial_narrative(has_profile: Column | None = None) -> Column:
     return text if has_profile is None else F.when(has_profile, text).otherwise(NO_FINANCIALS)
 
 
+def dimension_view(dimensions: DataFrame) -> DataFrame:
+    """Dimensions as shown to readers: a heading with the score, the reasoning and one row per finding."""
+    heading = F.concat(title_case("dimension"), F.lit(": "), fixed("score", 1), F.lit("/10"))
+    return dimensions.select("*", heading.alias("heading"), F.posexplode_outer("key_findings").alias("position", "finding")).drop(
+        "key_findings"
+    )
+
+
 def memo_view(analyses: DataFrame) -> DataFrame:
     """Analyses as shown to readers: rounded score, upper-case recommendation, confidence in percent and
     numbered steps."""

@@ -923,6 +923,20 @@ def dimension_questions(spark, sf_dir):
     return score.dimension_questions(inputs.companies(spark, sf_dir))
 
 
+@query(
+    "memo_dimensions",
+    sql(
+        """SELECT company_id, array_to_string(list_transform(string_split(dimension, '_'), lambda w: upper(w[1]) || w[2:]), ' ') || ': ' || format('{:.1f}', score) || '/10' AS heading,
+          reasoning, CAST(i AS INT) AS position, finding FROM (
+          SELECT d.*, unnest(CASE WHEN len(key_findings) = 0 THEN [NULL] ELSE key_findings END) AS finding,
+            unnest(CASE WHEN len(key_findings) = 0 THEN [NULL] ELSE range(len(key_findings)) END) AS i FROM dimensions_parsed d)""",
+        "dimensions_parsed",
+    ),
+)
+def memo_dimensions(spark, sf_dir):
+    return score.dimension_view(_dimensions(spark, sf_dir)).select("company_id", "heading", "reasoning", "position", "finding")
+
+
 @query(
     "memo_view",
     sql(
@@ -1321,9 +1335,11 @@ def text_files(spark, sf_dir):
     )
     lines.write.partitionBy("company").text(base)
     found = files.company_files(spark, base).filter(F.col("file_type") == ".txt")
-    read = parsers.extract(found.withColumn("document_id", F.col("path")))
-    placed = read.join(found.select(F.col("path").alias("document_id"), "company_folder"), "document_id")
-    return placed.groupBy(F.replace(F.col("company_folder"), F.lit("company="), F.lit("")).alias("company_folder")).agg(
+    named = found.withColumns(
+        {"document_id": F.col("path"), "folder": F.replace(F.col("company_folder"), F.lit("company="), F.lit(""))}
+    )
+    read = parsers.extract(named, keep=("folder",))
+    return read.groupBy(F.col("folder").alias("company_folder")).agg(
         F.sum(F.col("line_count") - 1).alias("n_lines"), F.sum("char_count").alias("n_chars")
     )
 
@@ -1347,10 +1363,10 @@ def csv_files(spark, sf_dir):
     )
     wide.write.partitionBy("company").option("header", True).csv(base)
     found = files.company_files(spark, base).filter(F.col("file_type") == ".csv")
-    company = F.replace(F.col("company_folder"), F.lit("company="), F.lit(""))
-    owner = found.select(F.col("path").alias("document_id"), company.alias("company_id"))
-    read = parsers.extract(found.withColumn("document_id", F.col("path")))
-    cells = parsers.extracted_cells(read).join(owner, "document_id")
+    named = found.withColumns(
+        {"document_id": F.col("path"), "company_id": F.replace(F.col("company_folder"), F.lit("company="), F.lit(""))}
+    )
+    cells = parsers.extracted_cells(parsers.extract(named, keep=("company_id",)))
     return metrics.table_metrics(cells).groupBy("company_id", "metric_name").agg(
         F.count("*").alias("n"), F.round(F.sum("value"), 2).alias("total")
     )

@@ -142,6 +142,8 @@ NEUTRAL = (5.0, "Unable to fully analyze this dimension.", [])
         ('text ```json\n{"score": "8.5"}\n``` more', (8.5, "", [])),
         ('```\n{"reasoning": "only"}\n```', (5.0, "only", [])),
         ('```json\n{"score": 3}', (3.0, "", [])),
+        ('{"score": 8} and more', NEUTRAL), ('{"score": 8}, {"score": 9}', NEUTRAL), ("{'score': 8}", NEUTRAL), ('{"score": "8d"}', NEUTRAL),
+        (' \n{"score": " 7 ", "reasoning": "é"} ', (7.0, "é", [])), ("{}", (5.0, "", [])),
         ('{"score": null}', NEUTRAL), ('{"score": "high"}', NEUTRAL), ("no json", NEUTRAL), ("[1, 2]", NEUTRAL), ("", NEUTRAL),
         (None, NEUTRAL),
     ],
