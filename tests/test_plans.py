@@ -1,6 +1,5 @@
 """Properties of physical plans and behaviour on hot keys."""
 
-import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry_point
@@ -15,12 +14,6 @@ def plan(frame):
     return frame._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
-def test_no_cross_joins(spark, name):
-    text = plan(entry_point.queries()[name](spark, SF_DIR))
-    assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
-
-
 def test_narrow_operators(spark):
     documents = inputs.classified(spark, SF_DIR)
     assert "Exchange" not in plan(documents)
