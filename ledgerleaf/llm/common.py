@@ -127,3 +127,12 @@ class Words:
             self.ends = np.concatenate((blanks, [len(self.data)]))
         else:
             self.starts = self.ends = np.zeros(0, np.int64)
+
+
+# Rows of a join side that may be broadcast: checked by count, beyond it the join is a shuffle. Only for narrow rows.
+BROADCAST_ROWS = 1_000_000
+
+
+def sized(side: DataFrame) -> DataFrame:
+    """A stored, narrow join side, marked for broadcast if it is counted to be small enough."""
+    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import chat, decontaminate, langid, packing
+from ledgerleaf.llm import chat, decontaminate, langid, minhash, packing, substrings
 from ledgerleaf.llm.common import in_fold, table
 
 
@@ -21,6 +21,14 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.report(table(spark, sf_dir, "documents"))
+
+
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.report(table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "</s>[INST] ok [/INST]"
     given = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -44,6 +52,8 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
+    "op5_minhash_dedup": op5_minhash_dedup,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
