@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import chat, decontaminate, langid, minhash, packing, substrings
+from ledgerleaf.llm import chat, decontaminate, hmm, langid, minhash, packing, substrings
 from ledgerleaf.llm.common import in_fold, table
 
 
@@ -17,6 +17,10 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.score(table(spark, sf_dir, "documents"), in_fold(F.col("doc_id"), 5, 1))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -51,6 +55,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hmm_scores": op1_hmm_scores,
     "op3_decontamination": op3_decontamination,
     "op5_minhash_dedup": op5_minhash_dedup,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
