@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import chat, decontaminate, hmm, langid, minhash, packing, substrings
+from ledgerleaf.llm import chat, decontaminate, hmm, langid, minhash, neighbours, packing, quality, substrings
 from ledgerleaf.llm.common import in_fold, table
 
 
@@ -25,10 +25,19 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.score(docs, labels, in_fold(F.col("doc_id"), 4, 2))
+
+
 def op5_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.report(table(spark, sf_dir, "documents"))
 
 
+def op6_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"), F.col("id") % 100 == 0)
+
+
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.report(table(spark, sf_dir, "documents"))
 
@@ -57,7 +66,9 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_scores": op1_hmm_scores,
     "op3_decontamination": op3_decontamination,
+    "op4_quality": op4_quality,
     "op5_minhash_dedup": op5_minhash_dedup,
+    "op6_nn_descent": op6_nn_descent,
     "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
