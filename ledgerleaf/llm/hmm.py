@@ -310,7 +310,7 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
         for batch in slices(batches, "others"):
             rows, found, times = [], [], []
             for row, joined in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                own = Counter(joined.split())
+                own = Counter(joined.split(b" "))
                 rows += [row] * len(own)
                 found += own.keys()
                 times += own.values()

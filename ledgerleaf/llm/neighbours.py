@@ -283,7 +283,7 @@ def search(graph: DataFrame, codes: DataFrame, queries: DataFrame, entries: Data
 
 
 def nearest(
-    rows: DataFrame, is_query: Column, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding",
+    rows: DataFrame, is_query: Column | str, k: int = 10, id_column: str = "vec_id", vector_column: str = "embedding",
     pool: int = POOL, neighbours: int = NEIGHBOURS, rounds: int = ROUNDS,
 ) -> DataFrame:
     """For each row of which ``is_query`` (of the column ``id``) holds: query_id, rank, vec_id, score (Euclidean
@@ -299,7 +299,7 @@ def nearest(
     n = codes.count()
     wanted = min(PIVOTS, max(1, n * CELLS_PER_NODE // (CELL * 3 // 4)))
     sample = codes.orderBy(F.xxhash64("node"), "node").limit(wanted).collect()
-    pivots = np.array([np.frombuffer(r.code, np.int8) for r in sample]).reshape(len(sample), -1)
+    pivots = np.array([np.frombuffer(r.code, np.int8) for r in sample])
     graph = build(codes, pivots, neighbours, rounds=rounds) if n else None
 
     asked = stored(given.where(is_query).select(F.col("id").alias("query_id"), "node", "vector"), "queries")
