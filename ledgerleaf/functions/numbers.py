@@ -39,10 +39,11 @@ def is_period(heading: Column | str, patterns: Iterable[str] = PERIOD_PATTERNS)
     return as_col(heading).rlike("(?iU)" + "|".join(f"(?:{pattern})" for pattern in patterns))
 
 
-def period_key(label: Column | str) -> Column:
+def period_key(label: Column | str, pivot_year: int = 70) -> Column:
     """First day of the labelled period; NULL for rolling labels such as YTD or TTM.
 
-    Understands 'Q1 2024', '2023-Q1', 'FY24', 'FY 2024', 'Mar 2024' and bare years.
+    Understands 'Q1 2024', '2023-Q1', 'FY24', 'FY 2024', 'Mar 2024' and bare years. Years of two digits from
+    ``pivot_year`` on are of the 20th century, those before it of the 21st.
     """
     text = F.upper(as_col(label))
     quarter = F.coalesce(
@@ -53,7 +54,9 @@ def period_key(label: Column | str) -> Column:
     month = F.regexp_extract(text, "(" + "|".join(months) + r")\s*\d{4}", 1)
     month_number = F.nullif(F.array_position(F.array(*[F.lit(m) for m in months]), month), F.lit(0))
     year = F.nullif(F.regexp_extract(text, r"(\d{4})", 1), F.lit(""))
-    short_year = F.concat(F.lit("20"), F.nullif(F.regexp_extract(text, r"FY\s*(\d{2})(?!\d)", 1), F.lit("")))
+    two_digits = F.nullif(F.regexp_extract(text, r"FY\s*(\d{2})(?!\d)", 1), F.lit(""))
+    century = F.when(two_digits.try_cast("int") >= pivot_year, "19").otherwise("20")
+    short_year = F.concat(century, two_digits)
     first_month = F.coalesce((quarter.try_cast("int") - 1) * 3 + 1, month_number.cast("int"), F.lit(1))
     return F.make_date(F.coalesce(year, short_year).try_cast("int"), first_month, F.lit(1))
 

@@ -18,7 +18,6 @@ from ledgerleaf.functions.constants import (
     FOLDER_CONFIDENCE,
     FOLDER_MIN_CONFIDENCE,
     MODEL_TYPE_CONFIDENCE,
-    MODEL_TYPE_PREVIEW_CHARS,
     MODEL_TYPE_REPLIES,
     OTHER_TYPE,
     PATH_KEYWORD_SCORE,
@@ -168,11 +167,12 @@ def classify_by_model(
     filename: str = "filename",
     text: str = "text",
     keywords: Keywords = TYPE_KEYWORDS,
-    preview_chars: int | None = MODEL_TYPE_PREVIEW_CHARS,
+    preview_chars: int | None = None,
 ) -> DataFrame:
     """Add ``model_ballot`` (type, confidence) from a text generator; its errors fall back to keywords.
 
-    ``preview_chars`` limits the text in the prompt, None gives the whole text.
+    The whole text goes into the prompt, or its first ``preview_chars`` characters if a caller wants only these.
+    Documents are asked about where they are read, so that no text is shuffled; store the result if it is read twice.
     """
     preview = F.col(text) if preview_chars is None else F.substring(F.col(text), 1, preview_chars)
     prompt = F.concat(
@@ -183,7 +183,7 @@ def classify_by_model(
         preview,
         F.lit("\n\nCategory:"),
     )
-    replied = generate(documents.withColumn("_prompt", prompt), "_prompt", fn, "_reply", "_error")
+    replied = generate(documents.withColumn("_prompt", prompt), "_prompt", fn, "_reply", "_error", distinct=False)
     reply = F.replace(F.lower(strip("_reply")), F.lit("_"), F.lit(" "))
     names = F.create_map(*[F.lit(part) for pair in MODEL_TYPE_REPLIES.items() for part in pair])
     by_model = F.struct(

@@ -15,7 +15,6 @@ from pyspark.sql import functions as F
 from ledgerleaf.functions import ids
 from ledgerleaf.functions.constants import (
     METRIC_COLUMNS,
-    METRIC_PROMPT_CHARS,
     METRIC_ROW_KEYWORDS,
     MIN_TABLE_ROWS,
     MODEL_CONFIDENCE,
@@ -28,6 +27,7 @@ from ledgerleaf.functions.constants import (
 from ledgerleaf.functions.numbers import is_period, parse_amount, period_key, suffix_multiplier
 from ledgerleaf.functions.text import as_col
 from ledgerleaf.operators.generate import generate
+from ledgerleaf.session import stored
 
 LONG_COLUMNS = (
     "metric_id", "company_id", "document_id", "period", "metric_name", "value", "confidence_score",
@@ -74,7 +74,7 @@ def table_metrics(
     min_rows: int = MIN_TABLE_ROWS,
     word_boundary: bool = False,
 ) -> DataFrame:
-    """Metrics of cells ``company_id, document_id, table_index, row_index, row_label, col_name, value``.
+    """Metrics of cells ``company_id, document_id, table_index, row_index, col_index, row_label, col_name, value``.
 
     ``min_rows`` counts the heading row, so the default keeps every table that has a cell at all and
     needs no shuffle; a larger one counts the rows of each table first.
@@ -93,9 +93,10 @@ def table_metrics(
     kept = F.filter(F.array(read), lambda m: m["metric_name"].isNotNull() & m["value"].isNotNull())
     return (
         cells.filter(is_period("col_name", periods))
-        .select("company_id", "document_id", "table_index", "row_index", "col_name", F.inline(kept))
+        .select("company_id", "document_id", "table_index", "row_index", "col_index", "col_name", F.inline(kept))
         .select(
-            ids.joined_id("document_id", "table_index", "row_index", "col_name").alias("metric_id"),
+            # Two columns may have the same heading.
+            ids.joined_id("document_id", "table_index", "row_index", "col_index", "col_name").alias("metric_id"),
             "company_id",
             "document_id",
             F.col("col_name").alias("period"),
@@ -172,8 +173,8 @@ def text_metrics(
     )
 
 
-def metric_prompt(text: Column | str, max_chars: int | None = METRIC_PROMPT_CHARS) -> Column:
-    """Prompt over the beginning of a text, or all of it if ``max_chars`` is None."""
+def metric_prompt(text: Column | str, max_chars: int | None = None) -> Column:
+    """Prompt over a whole text, or its first ``max_chars`` characters if a caller wants only these."""
     fields = ",\n".join(f'  "{name}": <{what}>' for name, what in MODEL_METRIC_FIELDS.items())
     return F.concat(
         F.lit(
@@ -190,14 +191,18 @@ def model_metrics(
     documents: DataFrame,
     fn: Callable[[list[str]], list[str]],
     text: str = "text",
-    max_chars: int | None = METRIC_PROMPT_CHARS,
+    max_chars: int | None = None,
 ) -> DataFrame:
-    """Metrics a text generator finds, one row per non-null field; replies that are no JSON object give none."""
+    """Metrics a text generator finds, one row per non-null field; replies that are no JSON object give none.
+
+    Each document is asked about where it is read, and its reply written once: no text is shuffled.
+    """
     fields = ", ".join(f"{name} DOUBLE" for name in MODEL_METRIC_FIELDS)
     asked = generate(
         documents.select("company_id", "document_id", metric_prompt(text, max_chars).alias("_prompt")),
-        "_prompt", fn, "_reply", "_error",
+        "_prompt", fn, "_reply", "_error", distinct=False,
     )
+    asked = stored(asked.drop("_prompt"), "replies")
     parsed = asked.filter(F.col("_error").isNull()).withColumn("_json", F.from_json("_reply", fields))
     named = F.array(
         *[

@@ -102,7 +102,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = F.array(
         *[
             F.struct(
-                period.alias("col_name"), F.lit(i).alias("row_index"), F.lit(label).alias("row_label"), value.alias("value")
+                period.alias("col_name"), (F.col("y") * 4 + F.col("q")).alias("col_index"), F.lit(i).alias("row_index"), F.lit(label).alias("row_label"), value.alias("value")
             )
             for i, (label, value) in enumerate(zip(_STATEMENT_ROWS, values))
         ]
@@ -111,6 +111,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     notes = table(spark, sf_dir, "supplier").select(
         F.col("s_suppkey").alias("s"),
         F.lit("Comment").alias("col_name"),
+        F.lit(1).alias("col_index"),
         F.lit(7).alias("row_index"),
         F.lit("Notes").alias("row_label"),
         F.lit("see annex").alias("value"),
@@ -120,6 +121,7 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         ids.company_id(F.concat(F.lit("s"), (F.col("s") % 20).cast("string"))).alias("company_id"),
         F.lit(0).alias("table_index"),
         "row_index",
+        "col_index",
         "row_label",
         "col_name",
         "value",

@@ -578,7 +578,7 @@ def revenue_growth(spark, sf_dir):
 @query(
     "period_keys",
     """SELECT label, strftime(key, '%Y-%m-%d') AS period_key, count(*) AS n FROM (
-      SELECT 'FY' || strftime(o_orderdate, '%y') AS label, make_date(year(o_orderdate), 1, 1) AS key FROM orders WHERE year(o_orderdate) >= 2000
+      SELECT 'FY' || strftime(o_orderdate, '%y') AS label, make_date(year(o_orderdate), 1, 1) AS key FROM orders
       UNION ALL SELECT strftime(o_orderdate, '%b %Y'), date_trunc('month', o_orderdate) FROM orders
       UNION ALL SELECT CAST(year(o_orderdate) AS VARCHAR) || '-Q' || CAST(quarter(o_orderdate) AS VARCHAR), date_trunc('quarter', o_orderdate) FROM orders
       UNION ALL SELECT CAST(year(o_orderdate) AS VARCHAR), make_date(year(o_orderdate), 1, 1) FROM orders
@@ -587,7 +587,7 @@ def revenue_growth(spark, sf_dir):
 def period_keys(spark, sf_dir):
     when = F.col("o_orderdate")
     labels = F.array(
-        F.when(F.year(when) >= 2000, F.concat(F.lit("FY"), F.date_format(when, "yy"))),
+        F.concat(F.lit("FY"), F.date_format(when, "yy")),
         F.date_format(when, "MMM yyyy"),
         F.concat(F.year(when).cast("string"), F.lit("-Q"), F.quarter(when).cast("string")),
         F.year(when).cast("string"),
@@ -1352,11 +1352,13 @@ def text_files(spark, sf_dir):
     ),
 )
 def csv_files(spark, sf_dir):
-    # Statements as CSV files, a folder per company and a column per quarter, then read back as tables.
+    # Statements as CSV files, a folder per company and a column per heading, then read back as tables.
     base = scratch_path(spark, "statements")
-    periods = [f"Q{quarter} {year}" for year in range(1992, 2003) for quarter in range(1, 5)]
+    given = inputs.cells(spark, sf_dir)
+    # Headings of a file's columns: as many as the calendar has quarters.
+    periods = [r.col_name for r in given.select("col_name").distinct().orderBy("col_name").collect()]
     wide = (
-        inputs.cells(spark, sf_dir)
+        given
         .groupBy("company_id", "document_id", "row_label")
         .agg(*[F.max(F.when(F.col("col_name") == p, F.col("value"))).alias(p) for p in periods])
         .select(F.col("company_id").alias("company"), F.col("row_label").alias("label"), *[F.col(f"`{p}`") for p in periods])

@@ -41,7 +41,7 @@ FROM documents GROUP BY source
 
 CELLS = """
 SELECT 'stmt_' || CAST(s AS VARCHAR) AS document_id, substr(md5('s' || CAST(s % 20 AS VARCHAR)),1,16) AS company_id,
-       0 AS table_index, r.row_index, r.row_label, q.period AS col_name,
+       0 AS table_index, r.row_index, q.col_index, r.row_label, q.period AS col_name,
        CASE r.row_index
          WHEN 0 THEN '$' || CAST(CAST(floor(cents / 100000) AS BIGINT) AS VARCHAR) || 'K'
          WHEN 1 THEN CAST(n % 90 AS VARCHAR) || '%'
@@ -50,14 +50,14 @@ SELECT 'stmt_' || CAST(s AS VARCHAR) AS document_id, substr(md5('s' || CAST(s %
          WHEN 4 THEN 'n/a'
          WHEN 5 THEN CAST(n AS VARCHAR)
          ELSE '€' || CAST(n AS VARCHAR) || 'k' END AS value
-FROM (SELECT l_suppkey AS s,
+FROM (SELECT l_suppkey AS s, CAST(year(l_shipdate) * 4 + quarter(l_shipdate) AS INT) AS col_index,
              'Q' || CAST(quarter(l_shipdate) AS VARCHAR) || ' ' || CAST(year(l_shipdate) AS VARCHAR) AS period,
              sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS cents, count(*) AS n
-      FROM lineitem GROUP BY 1, 2) q
+      FROM lineitem GROUP BY 1, 2, 3) q
 CROSS JOIN (VALUES (0,'Total Revenue'),(1,'Gross Margin'),(2,'Net income'),(3,'Cash balance'),
                    (4,'EBITDA margin'),(5,'Headcount (FTE)'),(6,'Monthly burn')) AS r(row_index, row_label)
 UNION ALL
-SELECT 'stmt_' || CAST(s_suppkey AS VARCHAR), substr(md5('s' || CAST(s_suppkey % 20 AS VARCHAR)),1,16), 0, 7, 'Notes',
+SELECT 'stmt_' || CAST(s_suppkey AS VARCHAR), substr(md5('s' || CAST(s_suppkey % 20 AS VARCHAR)),1,16), 0, 7, 1, 'Notes',
        'Comment', 'see annex'
 FROM supplier
 """
@@ -254,9 +254,9 @@ METRIC_OF_LABEL = """CASE
   WHEN regexp_matches(lower(row_label), 'active users|mau|dau|users') THEN 'active_users' END"""
 
 TABLE_METRICS = f"""
-SELECT document_id || '_' || CAST(table_index AS VARCHAR) || '_' || CAST(row_index AS VARCHAR) || '_' || col_name AS metric_id,
+SELECT document_id || '_' || CAST(table_index AS VARCHAR) || '_' || CAST(row_index AS VARCHAR) || '_' || CAST(col_index AS VARCHAR) || '_' || col_name AS metric_id,
        company_id, document_id, col_name AS period, metric_name, value, CAST(0.8 AS DOUBLE) AS confidence_score
-FROM (SELECT document_id, company_id, table_index, row_index, col_name, {METRIC_OF_LABEL} AS metric_name, {AMOUNT} AS value
+FROM (SELECT document_id, company_id, table_index, row_index, col_index, col_name, {METRIC_OF_LABEL} AS metric_name, {AMOUNT} AS value
       FROM cells WHERE {IS_PERIOD})
 WHERE metric_name IS NOT NULL AND value IS NOT NULL
 """

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions import ids
 from ledgerleaf.functions.constants import SUPPORTED_EXTENSIONS
-from ledgerleaf.functions.text import base_name, file_suffix, html_text, html_title, url_filename
+from ledgerleaf.functions.text import base_name, file_suffix, html_text, html_title, strip, url_filename
 
 
 def _relative_to(base: str, path: Column) -> Column:
@@ -97,7 +97,7 @@ def manifest(
 
 def read_urls(spark: SparkSession, path: str) -> DataFrame:
     """URLs of a text file, one per line, trimmed, blank lines left out."""
-    return spark.read.text(path).select(F.trim("value").alias("url")).filter(F.length("url") > 0)
+    return spark.read.text(path).select(strip("value").alias("url")).filter(F.length("url") > 0)
 
 
 def fetched_manifest(

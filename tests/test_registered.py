@@ -6,6 +6,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry_point
+from ledgerleaf.registry.queries import ORACLES, QUERIES
 
 SF_DIR = "/root/testdata/sf0.001"
 TABLES = (
@@ -28,14 +29,14 @@ def plain(value):
     return repr(value)
 
 
-@pytest.mark.parametrize("name", sorted(entry_point.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query_equals_sql(spark, duck, name):
-    frame = entry_point.queries()[name](spark, SF_DIR)
+    frame = QUERIES[name](spark, SF_DIR)
     plan = frame._jdf.queryExecution().executedPlan().toString()
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan
     columns = sorted(frame.columns)
     rows = sorted(tuple(plain(row[c]) for c in columns) for row in frame.collect())
-    result = duck.execute(entry_point.oracle_sql()[name])
+    result = duck.execute(ORACLES[name])
     names = [column[0] for column in result.description]
     assert sorted(names) == columns
     expected = sorted(tuple(plain(row[names.index(c)]) for c in columns) for row in result.fetchall())
