@@ -1,8 +1,8 @@
 """Overlapping chunks that prefer to end at a sentence.
 
 Where each chunk starts depends on where the one before ended, so the bounds of a document are one
-native fold over its sentence ends. The fold does a bounded amount of work per sentence and chunk
-texts are cut from fixed-length blocks, so cost grows with the length of the text, not its square.
+native fold over its sentence ends, in blocks of sentences, so that the list of bounds found so far is
+copied once per block only. Chunk texts are cut from fixed-length blocks.
 """
 
 from __future__ import annotations
@@ -17,6 +17,8 @@ from ledgerleaf.functions.text import as_col, strip
 # A sentence end is one of these followed by a blank or a line break.
 _SENTENCE_END = r"[.!?](?=[ \n])"
 _BLOCK = 16384
+# Sentences folded at a time.
+_FOLDED = 512
 
 
 def sentence_lengths(text: Column | str) -> Column:
@@ -67,13 +69,21 @@ def chunk_ends(
             .otherwise(state_of(cut, later, F.concat(ends, fixed)))
         )
 
+    def visit_block(state: Column, block: Column) -> Column:
+        # The ends of a block are listed on their own: a list that grows with the text is copied once per block.
+        last = block * _FOLDED + _FOLDED
+        pieces = F.slice(as_col(lengths), block * _FOLDED + 1, F.least(last, F.size(as_col(lengths)) - 1) - block * _FOLDED)
+        inner = F.aggregate(pieces, state_of(state["at"], state["start"], none), visit)
+        return state_of(inner["at"], inner["start"], F.concat(state["ends"], inner["ends"]))
+
     def close(state: Column) -> Column:
         left = F.ceil((total - state["start"]) / step).cast("int")
         tail = F.transform(F.sequence(F.lit(0), left - 1), lambda i: (state["start"] + size + i * step).cast("int"))
         return F.concat(state["ends"], tail)
 
-    closing = F.slice(as_col(lengths), 1, F.size(as_col(lengths)) - 1)
-    return F.aggregate(closing, state_of(F.lit(0), F.lit(0), none), visit, close)
+    closing = F.size(as_col(lengths)) - 1
+    blocks = F.when(closing > 0, F.sequence(F.lit(0), F.floor((closing - 1) / _FOLDED).cast("int"))).otherwise(none)
+    return F.aggregate(blocks, state_of(F.lit(0), F.lit(0), none), visit_block, close)
 
 
 def _cut(blocks: Column, body: Column, start: Column, length: Column) -> Column:
