@@ -17,16 +17,16 @@ from ledgerleaf.sources import parsers
 
 
 # Ids of at most this many unprocessed documents are broadcast to pick their files.
-MAX_SHARED_DOCUMENTS = 100_000
+MAX_SHARED_DOCUMENTS = 1_000_000
 
 
 def files_to_do(files: DataFrame, todo: DataFrame, max_shared: int = MAX_SHARED_DOCUMENTS) -> DataFrame:
-    """Files of the work list. File bytes are never shuffled: a short list is broadcast; with a long one all
-    files are parsed, and the keyed appends leave out what was stored before."""
+    """Files of the work list, and no others. A list that is counted to be short enough is broadcast, so that file
+    bytes stay where they are read; a longer one is met in a shuffle join."""
     listed = todo.select("document_id")
-    if listed.limit(max_shared + 1).count() > max_shared:
-        return files
-    return files.join(F.broadcast(listed), "document_id", "left_semi")
+    if listed.limit(max_shared + 1).count() <= max_shared:
+        listed = F.broadcast(listed)
+    return files.join(listed, "document_id", "left_semi")
 
 
 def document_metrics(
@@ -64,8 +64,9 @@ def process_documents(
     content``, see ``classified_folder``).
 
     Files are parsed where they are read. The texts are written to the shared folder once and read by each of
-    the following steps, none of which shuffles them. Chunks and metrics are saved before the status, so a
-    run that breaks off is simply repeated: what was saved is recognised by its ids. Returns the run's summary.
+    the following steps. Chunks, their embeddings and metrics are saved before the status, so a run that breaks off
+    is simply repeated: documents whose rows were saved are recognised by their ids, which alone are compared, so
+    neither texts nor vectors are shuffled for it. Returns the run's summary.
     """
     todo = work_list(spark.table(f"{database}.documents"))
     picked = files_to_do(files, todo)
@@ -73,18 +74,19 @@ def process_documents(
     chunks = stored(document_chunks(extracted, size, overlap), "chunks")
     found = stored(metrics.to_wide(document_metrics(extracted, fn)), "metrics")
 
-    tables.append_new(chunks, f"{database}.document_chunks")
+    tables.append_documents(chunks, f"{database}.document_chunks")
+    own = tables.without_stored(chunks.select("chunk_id", "company_id", "text"), f"{database}.chunk_embeddings", "chunk_id")
+    tables.append(embed(own, "text", "embedding").select("chunk_id", "company_id", "embedding"), f"{database}.chunk_embeddings")
     tables.append_new(found, f"{database}.financial_metrics")
     results = extracted.select("document_id", "success", "error", "page_count", "has_tables", "has_charts")
     tables.mark_documents(results, f"{database}.documents")
-    sync_embeddings(spark, database, embed)
     return run_summary(extracted.select(F.col("success").alias("processed")), chunks, found)
 
 
 def sync_embeddings(
     spark: SparkSession, database: str, embed: retrieve.Embedder = retrieve.hashed_embedding
 ) -> int:
-    """Embed the chunks that have no embedding yet; returns how many."""
+    """Catch up on all stored chunks that have no embedding yet (a run embeds its own); returns how many."""
     missing = retrieve.new_embeddings(
         spark.table(f"{database}.document_chunks"), spark.table(f"{database}.chunk_embeddings"), embed
     )

@@ -82,6 +82,22 @@ def append_new(df: DataFrame, table: str, key: str | None = None) -> int:
     return append(new_rows(df, spark.table(table), key), table)
 
 
+def without_stored(df: DataFrame, table: str, key: str) -> DataFrame:
+    """The rows of ``df`` (a stored frame) whose key the table does not have. Only keys are compared; other columns
+    are shuffled only if some keys are there already, as after a run that broke off."""
+    known = df.sparkSession.table(table).select(key)
+    repeated = df.select(key).distinct().join(known, key, "left_semi")
+    return df if repeated.isEmpty() else df.join(repeated, key, "left_anti")
+
+
+def append_documents(df: DataFrame, table: str) -> int:
+    """Append the rows of the documents the table has no rows of yet; returns how many.
+
+    An append is one commit, so a document's rows are there as a whole or not at all.
+    """
+    return append(without_stored(df, table, "document_id"), table)
+
+
 def replace(df: DataFrame, table: str, partitions_only: bool = False) -> None:
     """Replace a table, or only the partitions that occur in ``df``, by rows that may be derived from it.
 

@@ -19,6 +19,9 @@ from ledgerleaf.operators.classify import classify
 
 DocumentsOf = Callable[[DataFrame], DataFrame]
 
+# Files of a micro-batch, which is held on the executors while its tables are written.
+FILES_PER_BATCH = 1000
+
 
 def _stored_ids(spark: SparkSession, path: str, label: str) -> DataFrame | None:
     """Ids of the documents stored by other batches, or None before the first."""
@@ -35,10 +38,16 @@ def process_batch(arrived: DataFrame, target: str, label: str) -> None:
     Documents that another batch has stored are left out. Each batch owns the partition ``batch=<label>`` of
     every table and overwrites it, so a batch that broke off is repeated without checking chunk by chunk.
     """
-    fresh = arrived.dropDuplicates(["document_id"])
+    # Only ids are compared; texts move if some of them did arrive before, or twice.
+    ids = arrived.groupBy("document_id").count()
+    fresh = arrived
     known = _stored_ids(arrived.sparkSession, f"{target}/documents", label)
     if known is not None:
-        fresh = fresh.join(known, "document_id", "left_anti")
+        repeated = ids.select("document_id").join(known, "document_id", "left_semi")
+        if not repeated.isEmpty():
+            fresh = fresh.join(repeated, "document_id", "left_anti")
+    if not ids.filter("count > 1").isEmpty():
+        fresh = fresh.dropDuplicates(["document_id"])
     batch = classify(fresh).persist()
     chunks = chunk(batch.select("document_id", "company_id", "document_type", "text"))
     found = metrics.text_metrics(batch.filter(F.col("document_type") == "financial"))
@@ -54,7 +63,7 @@ def incremental(
     target: str,
     checkpoint: str,
     documents_of: DocumentsOf = lambda rows: rows,
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = FILES_PER_BATCH,
 ) -> StreamingQuery:
     """Start a run over what has arrived at ``source`` (parquet) since the last run, and end with it.
 

@@ -70,7 +70,7 @@ def test_ingest_process_analyse(spark, base):
     process.process_documents(spark, DB, contents)
     assert counts(spark) == before
     assert process.files_to_do(contents, spark.table(f"{DB}.documents").limit(2), 2).count() == 2
-    assert process.files_to_do(contents, spark.table(f"{DB}.documents").limit(2), 1).count() == 5
+    assert process.files_to_do(contents, spark.table(f"{DB}.documents").limit(2), 1).count() == 2
 
     reply = '{"score": 7.5, "reasoning": "fine", "key_findings": ["one", "two", "three"]}'
 
