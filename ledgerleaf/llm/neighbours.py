@@ -323,7 +323,7 @@ def nearest(
         for batch in batches:
             if batch.num_rows:
                 a, b = _matrix(batch.column(2), np.float64), _matrix(batch.column(3), np.float64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt(((a - b) ** 2).sum(axis=1)))], ["query_id", "node", "score"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt(np.cumsum((a - b) ** 2, axis=1)[:, -1]))], ["query_id", "node", "score"])
 
     kind = dict(rows.dtypes)[id_column]
     measured = pairs.mapInArrow(exact, f"query_id {kind}, node long, score double")

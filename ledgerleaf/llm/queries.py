@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import chat, decontaminate, hmm, langid, minhash, neighbours, packing, quality, substrings
+from ledgerleaf.llm import chat, decontaminate, hmm, langid, minhash, neighbours, oracles, packing, quality, substrings
 from ledgerleaf.llm.common import in_fold, table
 
 
@@ -75,4 +75,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+# Scores of trained models and token ids of a tokenizer are beyond SQL; tests compare those with brute force.
+ORACLES: dict[str, str] = {
+    "op3_decontamination": oracles.DECONTAMINATION,
+    "op5_minhash_dedup": oracles.NEAR_DUPLICATES,
+    "op6_nn_descent": oracles.NEAREST,
+    "op7_suffix_array_dedup": oracles.REPEATED_STRINGS,
+    "op8_chat_formatting": oracles.CHAT,
+}
