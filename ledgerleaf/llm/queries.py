@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import chat, decontaminate, hmm, langid, minhash, neighbours, oracles, packing, quality, substrings
+from ledgerleaf.llm import chat, decontaminate, hmm, langid, lengths, minhash, neighbours, oracles, packing, quality, substrings
 from ledgerleaf.llm.common import in_fold, table
 
 
@@ -21,6 +21,10 @@ def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.score(table(spark, sf_dir, "documents"), in_fold(F.col("doc_id"), 5, 1))
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lengths.suffix_sums(lengths.encoded_lengths(table(spark, sf_dir, "documents"), tokenizer_path()))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,6 +69,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_scores": op1_hmm_scores,
+    "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_quality": op4_quality,
     "op5_minhash_dedup": op5_minhash_dedup,
