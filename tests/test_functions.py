@@ -177,3 +177,22 @@ def test_html(spark):
     html = "<title>A &amp; B</title><style>p{}</style><p>x<br>y&nbsp;&lt;z&gt;</p><!-- no --><script>var t='<p>'</script>"
     assert value(spark, text.html_title(F.lit(html))) == "A & B"
     assert value(spark, text.html_text(F.lit(html))) == "A & B x y <z>"
+
+
+def test_two_digit_years_have_a_pivot(spark):
+    labels = ["FY95", "FY99", "FY70", "FY69", "FY01", "FY 24"]
+    rows = spark.createDataFrame([(x,) for x in labels], "label string").select("label", numbers.period_key("label").alias("k")).collect()
+    assert {r.label: r.k.year for r in rows} == {"FY95": 1995, "FY99": 1999, "FY70": 1970, "FY69": 2069, "FY01": 2001, "FY 24": 2024}
+    assert rows[0].k.isoformat() == "1995-01-01"
+    early = spark.createDataFrame([("FY95",)], "label string").select(numbers.period_key("label", pivot_year=99)).first()[0]
+    assert early.year == 2095
+
+
+def test_equal_headings_keep_both_values(spark):
+    cells = spark.createDataFrame(
+        [("c", "d", 0, 1, i, "Revenue", "Q1 2024", v) for i, v in ((1, "$1M"), (2, "$2M"))],
+        "company_id string, document_id string, table_index int, row_index int, col_index int, row_label string, col_name string, value string",
+    )
+    rows = metrics.table_metrics(cells).collect()
+    assert len({r.metric_id for r in rows}) == 2
+    assert {r.value for r in rows} == {1e6, 2e6}
