@@ -21,6 +21,7 @@ from ledgerleaf.functions.constants import ANSWER_TOP_K
 
 # Distinct question vectors sent to every task: 1,024 vectors of 1,024 doubles are 8 MB.
 MAX_SHARED_VECTORS = 1024
+MAX_SHARED_PAIRS = 200_000
 # Company ids of at most this many asked companies are broadcast to filter the chunks.
 MAX_SHARED_COMPANIES = 10_000
 _DIGITS = 9
@@ -75,13 +76,14 @@ def _matrix(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return names, _unit_rows([row["embedding"] for row in vectors]) if vectors else np.zeros((0, 0))
 
 
-def _search_shared(filtered: list, unfiltered: list, chunks: DataFrame, k: int) -> DataFrame:
-    """Score every chunk against few vectors, in one pass over the chunks and without shuffling them.
-
-    Gives ``_vector, _scope, rank, chunk_id, score``: the ``k`` best of each company for the filtered
-    vectors, and the ``k`` best of all, with scope '', for the others.
-    """
+def _shared_candidates(filtered: list, unfiltered: list, pairs: list, chunks: DataFrame, k: int) -> DataFrame:
+    """The ``k`` best chunks of a batch: of each company for the vectors that asked it (``pairs``), and of all, with
+    scope '', for the unfiltered vectors. Companies that nobody asked about are not scored."""
     of_company, of_all = _matrix(filtered), _matrix(unfiltered)
+    place = {name: i for i, name in enumerate(of_company[0])}
+    asked_of: dict[str, list[int]] = {}
+    for pair in pairs:
+        asked_of.setdefault(pair["company_id"], []).append(place[pair["_vector"]])
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -89,21 +91,34 @@ def _search_shared(filtered: list, unfiltered: list, chunks: DataFrame, k: int)
                 continue
             ids = batch["chunk_id"].to_numpy()
             data = _unit_rows(batch["embedding"].tolist())
-            codes, names = pd.factorize(batch["company_id"], use_na_sentinel=False)
-            companies = np.array([None if pd.isna(name) else name for name in names], dtype=object)
             if filtered:
-                best = _best_per_batch(ids, data, of_company[1], of_company[0], codes, k)
-                row = best.pop("_row").to_numpy()
-                yield best.assign(_scope=companies[codes[row]], chunk_id=ids[row])
+                codes, names = pd.factorize(batch["company_id"], use_na_sentinel=False)
+                order = np.argsort(codes, kind="stable")
+                edges = np.searchsorted(codes[order], np.arange(len(names) + 1))
+                for name, start, stop in zip(names, edges[:-1], edges[1:]):
+                    if name in asked_of:
+                        rows, own = order[start:stop], asked_of[name]
+                        groups = np.zeros(len(rows), dtype=np.int64)
+                        best = _best_per_batch(ids[rows], data[rows], of_company[1][own], of_company[0][own], groups, k)
+                        row = best.pop("_row").to_numpy()
+                        yield best.assign(_scope=name, chunk_id=ids[rows][row])
             if unfiltered:
                 best = _best_per_batch(ids, data, of_all[1], of_all[0], np.zeros(len(ids), dtype=np.int64), k)
                 row = best.pop("_row").to_numpy()
                 yield best.assign(_scope="", chunk_id=ids[row])
 
-    candidates = chunks.select("chunk_id", "company_id", "embedding").mapInPandas(
+    return chunks.select("chunk_id", "company_id", "embedding").mapInPandas(
         score, "_vector string, score double, _scope string, chunk_id string"
     )
-    return _ranked(candidates, ["_vector", "_scope"], k)
+
+
+def _search_shared(filtered: list, unfiltered: list, pairs: list, chunks: DataFrame, k: int) -> DataFrame:
+    """Score chunks against few vectors, in one pass over the chunks and without shuffling them.
+
+    Gives ``_vector, _scope, rank, chunk_id, score``: the ``k`` best of each company for the vectors that asked it,
+    and the ``k`` best of all, with scope '', for the others.
+    """
+    return _ranked(_shared_candidates(filtered, unfiltered, pairs, chunks, k), ["_vector", "_scope"], k)
 
 
 def _blocks(rows: DataFrame, key: str) -> DataFrame:
@@ -177,13 +192,15 @@ def search(
     max_shared_vectors: int = MAX_SHARED_VECTORS,
     max_shared_companies: int = MAX_SHARED_COMPANIES,
     rows_per_task: int = 500_000,
+    max_shared_pairs: int = MAX_SHARED_PAIRS,
 ) -> DataFrame:
     """``query_id, rank, chunk_id, score`` of the ``k`` chunks most similar to each question.
 
     ``queries`` has ``query_id, company_id, embedding``, ``chunks`` has ``chunk_id, company_id, embedding``.
     A question with a company sees that company's chunks only, one without sees all. The same vector asked
-    of many companies counts once: up to ``max_shared_vectors`` distinct ones go to the chunks, more of
-    them meet the chunks in a join of blocks. Both ways give the same rows.
+    of many companies counts once: up to ``max_shared_vectors`` distinct ones, asked in up to ``max_shared_pairs`` pairs
+    of vector and company, go to the chunks, more of them meet the chunks in a join of blocks. Both ways give the same
+    rows, and neither scores a company against vectors that did not ask it.
     """
     has_company = F.col("company_id").isNotNull()
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "company_id", "embedding").withColumns(
@@ -196,7 +213,12 @@ def search(
         .limit(max_shared_vectors + 1)
         .collect()
     )
-    if len(vectors) <= max_shared_vectors:
+    pairs = (
+        asked.filter(has_company).select("_vector", "company_id").distinct().limit(max_shared_pairs + 1).collect()
+        if len(vectors) <= max_shared_vectors
+        else []
+    )
+    if len(vectors) <= max_shared_vectors and len(pairs) <= max_shared_pairs:
         filtered = [row for row in vectors if row["_filtered"]]
         unfiltered = [row for row in vectors if not row["_filtered"]]
         corpus = chunks
@@ -206,7 +228,7 @@ def search(
             # embeddings and the last join drops what nobody asked for anyway.
             if companies.limit(max_shared_companies + 1).count() <= max_shared_companies:
                 corpus = chunks.join(F.broadcast(companies), "company_id", "left_semi")
-        best = _search_shared(filtered, unfiltered, corpus, k)
+        best = _search_shared(filtered, unfiltered, pairs, corpus, k)
         return asked.join(best, ["_vector", "_scope"]).select("query_id", "rank", "chunk_id", "score")
     of_company = chunks.filter(has_company).withColumn("_scope", F.col("company_id"))
     of_all = chunks.withColumn("_scope", F.lit(""))

@@ -119,3 +119,15 @@ def test_new_embeddings(spark):
     assert sorted(row["chunk_id"] for row in fresh) == ["d2_0", "d3_0"]
     norms = {row["chunk_id"]: sum(x * x for x in row["embedding"]) for row in fresh}
     assert norms["d2_0"] == pytest.approx(1.0, abs=1e-5) and norms["d3_0"] == 0.0
+
+
+def test_candidates_are_those_of_asked_pairs_only(spark):
+    chunks = spark.range(20_000).selectExpr(
+        "concat('k', id) AS chunk_id", "concat('c', id % 5000) AS company_id", "array(sin(id), cos(id), sin(id * 3.0)) AS embedding"
+    ).repartition(4)
+    vectors = [{"_vector": f"v{i}", "embedding": [np.sin(i + 0.5), np.cos(i), 0.3]} for i in range(200)]
+    pairs = [{"_vector": f"v{i}", "company_id": f"c{i * 7}"} for i in range(200)]
+    found = retrieve._shared_candidates(vectors, [], pairs, chunks, 3)
+    # Each company has four chunks: at most so many candidates for each pair, of 4,000,000 pairs with all chunks.
+    assert found.count() <= 4 * 200
+    assert found.select("_vector", "_scope").distinct().count() == 200
