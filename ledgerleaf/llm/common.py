@@ -129,10 +129,13 @@ class Words:
             self.starts = self.ends = np.zeros(0, np.int64)
 
 
-# Rows of a join side that may be broadcast: checked by count, beyond it the join is a shuffle. Only for narrow rows.
-BROADCAST_ROWS = 1_000_000
+# Rows (and array elements in them) of a join side that may be broadcast; beyond it the join is a shuffle.
+BROADCAST_ROWS = 500_000
 
 
-def sized(side: DataFrame) -> DataFrame:
-    """A stored, narrow join side, marked for broadcast if it is counted to be small enough."""
-    return F.broadcast(side) if side.count() <= BROADCAST_ROWS else side
+def sized(side: DataFrame, items: str | None = None) -> DataFrame:
+    """A stored, narrow join side, marked for broadcast if it is counted to be small enough, with the elements of the
+    array ``items``. Stored sides of a shuffle join also let Spark split the keys that are hot."""
+    extra = F.sum(F.size(items)) if items else F.lit(0)
+    rows, more = side.agg(F.count(F.lit(1)), extra).first()
+    return F.broadcast(side) if rows + (more or 0) <= BROADCAST_ROWS else side

@@ -8,8 +8,8 @@ minima each, its bands. Classes that share a band are candidates:
 1. In each band bucket the member that meets most others is the hub, and all others are compared with it: as many
    pairs as members, however large the bucket. The estimate, corrected for chance collisions of the low bits, drops
    pairs that are far from the limit; the rest is confirmed on full sets, and links are joined to components.
-2. Members of a bucket that are in different components by now are compared as well, in blocks of signatures inside
-   tasks; only pairs that pass the estimate leave them, and are confirmed in turn.
+2. Members of a bucket that are in different components by now get signatures of 1,024 minima and are compared in
+   blocks of these inside tasks; only pairs that pass this finer estimate leave them, and are confirmed in turn.
 
 Buckets are counted and split by aggregates and joins, members of a hub are spread over salted keys, and a
 task that confirms links streams over its rows and holds the hub's set only. No pair in a shared band is skipped
@@ -31,12 +31,14 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import RangeHash, Words, mixed, slices, stored, texts_of
+from ledgerleaf.llm.common import RangeHash, Words, mixed, sized, slices, stored, texts_of
 from ledgerleaf.llm.graph import components
 
 SHINGLE = 5
 PERCENT = 75
 HASHES, BANDS, BITS = 128, 32, 4
+# Minima of the signatures that tell members of a bucket apart after the first links.
+FINE_HASHES = 1024
 # Standard errors of the estimate that a pair at the limit may fall short before it is dropped unconfirmed.
 MARGIN = 5.0
 BLOCK = 1024
@@ -74,23 +76,33 @@ def _factors(n: int) -> np.ndarray:
     return mixed(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F)) | np.uint64(1)
 
 
-def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Packed low bits (eight words for each set) and band hashes of sets that are not empty."""
+def _minima(sets: list[np.ndarray], hashes: int) -> np.ndarray:
+    """Least value of each hash function (first axis) over each set; no set is empty."""
     flat = np.concatenate(sets)
     starts = np.concatenate(([0], np.cumsum([len(x) for x in sets])[:-1]))
-    minima = np.empty((HASHES, len(sets)), np.uint64)
+    minima = np.empty((hashes, len(sets)), np.uint64)
     product = np.empty_like(flat)
-    for k, factor in enumerate(_factors(HASHES)):
+    for k, factor in enumerate(_factors(hashes)):
         np.multiply(flat, factor, out=product)
         minima[k] = np.minimum.reduceat(product, starts)
+    return minima
+
+
+def _packed(minima: np.ndarray) -> np.ndarray:
+    """Low bits of the minima of each set, sixteen to a 64-bit word."""
     low = mixed(minima) & np.uint64((1 << BITS) - 1)
     lanes = 64 // BITS
     shifts = (np.arange(lanes, dtype=np.uint64) * np.uint64(BITS))[:, None]
-    packed = [np.bitwise_or.reduce(low[i : i + lanes] << shifts, axis=0) for i in range(0, HASHES, lanes)]
+    return np.stack([np.bitwise_or.reduce(low[i : i + lanes] << shifts, axis=0) for i in range(0, len(minima), lanes)], axis=1)
+
+
+def signatures(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Packed low bits (eight words for each set) and band hashes of sets that are not empty."""
+    minima = _minima(sets, HASHES)
     rows = HASHES // BANDS
     by_band = minima.reshape(BANDS, rows, -1) * _factors(rows)[None, :, None]
     bands = mixed(by_band.sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)[:, None])
-    return np.stack(packed, axis=1), bands.T.copy()
+    return _packed(minima), bands.T.copy()
 
 
 def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -99,15 +111,16 @@ def estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     differ = a ^ b
     differ = differ | (differ >> np.uint64(2))
     differ = differ | (differ >> np.uint64(1))
-    equal = 1 - np.bitwise_count(differ & np.uint64(0x1111111111111111)).sum(axis=-1) / HASHES
+    lanes = a.shape[-1] * 64 // BITS
+    equal = 1 - np.bitwise_count(differ & np.uint64(0x1111111111111111)).sum(axis=-1) / lanes
     chance = 1 / (1 << BITS)
     return (equal - chance) / (1 - chance)
 
 
-def least_estimate(percent: int = PERCENT) -> float:
+def least_estimate(percent: int = PERCENT, hashes: int = HASHES) -> float:
     limit, chance = percent / 100, 1 / (1 << BITS)
     agree = chance + (1 - chance) * limit
-    return limit - MARGIN * (agree * (1 - agree) / HASHES) ** 0.5 / (1 - chance)
+    return limit - MARGIN * (agree * (1 - agree) / hashes) ** 0.5 / (1 - chance)
 
 
 def _digest(text: Column) -> Column:
@@ -161,7 +174,7 @@ def _buckets(classes: DataFrame) -> DataFrame:
 
     rows = classes.select("node", "bands").mapInArrow(explode, "bucket long, node long")
     shared = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
-    return rows.join(shared, "bucket")
+    return rows.join(sized(stored(shared, "shared")), "bucket")
 
 
 def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -184,8 +197,8 @@ def _estimated(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that are similar as full sets. Texts of a go to the text of b, in several shares if they are many."""
-    shares = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_SALT).alias("shares"))
-    members = pairs.join(shares, "b").select("b", F.expr("pmod(xxhash64(a), shares)").alias("share"), F.lit(1).alias("kind"), F.col("a").alias("node"))
+    shares = stored(pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / MEMBERS_PER_SALT).alias("shares")), "shares")
+    members = pairs.join(sized(shares), "b").select("b", F.expr("pmod(xxhash64(a), shares)").alias("share"), F.lit(1).alias("kind"), F.col("a").alias("node"))
     heads = shares.select("b", F.explode(F.expr("sequence(0L, shares - 1)")).alias("share"), F.lit(0).alias("kind"), F.col("b").alias("node"))
     rows = members.unionByName(heads).join(texts, "node").repartition("b", "share").sortWithinPartitions("b", "share", "kind")
 
@@ -207,31 +220,47 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return rows.select("b", "kind", "node", "text").mapInArrow(confirm, "a long, b long")
 
 
-def _across(buckets: DataFrame, roots: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Pairs of different components in a bucket that pass the estimate, compared in blocks of signatures."""
+def _fine(nodes: DataFrame, texts: DataFrame) -> DataFrame:
+    """Rows (node, signature, n) with long signatures."""
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes = RangeHash()
+        for batch in slices(batches, "text"):
+            sets = shingle_sets(texts_of(batch, "text"), hashes)
+            packed = [x.tobytes() for x in _packed(_minima(sets, FINE_HASHES))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array([len(x) for x in sets], pa.int64())], ["node", "signature", "n"])
+
+    return texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(sign, "node long, signature binary, n long")
+
+
+def _across(buckets: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """Pairs of different components in a bucket that pass the finer estimate, compared in blocks of signatures."""
     placed = buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
-    mixed_buckets = placed.groupBy("bucket").agg(
+    parted = placed.groupBy("bucket").agg(
         F.min("root").alias("low"), F.max("root").alias("high"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")
     )
-    rows = placed.join(mixed_buckets.where("low != high").select("bucket", "blocks"), "bucket")
+    parted = stored(parted.where("low != high").select("bucket", "blocks"), "parted")
+    rows = stored(placed.join(sized(parted), "bucket"), "across")
+    fine = stored(_fine(rows.select("node").distinct(), texts), "fine").dropDuplicates(["node"])
     rows = rows.withColumn("own", F.expr("pmod(xxhash64(node), blocks)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    rows = rows.join(classes.select("node", "signature"), "node")
+    rows = rows.join(fine, "node")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    least = least_estimate(percent)
+    least = least_estimate(percent, FINE_HASHES)
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unit, held = None, []
 
         def pairs() -> pa.RecordBatch:
-            node, root, own = (np.array([x[k] for x in held]) for k in range(3))
-            low = np.frombuffer(b"".join(x[3] for x in held), np.uint64).reshape(len(held), -1)
+            node, root, own, n = (np.array([x[k] for x in held]) for k in range(4))
+            low = np.frombuffer(b"".join(x[4] for x in held), np.uint64).reshape(len(held), -1)
             one, two = [], []
             for x in range(len(held) - 1):
                 y = np.arange(x + 1, len(held))
                 # In a unit of two blocks, those within a block belong to another unit.
                 y = y[(root[y] != root[x]) & ((own[y] != own[x]) | (unit[1] == unit[2]))]
+                y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
                 y = y[estimate(low[x], low[y]) >= least] if len(y) else y
                 one.append(np.minimum(node[x], node[y]))
                 two.append(np.maximum(node[x], node[y]))
@@ -239,16 +268,16 @@ def _across(buckets: DataFrame, roots: DataFrame, classes: DataFrame, percent: i
             return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["a", "b"])
 
         for batch in batches:
-            for *key, node, root, own, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, node, root, own, n, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != unit:
                     if len(held) > 1:
                         yield pairs()
                     unit, held = key, []
-                held.append((node, root, own, signature))
+                held.append((node, root, own, n, signature))
         if len(held) > 1:
             yield pairs()
 
-    return rows.select("bucket", "i", "j", "node", "root", "own", "signature").mapInArrow(compare, "a long, b long").distinct()
+    return rows.select("bucket", "i", "j", "node", "root", "own", "n", "signature").mapInArrow(compare, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -265,14 +294,14 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     pairs = buckets.join(hubs, "bucket").where("node != b").select(F.col("node").alias("a"), "b").distinct()
     pairs = stored(_estimated(pairs, classes, percent), "pairs")
 
-    wanted = buckets.select("node").distinct().join(classes.select("node", "id", "set"), "node")
+    wanted = stored(buckets.select("node").distinct().join(classes.select("node", "id", "set"), "node"), "wanted")
     texts = docs.select(F.col(id_column).alias("text_id"), F.col(text_column).alias("text"))
-    found = texts.join(wanted, F.col("text_id").eqNullSafe(F.col("id"))).select("node", "set", "text")
+    found = texts.join(sized(wanted), F.col("text_id").eqNullSafe(F.col("id"))).select("node", "set", "text")
     held = stored(_with_set(found), "texts")
 
     links = stored(_confirmed(pairs, held, percent), "confirmed")
     roots = stored(components(links), "roots")
-    more = _across(buckets, roots, classes, percent)
+    more = _across(buckets, roots, held, percent)
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stored(more.join(tested, ["a", "b"], "left_anti"), "pairs")
     links = links.union(_confirmed(more, held, percent))
