@@ -103,7 +103,14 @@ def count_words(texts: DataFrame) -> DataFrame:
 def vocabulary(counts: DataFrame, listed: int = LISTED, own: int = OWN_CLASSES) -> Vocabulary:
     """From the stored counts: bounded lists and sums reach the driver, the counts stay where they are."""
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(listed).collect()
+    # Counts by their powers of two tell which words can be listed: only these are sorted and reach the driver.
+    powers = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("power")).agg(F.count(F.lit(1)).alias("words"))
+    above, least = 0, 0
+    for r in sorted(powers.collect(), key=lambda r: -r.power):
+        above, least = above + r.words, r.power
+        if above >= listed:
+            break
+    top = counts.where(F.col("n") >= (1 << least)).orderBy(F.desc("n"), "word").limit(listed).collect()
     words = {bytes(r.word): i for i, r in enumerate(top)}
     first = set(list(words)[:own])
 

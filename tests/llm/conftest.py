@@ -58,8 +58,3 @@ def listed(docs):
 @pytest.fixture(scope="session")
 def none(docs):
     return docs.where("false")
-
-
-def by_row(rows, *columns):
-    """Sorted tuples, for comparing tables that hold equal rows."""
-    return sorted(tuple(r[c] for c in columns) for r in rows) if columns else sorted(map(tuple, rows))

@@ -23,7 +23,7 @@ def test_odd_rows_get_scores(spark, docs, none, sf_dir):
     assert len(rows) == docs.count()
     assert all(0 <= r.score <= 1 for r in rows)
     same = [r.score for r in rows if r.doc_id in (90001, 90002, 90003)]
-    assert len(set(same)) == 1
+    assert len(same) == 3 and max(same) - min(same) < 1e-5
     assert quality.score(none, labels, F.lit(False)).count() == 0
     assert {r.score for r in quality.score(docs, labels.where("false"), F.lit(False)).collect()} == {0.5}
 
