@@ -198,8 +198,9 @@ def train(
     """Fit to at most ``sample`` of the labelled documents."""
     usable = labels.where(F.col(label_column).isNotNull() & F.col(id_column).isNotNull())
     chosen = usable.groupBy(F.col(id_column).alias("key")).agg(F.min(label_column).alias("y"))
-    # The bound makes this side small enough to broadcast.
-    chosen = F.broadcast(chosen.orderBy(F.xxhash64("key"), "key").limit(sample))
+    # About twice as many as wanted are sorted; the bound makes this side small enough to broadcast.
+    place, share = F.pmod(F.xxhash64("key"), F.lit(1 << 40)), min(1.0, 2 * sample / max(1, chosen.count()))
+    chosen = F.broadcast(chosen.where(place <= int(share * (1 << 40))).orderBy(place, "key").limit(sample))
     own = docs.select(F.col(id_column).alias("key"), F.col(text_column).alias("text")).join(chosen, "key")
     found = _features(own, "text", [(F.col("key"), "key"), (F.col("y").cast("double"), "y")], vectors, None).toArrow()
     order = np.argsort(np.array([str(k) for k in found.column("key").to_pylist()]), kind="stable")
