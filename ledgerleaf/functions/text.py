@@ -86,6 +86,17 @@ def _decode_entities(value: Column) -> Column:
     return value
 
 
+def text_counts(text: Column | str) -> dict[str, Column]:
+    """Characters, lines and paragraphs (parted by blank lines, blank ones left out) of a text."""
+    value = as_col(text)
+    paragraphs = F.filter(F.split(value, r"\n[ \t]*\n"), lambda part: F.length(F.trim(part, F.lit(" \t\n"))) > 0)
+    return {
+        "char_count": F.length(value).cast("long"),
+        "line_count": (F.regexp_count(value, F.lit("\n")) + 1).cast("long"),
+        "paragraph_count": F.size(paragraphs).cast("long"),
+    }
+
+
 def html_text(html: Column | str) -> Column:
     """Visible text of a page on one line."""
     value = F.regexp_replace(as_col(html), r"(?s)<!--.*?-->", " ")

@@ -172,4 +172,6 @@ def analyse_companies(
         ),
         "analyses",
     )
-    return tables.save_analyses(analyses, analysis_dimensions(analyses), database)
+    saved = tables.save_analyses(analyses, analysis_dimensions(analyses), database)
+    tables.update_rollup(spark, database)
+    return saved

@@ -65,6 +65,7 @@ def ingest_folders(
     # The summary has a row per company; it is fixed before the registration changes what is new.
     summary = cut(summary)
     tables.register_documents(documents, f"{database}.documents")
+    tables.update_rollup(spark, database)
     return summary
 
 

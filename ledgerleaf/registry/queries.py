@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerleaf.functions import ids
 from ledgerleaf.functions.constants import COMPANY_STAGES, METRIC_COLUMNS, RECOMMENDATIONS, TYPE_KEYWORDS
 from ledgerleaf.functions.numbers import is_period, parse_amount, period_key
-from ledgerleaf.functions.text import url_filename
+from ledgerleaf.functions.text import text_counts, url_filename
 from ledgerleaf.operators import (
     answer,
     chunk as chunking,
@@ -367,16 +367,8 @@ def chunk_stats(spark, sf_dir):
     FROM documents""",
 )
 def document_metadata(spark, sf_dir):
-    text = F.col("text")
-    paragraphs = F.filter(
-        F.split(text, r"\n[ \t]*\n"), lambda part: F.length(F.trim(part, F.lit(" \t\n"))) > 0
-    )
-    return inputs.table(spark, sf_dir, "documents").select(
-        "doc_id",
-        F.length(text).cast("long").alias("char_count"),
-        (F.regexp_count(text, F.lit("\n")) + 1).cast("long").alias("line_count"),
-        F.size(paragraphs).cast("long").alias("paragraph_count"),
-    )
+    counts = text_counts("text")
+    return inputs.table(spark, sf_dir, "documents").select("doc_id", *(c.alias(name) for name, c in counts.items()))
 
 
 @query(

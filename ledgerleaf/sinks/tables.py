@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf import schemas
-from ledgerleaf.operators.report import table_counts
+from ledgerleaf.operators.report import company_rollup, table_counts
 from ledgerleaf.operators.status import new_rows, status_merge, upsert_companies
 from ledgerleaf.session import scratch_path
 
@@ -144,6 +144,14 @@ def mark_documents(results: DataFrame, table: str) -> None:
         replace(status_merge(documents.filter(F.col("upload_day").isin(days)), results), table, partitions_only=True)
 
 
+def update_rollup(spark: SparkSession, database: str) -> None:
+    """Bring ``total_documents`` and ``last_analyzed`` of all companies up to date in their table."""
+    rolled = company_rollup(
+        spark.table(f"{database}.companies"), spark.table(f"{database}.documents"), spark.table(f"{database}.investment_analysis")
+    )
+    replace(rolled, f"{database}.companies")
+
+
 def save_analyses(analyses: DataFrame, dimensions: DataFrame, database: str) -> int:
     """Append new analyses and their dimensions; dimensions first, so that no analysis lacks them."""
     spark = analyses.sparkSession

@@ -52,7 +52,14 @@ def _rendered(rows: list[list[str | None]]) -> str:
 
 def parse_text(content: bytes) -> dict:
     text = content.decode("utf-8", errors="ignore")
-    return {"file_type": "text", "full_text": text, "page_count": 1, "line_count": text.count("\n") + 1}
+    paragraphs = [part for part in re.split(r"\n[ \t]*\n", text) if part.strip(" \t\n")]
+    return {
+        "file_type": "text",
+        "full_text": text,
+        "page_count": 1,
+        "line_count": text.count("\n") + 1,
+        "paragraph_count": len(paragraphs),
+    }
 
 
 def parse_csv(content: bytes) -> dict:

@@ -91,6 +91,8 @@ def test_ingest_process_analyse(spark, base):
     rolled = report.company_rollup(
         spark.table(f"{DB}.companies"), spark.table(f"{DB}.documents"), spark.table(f"{DB}.investment_analysis")
     )
+    written = spark.table(f"{DB}.companies").select("name", "total_documents", F.col("last_analyzed").isNotNull().alias("seen"))
+    assert {tuple(r) for r in written.collect()} == {("Acme Corp", 4, True), ("Beta", 1, True), ("Gone", 0, True)}
     assert {(r["name"], r["total_documents"]) for r in rolled.collect()} == {("Acme Corp", 4), ("Beta", 1), ("Gone", 0)}
     checks = quality.check_columns(
         spark.table(f"{DB}.investment_analysis"), {"overall_score": (0, 10), "confidence_level": (0, 1)}, None, ["company_id"]
