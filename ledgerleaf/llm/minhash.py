@@ -42,7 +42,7 @@ FINE_HASHES = 1024
 # Standard errors of the estimate that a pair at the limit may fall short before it is dropped unconfirmed.
 MARGIN = 5.0
 BLOCK = 1024
-MEMBERS_PER_SALT = 2000
+MEMBERS_PER_SALT = 256
 
 
 def shingle_sets(texts: list[bytes], hashes: RangeHash, size: int = SHINGLE) -> list[np.ndarray]:
@@ -233,7 +233,7 @@ def _fine(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     return texts.join(nodes, "node", "left_semi").select("node", "text").mapInArrow(sign, "node long, signature binary, n long")
 
 
-def _across(buckets: DataFrame, roots: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+def _across(buckets: DataFrame, roots: DataFrame, classes: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Pairs of different components in a bucket that pass the finer estimate, compared in blocks of signatures."""
     placed = buckets.join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
     parted = placed.groupBy("bucket").agg(
@@ -245,7 +245,7 @@ def _across(buckets: DataFrame, roots: DataFrame, texts: DataFrame, percent: int
     rows = rows.withColumn("own", F.expr("pmod(xxhash64(node), blocks)"))
     rows = rows.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     rows = rows.withColumns({"i": F.least("own", "other"), "j": F.greatest("own", "other")})
-    rows = rows.join(fine, "node")
+    rows = rows.join(fine.join(classes.select("node", "bands"), "node"), "node")
     rows = rows.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
     least = least_estimate(percent, FINE_HASHES)
 
@@ -254,7 +254,8 @@ def _across(buckets: DataFrame, roots: DataFrame, texts: DataFrame, percent: int
 
         def pairs() -> pa.RecordBatch:
             node, root, own, n = (np.array([x[k] for x in held]) for k in range(4))
-            low = np.frombuffer(b"".join(x[4] for x in held), np.uint64).reshape(len(held), -1)
+            low, bands = (np.frombuffer(b"".join(x[k] for x in held), np.uint64).reshape(len(held), -1) for k in (4, 5))
+            bucket = np.int64(unit[0]).astype(np.uint64)
             one, two = [], []
             for x in range(len(held) - 1):
                 y = np.arange(x + 1, len(held))
@@ -262,22 +263,24 @@ def _across(buckets: DataFrame, roots: DataFrame, texts: DataFrame, percent: int
                 y = y[(root[y] != root[x]) & ((own[y] != own[x]) | (unit[1] == unit[2]))]
                 y = y[100 * np.minimum(n[y], n[x]) >= percent * np.maximum(n[y], n[x])]
                 y = y[estimate(low[x], low[y]) >= least] if len(y) else y
+                # A pair leaves in the first band that it shares.
+                y = y[bands[y, (bands[y] == bands[x]).argmax(axis=1)] == bucket] if len(y) else y
                 one.append(np.minimum(node[x], node[y]))
                 two.append(np.maximum(node[x], node[y]))
             a, b = (np.concatenate([*v, np.zeros(0, np.int64)]) for v in (one, two))
             return pa.RecordBatch.from_arrays([pa.array(a.astype(np.int64)), pa.array(b.astype(np.int64))], ["a", "b"])
 
         for batch in batches:
-            for *key, node, root, own, n, signature in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            for *key, node, root, own, n, signature, band_hashes in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if key != unit:
                     if len(held) > 1:
                         yield pairs()
                     unit, held = key, []
-                held.append((node, root, own, n, signature))
+                held.append((node, root, own, n, signature, band_hashes))
         if len(held) > 1:
             yield pairs()
 
-    return rows.select("bucket", "i", "j", "node", "root", "own", "n", "signature").mapInArrow(compare, "a long, b long").distinct()
+    return rows.select("bucket", "i", "j", "node", "root", "own", "n", "signature", "bands").mapInArrow(compare, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -301,7 +304,7 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
 
     links = stored(_confirmed(pairs, held, percent), "confirmed")
     roots = stored(components(links), "roots")
-    more = _across(buckets, roots, held, percent)
+    more = _across(buckets, roots, classes, held, percent)
     tested = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     more = stored(more.join(tested, ["a", "b"], "left_anti"), "pairs")
     links = links.union(_confirmed(more, held, percent))
