@@ -130,7 +130,7 @@ def _steps(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str,
     """
     texts = docs.select(F.col(id_column).alias("text_id"), F.col(text_column).alias("text"))
     meets = F.col("text_id").eqNullSafe(F.col("id")) & (_key(F.col("text")) == F.col("text_key"))
-    rows = texts.join(sized(wanted), meets).select("doc", "suffixes", "text").dropDuplicates(["doc"])
+    rows = texts.join(sized(wanted, "suffixes"), meets).select("doc", "suffixes", "text").dropDuplicates(["doc"])
     inner = length - STEP + 1
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -176,14 +176,14 @@ def _steps(docs: DataFrame, wanted: DataFrame, id_column: str, text_column: str,
 def repeated_spans(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, q: int = Q
 ) -> DataFrame:
-    """A row (id, text_key, spans) for each document with removed bytes; spans are byte ranges, which may overlap."""
+    """A row (id, text_key, spans) for each document with removed bytes; spans are maximal byte ranges, in order."""
     rows = stored(suffixes(docs, id_column, text_column, length, q), "suffixes")
     own = rows.where("gram IS NOT NULL").drop("id", "text_key")
 
     # Initial buckets: q-grams that occur once leave.
     grams = own.groupBy("gram").agg(F.count(F.lit(1)).alias("n"), F.min("around").alias("a"), F.max("around").alias("b"))
     grams = grams.where("n > 1").select("gram", (F.col("a") == F.col("b")).alias("settled"))
-    left = stored(own.join(grams, "gram"), "buckets")
+    left = stored(own.join(sized(stored(grams, "grams")), "gram"), "buckets")
     windows = [left.where("settled").select("doc", F.col("low").alias("start"), (F.col("high") + length).alias("stop"))]
 
     # Refined by all bytes of the run of windows.
@@ -201,7 +201,7 @@ def repeated_spans(
     place = ["gram", "step", "core"]
     cores = steps.groupBy(place).agg(F.count(F.lit(1)).alias("n"), F.min("outer").alias("a"), F.max("outer").alias("b"))
     cores = cores.where("n > 1").select(*place, (F.col("a") == F.col("b")).alias("settled"))
-    left = stored(steps.join(cores, place), "buckets")
+    left = stored(steps.join(sized(stored(cores, "cores")), place), "buckets")
     whole = ["doc", (F.col("origin") - F.col("last")).alias("start"), (F.col("origin") - F.col("first") + length).alias("stop")]
     windows.append(left.where("settled").select(*whole))
 
@@ -228,31 +228,45 @@ def repeated_spans(
         every = every.union(more)
     spans = every.groupBy("doc").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     # Equal rows repeat each other whole, so uniting their spans changes nothing.
-    return spans.join(named, "doc").groupBy("id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
+    return _united(spans.join(named, "doc").groupBy("id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans")))
+
+
+def _united(rows: DataFrame) -> DataFrame:
+    """Spans of a document as maximal runs."""
+
+    def unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for spans in batch.column(2).to_pylist():
+                own: list[dict[str, int]] = []
+                for start, stop in sorted((s["start"], s["stop"]) for s in spans):
+                    if own and start <= own[-1]["stop"]:
+                        own[-1]["stop"] = max(stop, own[-1]["stop"])
+                    else:
+                        own.append({"start": start, "stop": stop})
+                out.append(own)
+            kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(out, kind)], ["id", "text_key", "spans"])
+
+    return rows.mapInArrow(unite, f"id {dict(rows.dtypes)['id']}, text_key long, spans array<struct<start: int, stop: int>>")
 
 
 def _with_spans(docs: DataFrame, spans: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, str]:
     name = fresh(docs.columns, "repeated")
     spans = stored(spans, "spans")
-    side = sized(spans.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")))
+    side = sized(spans.select(F.col("id").alias("_id"), F.col("text_key").alias("_key"), F.col("spans").alias("_spans")), "_spans")
     meets = docs[id_column].eqNullSafe(side["_id"]) & (_key(docs[text_column]) == side["_key"])
     return docs.join(side, meets, "left").select(*(docs[c] for c in docs.columns), side["_spans"].alias(name)), name
 
 
 def _cut(text: bytes, spans: list[dict[str, int]] | None) -> tuple[bytes, int, int]:
-    """Text without the spans, bytes removed, maximal runs removed."""
-    if not spans:
-        return text, 0, 0
-    kept, end, removed, runs = [], -1, 0, 0
-    for start, stop in sorted((s["start"], s["stop"]) for s in spans):
-        if start > end:
-            kept.append(text[max(end, 0) : start])
-            runs += 1
-        new = max(start, end)
-        removed += max(0, stop - new)
-        end = max(end, stop)
-    kept.append(text[end:])
-    return b"".join(kept), removed, runs
+    """Text without the spans, bytes removed, spans removed."""
+    kept, end, removed = [], 0, 0
+    for s in spans or ():
+        kept.append(text[end : s["start"]])
+        end = s["stop"]
+        removed += end - s["start"]
+    return b"".join([*kept, text[end:]]), removed, len(spans or ())
 
 
 def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options: int) -> DataFrame:
