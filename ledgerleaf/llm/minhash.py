@@ -355,7 +355,7 @@ def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "tex
     chosen = found.where(first).groupBy("component_id").agg(F.min("digest").alias("chosen"))
     marked = found.join(chosen, "component_id", "left").withColumn("stays", F.coalesce(first & (F.col("digest") == F.col("chosen")), F.lit(False)))
     marked = stored(marked.groupBy("id", "digest", "stays").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 OR NOT stays"), "marked")
-    goes, repeated = marked.where("NOT stays"), marked.where("stays")
+    goes, repeated = sized(marked.where("NOT stays")), sized(marked.where("stays"))
 
     def meets(rows: DataFrame) -> Column:
         return docs[id_column].eqNullSafe(rows["id"]) & (_digest(docs[text_column]) == rows["digest"])
