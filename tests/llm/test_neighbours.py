@@ -85,3 +85,39 @@ def test_few_and_no_rows(spark):
     assert table_of(neighbours.nearest(some, IS_QUERY).collect()) == {0: [(2, 1.0), (1, 2**0.5)]}
     assert neighbours.nearest(some.where("vec_id = 0"), IS_QUERY).count() == 0
     assert neighbours.nearest(some.where("false"), IS_QUERY).count() == 0
+
+
+def recall_of(spark, vectors):
+    ids = np.arange(len(vectors))
+    rows = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, vectors, strict=True)], "vec_id long, embedding array<double>")
+    found, truth = table_of(neighbours.nearest(rows, IS_QUERY).collect()), exact(ids, vectors)
+    assert found.keys() == truth.keys()
+    return np.mean([len({i for i, _ in found[q]} & {i for i, _ in truth[q]}) / 10 for q in truth])
+
+
+def test_one_large_component_leaves_the_order_of_others(spark):
+    vectors = np.random.default_rng(1).normal(size=(2000, 16))
+    vectors[7, 3] = 1e30
+    vectors[100, 2] = 1e5
+    assert recall_of(spark, vectors) >= 0.95
+
+
+def test_thousands_of_near_copies(spark):
+    rng = np.random.default_rng(2)
+    vectors = np.concatenate((rng.normal(size=16) + rng.normal(size=(3000, 16)) * 1e-4, rng.normal(size=(600, 16))))
+    assert recall_of(spark, vectors) >= 0.95
+
+
+def test_ties_beyond_the_pool_go_to_the_smallest_ids(spark):
+    ids = np.random.default_rng(3).permutation(700)
+    rows = spark.createDataFrame([(int(i), [float(i == j) for j in range(700)]) for i in ids], "vec_id long, embedding array<double>")
+    found = table_of(neighbours.nearest(rows, IS_QUERY, pool=50).collect())
+    assert found == {q: [(i, 2**0.5) for i in range(11) if i != q][:10] for q in range(0, 700, 100)}
+
+
+def test_squares_of_near_and_large_rows():
+    x = np.random.default_rng(4).normal(size=(40, 8))
+    rows = np.concatenate((x, x[:5] + 1e-9, x[:5] + 1e6, x[:5] * 1e200, x[:5] * 1e200))
+    with np.errstate(over="ignore"):
+        truth = ((rows[:, None] - rows[None]) ** 2).sum(axis=2)
+    assert np.allclose(neighbours._squares(rows, rows), truth, rtol=1e-6, atol=0)
