@@ -2,18 +2,22 @@
 
 Events are rows (conversation, seq, message, kind, role, text). ``open`` starts a message, ``delta`` adds text at its
 end, ``edit`` replaces its text, ``regenerate`` empties it (and takes a new role, if one is given) so that deltas
-stream anew, ``delete`` removes it. Logs are partitioned by conversation and sorted by sequence; a task streams over
-its sorted events and holds one message at a time, so a conversation of any length needs no more memory than its
-largest message. Rendered turns are segments (conversation, turn, formatted text, spans under the loss mask): their
-concatenation in order is the training text. ``read_back`` streams over segments in the same way.
+stream anew, ``delete`` removes it. Events are dealt by conversation and message and sorted by sequence; a task folds
+and renders one message at a time, so late events reach their message wherever it stands, the events of a long
+conversation are spread over tasks, and no more memory is needed than for the largest message. A final message stands
+where it was opened: rendered messages are then dealt by conversation and streamed in that order. Rendered turns are
+segments (conversation, turn, formatted text, spans under the loss mask): their concatenation in order is the training
+text. ``read_back`` streams over segments in the same way; as its hashes run over whole conversations, this pass is one
+task for each conversation, whatever its length.
 
 The template is that of instruction models. Control strings inside texts and roles get a backslash after their first
 character (and backslashes are doubled), so that none can be taken for a mark, and the change can be undone.
 
-Events of a message stand together in the sequence (seq is ordered by message first); a later edit or regeneration
-of an earlier message carries that message's position, as logs do that are compacted by message. Ties of ``seq`` go
-by kind, role and text. Defined cases: null text is empty; a null role is the role ``unknown``; deltas and edits
-without an open message open one; a null conversation is a conversation of its own; an empty log gives no segments.
+Events of several messages may alternate. Ties of ``seq`` inside a message go by kind, role and text; messages opened at
+the same ``seq`` go by message and formatted text. Defined cases: null text is empty; a null role is the role
+``unknown``; deltas, edits and regenerations without an open message (also after its delete) open one there; a second
+open of a message starts another, to which later events belong; a null conversation is a conversation of its own, a null
+message a message; an empty log gives no segments.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ _INSIDE = re.compile("|".join(map(re.escape, ("\\", *CONTROL))))
 _UNDO = re.compile(r"\\(.)", re.DOTALL)
 
 EVENTS = "message long, kind string, role string, text string"
-SEGMENTS = "turn long, segment string, loss_start int, loss_end int"
+SEGMENTS = "segment string, loss_start int, loss_end int"
 
 
 def escape(text: str) -> str:
@@ -96,56 +100,54 @@ def turn_events(turns: DataFrame, conversation: str = "conv_id", turn: str = "tu
     )
 
 
-def fold(events: DataFrame) -> DataFrame:
-    """Segments (conversation, turn, segment, loss_start, loss_end), rendered from the final messages of a log.
-
-    Rows stay in the partitions and the order of the sorted log, so that ``read_back`` needs no shuffle.
-    """
-    key = events.schema["conversation"].dataType.simpleString()
+def messages(events: DataFrame) -> DataFrame:
+    """Final messages, rendered: rows (conversation, seq of the opening, message, segment, loss_start, loss_end)."""
+    types = {c: events.schema[c].dataType.simpleString() for c in ("conversation", "seq", "message")}
     log = (
-        events.repartition("conversation")
-        .sortWithinPartitions("conversation", "seq", "kind", "role", "text")
-        .select("conversation", "message", "kind", "role", "text")
+        events.repartition("conversation", "message")
+        .sortWithinPartitions("conversation", "message", "seq", "kind", "role", "text")
+        .select("conversation", "seq", "message", "kind", "role", "text")
     )
 
     def folded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out: list[tuple[object, int, str, int, int]] = []
-        current: list[object] = []  # conversation, turn, role, parts of the text
-        turns, last, size = 0, object(), 0
+        out: list[tuple[object, object, object, str, int, int]] = []
+        key: tuple[object, object] | None = None
+        current: list[object] = []  # seq, role, parts of the text
+        kinds: list[pa.DataType] = []
+        size = 0
 
         def close() -> None:
-            nonlocal current, turns, last
+            nonlocal current
             if current:
-                conversation, _, role, parts = current
-                turns = turns + 1 if conversation == last else 0
-                last = conversation
-                out.append((conversation, turns, *render(role, "".join(parts))))
+                seq, role, parts = current
+                out.append((key[0], seq, key[1], *render(role, "".join(parts))))
                 current = []
 
         def batch_of() -> pa.RecordBatch:
             columns = list(zip(*out, strict=True))
-            kinds = [pa_key, pa.int64(), pa.string(), pa.int32(), pa.int32()]
-            names = ["conversation", "turn", "segment", "loss_start", "loss_end"]
+            names = ["conversation", "seq", "message", "segment", "loss_start", "loss_end"]
             made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names)
             out.clear()
             return made
 
-        pa_key = pa.int64()
         for batch in batches:
-            pa_key = batch.column(0).type
-            for conversation, message, kind, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            kinds = [*(batch.column(i).type for i in range(3)), pa.string(), pa.int32(), pa.int32()]
+            for conversation, seq, message, kind, role, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 size += len(text or "")
-                if kind == "open" or not current or current[:2] != [conversation, message]:
+                if kind == "open" or key != (conversation, message):
                     close()
-                    current = [conversation, message, role or "unknown", []]
+                    key = (conversation, message)
+                if kind == "delete":
+                    current = []
+                    continue
+                if not current:
+                    current = [seq, role or "unknown", []]
                 if kind in ("delta", "open"):
-                    current[3].append(text or "")
+                    current[2].append(text or "")
                 elif kind == "edit":
-                    current[3] = [text or ""]
+                    current[2] = [text or ""]
                 elif kind == "regenerate":
-                    current[2:] = [role or current[2], [text or ""]]
-                elif kind == "delete":
-                    current = []
+                    current[1:] = [role or current[1], [text or ""]]
                 if size > 4_000_000 and out:
                     yield batch_of()
                     size = 0
@@ -153,7 +155,35 @@ def fold(events: DataFrame) -> DataFrame:
         if out:
             yield batch_of()
 
-    return log.mapInArrow(folded, f"conversation {key}, {SEGMENTS}")
+    return log.mapInArrow(folded, ", ".join(f"{c} {t}" for c, t in types.items()) + f", {SEGMENTS}")
+
+
+def fold(events: DataFrame) -> DataFrame:
+    """Segments (conversation, turn, segment, loss_start, loss_end), rendered from the final messages of a log.
+
+    Rows stay in the partitions and the order in which they are numbered, so that ``read_back`` needs no shuffle.
+    """
+    key = events.schema["conversation"].dataType.simpleString()
+    placed = (
+        messages(events)
+        .repartition("conversation")
+        .sortWithinPartitions("conversation", "seq", "message", "segment")
+        .select("conversation", "segment", "loss_start", "loss_end")
+    )
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, turn = object(), 0
+        for batch in batches:
+            turns = []
+            for conversation in batch.column(0).to_pylist():
+                turn = turn + 1 if conversation == last else 0
+                last = conversation
+                turns.append(turn)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array(turns, pa.int64()), *batch.columns[1:]], ["conversation", "turn", "segment", "loss_start", "loss_end"]
+            )
+
+    return placed.mapInArrow(numbered, f"conversation {key}, turn long, {SEGMENTS}")
 
 
 def read_back(segments: DataFrame, conversation: str = "conv_id") -> DataFrame:

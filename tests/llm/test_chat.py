@@ -57,3 +57,32 @@ def test_escape_is_reversible_and_breaks_all_marks():
 def test_empty_log(spark):
     turns = spark.createDataFrame([], "conv_id long, turn long, role string, text string")
     assert chat.read_back(chat.fold(chat.turn_events(turns))).count() == 0
+
+
+LOG = "conversation long, seq long, message long, kind string, role string, text string"
+
+
+def test_late_edits_and_deletes_and_alternating_streams(spark):
+    events = [
+        (1, 0, 5, "open", "user", "first"), (1, 1, 4, "open", "assistant", "se"), (1, 2, 3, "open", "user", "go"), (1, 3, 4, "delta", None, "cond"),
+        (1, 4, 5, "edit", None, "first, edited"), (1, 5, 3, "delete", None, None), (1, 6, 2, "open", "assistant", "la"), (1, 7, 4, "regenerate", "tool", ""),
+        (1, 8, 2, "delta", None, "st"), (1, 9, 4, "delta", None, "anew"), (1, 10, 3, "delta", "user", "back"), (2, 0, 5, "open", "user", "other"), (2, 1, 6, "delete", None, None),
+    ]
+    found = {}
+    for r in sorted(chat.fold(spark.createDataFrame(events, LOG).repartition(4)).collect(), key=lambda r: (r.conversation, r.turn)):
+        found.setdefault(r.conversation, []).append((r.turn, *chat.parse(r.segment)))
+    assert found == {
+        1: [(0, "user", "first, edited"), (1, "tool", "anew"), (2, "assistant", "last"), (3, "user", "back")],
+        2: [(0, "user", "other")],
+    }
+
+
+def test_events_of_a_long_conversation_are_spread_over_tasks(spark):
+    log = spark.range(6000).selectExpr("1L AS conversation", "id AS seq", "id % 3000 AS message", "if(id < 3000, 'open', 'delta') AS kind", "'assistant' AS role", "concat(id, ';') AS text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        assert chat.messages(log).selectExpr("spark_partition_id() AS p").distinct().count() > 1
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    row = chat.read_back(chat.fold(log)).collect()
+    assert [r[1:5] for r in row] == [expected([("assistant", f"{i};{i + 3000};") for i in range(3000)])]
