@@ -6,8 +6,8 @@ classes by their last bytes. A hidden state emits a class, and a class one of it
 plus 0.5, where each shared class also holds one unknown word. So probabilities sum to 1 over known words, the end
 and unknown words, and the model's tables have a fixed size, whatever the vocabulary.
 
-Training is Baum-Welch: each task runs the scaled forward and backward recursions over pieces of its texts and sums
-the expected counts of starts, transitions and emissions; Spark sums those over partitions, and the driver divides.
+Training is Baum-Welch: each task runs the scaled forward and backward recursions over its whole texts and sums the
+expected counts of starts, transitions and emissions; Spark sums those over partitions, and the driver divides.
 Scoring runs the scaled forward recursion over whole texts, side by side for many texts, which is the exact likelihood.
 Counts of listed words travel with the code; for all others the words of the texts are joined to the table of counts,
 free of the frequent words that would make hot keys.
@@ -37,7 +37,9 @@ SHARED_CLASSES = 4_096
 # Words whose counts travel with the code; the first of them have classes of their own.
 LISTED = 50_000
 ITERATIONS = 6
+# Steps of which forward values are held at once, and tokens of the texts that a task trains on side by side.
 PIECE = 128
+HELD_TOKENS = 1_000_000
 # Weight, in tokens, of the class frequencies that smooth each state's emissions.
 PRIOR = 500.0
 END = b"\n"
@@ -204,29 +206,54 @@ def _side_by_side(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray,
 
 
 def expected_counts(sequences: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
-    """Expected starts, transitions and emissions (class x state), and the log likelihood, of pieces of texts."""
-    steps, active, _ = _side_by_side(sequences)
+    """Expected starts, transitions and emissions (class x state), and the log likelihood, of whole texts.
+
+    Texts stand side by side and are gone through in pieces of ``PIECE`` steps. Forward values at the borders are kept;
+    the way back makes those inside a piece anew and carries the backward values over its border.
+    """
+    order = np.argsort([-len(x) for x in sequences], kind="stable")
+    lengths = np.array([len(sequences[i]) for i in order])
+    tokens = np.concatenate([sequences[i] for i in order])
+    first = np.cumsum(lengths) - lengths
     states = len(model.start)
-    alpha = np.zeros((*steps.shape, states))
-    emitted = model.emits[steps]
-    scale = np.ones(steps.shape)
-    for t in range(len(steps)):
-        n = active[t]
-        a = (model.start if t == 0 else alpha[t - 1, :n] @ model.moves) * emitted[t, :n]
-        scale[t, :n] = a.sum(axis=1)
-        alpha[t, :n] = a / scale[t, :n, None]
-    moves = np.zeros_like(model.moves)
-    beta = np.ones((steps.shape[1], states))
-    posterior = alpha  # turned into posteriors from the end on
-    for t in range(len(steps) - 1, 0, -1):
-        n = active[t]
-        ahead = emitted[t, :n] * beta[:n] / scale[t, :n, None]
-        moves += alpha[t - 1, :n].T @ ahead
-        posterior[t, :n] *= beta[:n]
-        beta[:n] = ahead @ model.moves.T
-    posterior[0] *= beta
-    emits = np.stack([np.bincount(steps.ravel(), posterior[..., s].ravel(), len(model.emits)) for s in range(states)], axis=1)
-    return posterior[0].sum(axis=0), moves * model.moves, emits, float(np.log(scale).sum())
+
+    def forward(begin: int, before: np.ndarray | None) -> tuple[np.ndarray, ...]:
+        times = np.arange(begin, min(begin + PIECE, lengths[0]))
+        active = np.searchsorted(-lengths, -times, side="left")
+        steps = tokens[np.minimum(first[: active[0]] + times[:, None], len(tokens) - 1)]
+        emitted = model.emits[steps]
+        alpha, scale = np.zeros((*steps.shape, states)), np.ones(steps.shape)
+        for t, n in enumerate(active):
+            ahead = model.start if before is None else before[:n] @ model.moves
+            a = ahead * emitted[t, :n]
+            scale[t, :n] = a.sum(axis=1)
+            alpha[t, :n] = before = a / scale[t, :n, None]
+        return steps, active, emitted, alpha, scale
+
+    borders: list[np.ndarray | None] = [None]
+    begins = range(0, int(lengths[0]), PIECE)
+    log = 0.0
+    for begin in begins:
+        piece = forward(begin, borders[-1])
+        log += float(np.log(piece[4]).sum())
+        borders.append(piece[3][-1, : piece[1][-1]].copy())
+    moves, emits = np.zeros_like(model.moves), np.zeros((len(model.emits), states))
+    beta = np.ones((len(lengths), states))
+    for number, begin in reversed(list(enumerate(begins))):
+        before = borders[number]
+        steps, active, emitted, alpha, scale = piece if begin == begins[-1] else forward(begin, before)
+        posterior = alpha  # turned into posteriors from the end on
+        for t in range(len(steps) - 1, -1, -1):
+            n = active[t]
+            last = alpha[t - 1, :n] if t else None if before is None else before[:n]
+            ahead = emitted[t, :n] * beta[:n] / scale[t, :n, None]
+            posterior[t, :n] *= beta[:n]
+            if last is not None:
+                moves += last.T @ ahead
+                beta[:n] = ahead @ model.moves.T
+        for state in range(states):
+            emits[:, state] += np.bincount(steps.ravel(), posterior[..., state].ravel(), len(emits))
+    return posterior[0].sum(axis=0), moves * model.moves, emits, log
 
 
 def log10_likelihood(sequences: list[np.ndarray], model: Model) -> np.ndarray:
@@ -261,24 +288,25 @@ def train(encoded: DataFrame, words: Vocabulary, states: int = STATES, iteration
         def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             # Rows of the classes, then of the states that are left, then of the starts.
             total = np.zeros((n_classes + states + 1, states))
-            pieces: list[np.ndarray] = []
+            texts: list[np.ndarray] = []
+            size = 0
 
             def add() -> None:
-                start, moves, emits, _ = expected_counts(pieces, model)
+                nonlocal size
+                start, moves, emits, _ = expected_counts(texts, model)
                 total[:n_classes] += emits
                 total[n_classes:-1] += moves
                 total[-1] += start
-                pieces.clear()
+                texts.clear()
+                size = 0
 
             for batch in slices(batches, "classes"):
                 for text in _read(batch, "classes"):
-                    pieces += [text[a : a + PIECE] for a in range(0, len(text), PIECE)]
-                    while len(pieces) >= 1024:
-                        rest = pieces[1024:]
-                        del pieces[1024:]
+                    texts.append(text)
+                    size += len(text)
+                    if len(texts) >= 1024 or size >= HELD_TOKENS:
                         add()
-                        pieces += rest
-            if pieces:
+            if texts:
                 add()
             at = np.flatnonzero(total.sum(axis=1))
             yield pa.RecordBatch.from_arrays([pa.array(at), *(pa.array(total[at, i]) for i in range(states))], ["place", *sums])

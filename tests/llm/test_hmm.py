@@ -92,3 +92,44 @@ def test_nothing_to_learn_from(docs, none):
     assert hmm.score(none, F.lit(False)).count() == 0
     rows = hmm.score(docs, F.lit(True)).collect()
     assert all(r.train_tokens == 0 and r.n_known == 0 and r.score == r.base_score and abs(r.score) < 1e-6 for r in rows)
+
+
+def brute_counts(sequence, model):
+    """Expected starts, transitions and emissions by the recursions over one whole text, step by step."""
+    n = len(sequence)
+    alpha, beta = [model.start * model.emits[sequence[0]]], [np.ones(len(model.start))]
+    alpha[0] = alpha[0] / alpha[0].sum()
+    for x in sequence[1:]:
+        a = (alpha[-1] @ model.moves) * model.emits[x]
+        alpha.append(a / a.sum())
+    for x in sequence[:0:-1]:
+        b = model.moves @ (model.emits[x] * beta[0])
+        beta.insert(0, b / b.sum())
+    posterior = [a * b / (a @ b) for a, b in zip(alpha, beta, strict=True)]
+    moves, emits = np.zeros_like(model.moves), np.zeros_like(model.emits)
+    for t in range(n):
+        emits[sequence[t]] += posterior[t]
+        if t:
+            pair = alpha[t - 1][:, None] * model.moves * (model.emits[sequence[t]] * beta[t])[None, :]
+            moves += pair / pair.sum()
+    return posterior[0], moves, emits
+
+
+def test_values_are_carried_over_piece_borders(small):
+    rng = np.random.default_rng(5)
+    sequences = [rng.integers(0, 5, n) for n in (hmm.PIECE, 3 * hmm.PIECE + 5, 1, hmm.PIECE + 1, 2 * hmm.PIECE, 3)]
+    start, moves, emits, log = hmm.expected_counts(sequences, small)
+    truth = [sum(c) for c in zip(*(brute_counts(s, small) for s in sequences), strict=True)]
+    assert all(np.allclose(a, b) for a, b in zip((start, moves, emits), truth, strict=True))
+    assert math.isclose(log / math.log(10), hmm.log10_likelihood(sequences, small).sum(), rel_tol=1e-9)
+
+
+def test_training_starts_once_in_each_text(spark, small, monkeypatch):
+    text = np.random.default_rng(6).integers(0, 5, 5 * hmm.PIECE)
+    encoded = spark.createDataFrame([(bytearray(text.astype("<u2").tobytes()),)], "classes binary")
+    words = hmm.Vocabulary({}, np.zeros(0, np.int64), 0, 0, np.ones(5), 5)
+    monkeypatch.setattr(hmm.Model, "initial", classmethod(lambda cls, *_: small))
+    model = hmm.train(encoded, words, states=3, iterations=1)
+    start, moves, _ = brute_counts(text, small)
+    assert np.allclose(model.start, (start + 1) / 4)
+    assert np.allclose(model.moves, (moves + 1) / (moves + 1).sum(axis=1)[:, None])
