@@ -93,3 +93,27 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
   CAST(sum(chars) AS BIGINT) AS formatted_chars
 FROM m GROUP BY 1
 """
+
+# CRC32 byte by byte from a table of 256 remainders; jumps in 128-bit integers, taken modulo 2^64.
+SHARDS = """
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS text, substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 16) AS digits
+  FROM documents),
+lookup AS (
+  SELECT list_transform(range(256), lambda b: list_reduce(list_prepend(CAST(b AS BIGINT), range(8)),
+    lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t),
+bytes AS (SELECT row, list_transform(regexp_extract_all(hex(encode(text)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM d),
+sums AS (
+  SELECT row, CAST(len(b) + 1 AS BIGINT) AS size,
+    xor(list_reduce(list_prepend(4294967295, b), lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1])), 4294967295) AS text_crc32
+  FROM bytes, lookup),
+steps AS (
+  SELECT row, CAST(CAST('0x' || digits AS UBIGINT) AS HUGEINT) AS state, -1 AS shard, CAST(0 AS BIGINT) AS ahead FROM d
+  UNION ALL
+  SELECT row, next, CAST(ahead AS INT), CAST(floor((ahead + 1) * (2147483648.0::DOUBLE / (next // 8589934592 + 1)::DOUBLE)) AS BIGINT)
+  FROM (SELECT row, ahead, (state * 2862933555777941757 + 1) % 18446744073709551616 AS next FROM steps WHERE ahead < 16)),
+shards AS (SELECT row, shard, CASE WHEN ahead = 16 THEN 16 ELSE shard END AS grown_shard FROM steps WHERE ahead >= 16)
+SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
+  row_number() OVER (PARTITION BY shard ORDER BY digits, doc_id NULLS FIRST, size, text_crc32) - 1 AS slot
+FROM d JOIN sums USING (row) JOIN shards USING (row)
+"""

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm import chat, decontaminate, hmm, langid, lengths, minhash, neighbours, oracles, packing, quality, substrings
-from ledgerleaf.llm.common import in_fold, table
+from ledgerleaf.llm import (
+    chat, decontaminate, hmm, langid, lengths, minhash, neighbours, oracles, packing, quality, sharding, substrings,
+)
+from ledgerleaf.llm.common import in_fold, stored, table
 
 
 def tokenizer_path() -> str:
@@ -67,6 +69,15 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col(label).alias("lang_pred"), F.col(score).alias("score"))
 
 
+def op12_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    size = F.length(text).cast("long") + 1
+    rows = table(spark, sf_dir, "documents").select("doc_id", size.alias("size"), F.crc32(text).alias("text_crc32"))
+    placed, (shard, grown, digits) = sharding.place(stored(rows.withColumn("law", F.lit("key")), "digests"))
+    numbered, _ = sharding.number(placed, shard, [digits, "doc_id", "size", "text_crc32"])
+    return numbered.drop(digits)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_scores": op1_hmm_scores,
     "op2_token_counts": op2_token_counts,
@@ -78,6 +89,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
+    "op12_jump_sharding": op12_jump_sharding,
 }
 
 # Scores of trained models and token ids of a tokenizer are beyond SQL; tests compare those with brute force.
@@ -87,4 +99,5 @@ ORACLES: dict[str, str] = {
     "op6_nn_descent": oracles.NEAREST,
     "op7_suffix_array_dedup": oracles.REPEATED_STRINGS,
     "op8_chat_formatting": oracles.CHAT,
+    "op12_jump_sharding": oracles.SHARDS,
 }
