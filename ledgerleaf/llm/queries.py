@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import (
-    chat, decontaminate, hmm, langid, lengths, minhash, neighbours, oracles, packing, quality, sharding, substrings,
+    chat, decontaminate, hardnegatives, hmm, langid, lengths, minhash, neighbours, oracles, packing, quality, sharding, substrings,
 )
 from ledgerleaf.llm.common import in_fold, stored, table
 
@@ -78,6 +78,12 @@ def op12_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.drop(digits)
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", moved.alias("label"), "embedding")
+    return hardnegatives.mine(rows, F.col("id") % 100 == 0)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_hmm_scores": op1_hmm_scores,
     "op2_token_counts": op2_token_counts,
@@ -90,6 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
     "op12_jump_sharding": op12_jump_sharding,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 # Scores of trained models and token ids of a tokenizer are beyond SQL; tests compare those with brute force.
@@ -100,4 +107,5 @@ ORACLES: dict[str, str] = {
     "op7_suffix_array_dedup": oracles.REPEATED_STRINGS,
     "op8_chat_formatting": oracles.CHAT,
     "op12_jump_sharding": oracles.SHARDS,
+    "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }
