@@ -94,6 +94,27 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM m GROUP BY 1
 """
 
+LEXICAL = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (
+  SELECT DISTINCT item, item_id, unnest(regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT row_number() OVER () AS item, item_id, text FROM benchmark)),
+totals AS (SELECT count(*) AS docs, CAST(sum(len(w)) AS BIGINT) AS terms FROM d WHERE len(w) > 0),
+tf AS (SELECT row, n, term, count(*) AS tf FROM (SELECT row, len(w) AS n, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM b) GROUP BY 1, 2, 3),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * docs + 2) / (2 * df + 1))) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM tf GROUP BY 1), totals),
+impacts AS (SELECT row, term, (1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)) AS impact FROM tf, totals),
+scores AS (
+  SELECT item, item_id, row, CAST(sum(weight * impact) AS BIGINT) AS score
+  FROM b JOIN weights USING (term) JOIN impacts USING (term) GROUP BY 1, 2, 3),
+ranked AS (
+  SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id) AS rank
+  FROM scores JOIN d USING (row) WHERE score > 0)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 # CRC32 byte by byte from a table of 256 remainders; jumps in 128-bit integers, taken modulo 2^64.
 SHARDS = """
 WITH RECURSIVE d AS (

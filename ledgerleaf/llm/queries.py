@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.llm import (
-    chat, decontaminate, hardnegatives, hmm, langid, lengths, minhash, neighbours, oracles, packing, quality, sharding, substrings,
+    chat, decontaminate, hardnegatives, hmm, langid, lengths, lexical, minhash, neighbours, oracles, packing, quality, sharding, substrings,
 )
 from ledgerleaf.llm.common import in_fold, stored, table
 
@@ -69,6 +69,10 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), F.col(label).alias("lang_pred"), F.col(score).alias("score"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op12_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     size = F.length(text).cast("long") + 1
@@ -95,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_formatting": op8_chat_formatting,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_language_id": op10_language_id,
+    "op11_lexical_search": op11_lexical_search,
     "op12_jump_sharding": op12_jump_sharding,
     "op13_hard_negatives": op13_hard_negatives,
 }
@@ -106,6 +111,7 @@ ORACLES: dict[str, str] = {
     "op6_nn_descent": oracles.NEAREST,
     "op7_suffix_array_dedup": oracles.REPEATED_STRINGS,
     "op8_chat_formatting": oracles.CHAT,
+    "op11_lexical_search": oracles.LEXICAL,
     "op12_jump_sharding": oracles.SHARDS,
     "op13_hard_negatives": oracles.HARD_NEGATIVES,
 }

@@ -14,7 +14,7 @@ TABLES = "documents embeddings pages benchmark labels conversations".split()
 
 def test_all_are_registered():
     names = entry_point.queries()
-    for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 12, 13):
+    for n in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13):
         assert [x for x in names if x.startswith(f"op{n}_")]
     assert names["pipeline"] is corpus_pipeline.run
     assert set(ORACLES) <= set(entry_point.oracle_sql())
