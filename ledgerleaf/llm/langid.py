@@ -30,7 +30,6 @@ SMOOTHING = 0.1
 SWITCH_PENALTY = 12.0
 # A script is a candidate's if at least this share of its training letters has it.
 SCRIPT_SHARE = 0.005
-BATCH_BYTES = 6_000_000
 
 #: First code points of the ranges that hold a script's letters, and the script from there on.
 SCRIPT_RANGES = (
@@ -197,7 +196,7 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text", with_span
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scripts = _script_table()
-        for rows in slices(batches, text_column, BATCH_BYTES):
+        for rows in slices(batches, text_column):
             texts = [x or "" for x in rows.column(rows.schema.get_field_index(text_column)).to_pylist()]
             lettered = np.array([bool(_LETTER.search(x)) for x in texts]) & bool(model.languages)
             batch = Batch([x if ok else "" for x, ok in zip(texts, lettered, strict=True)], scripts)
