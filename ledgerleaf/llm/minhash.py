@@ -1,7 +1,7 @@
 """Near-duplicate documents by b-bit MinHash: bands of minima give candidates, packed low bits estimate their
 similarity, and full shingle sets confirm every link.
 
-Documents with the same shingle set are one class from the start (an aggregate), so exact copies cost nothing more.
+Documents with the same words are one class from the start (an aggregate), so exact copies cost nothing more.
 Of a class one row is kept with its signature: the low four bits of each of 128 minima, packed, and 32 hashes of four
 minima each, its bands. Classes that share a band are candidates:
 
@@ -27,11 +27,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pandas.util import hash_array
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ledgerleaf.llm.common import RangeHash, Words, mixed, sized, slices, stored, texts_of
+from ledgerleaf.llm.common import mixed, sized, slices, stored, texts_of
 from ledgerleaf.llm.graph import components
 
 SHINGLE = 5
@@ -45,22 +46,51 @@ BLOCK = 1024
 MEMBERS_PER_SALT = 256
 
 
-def shingle_sets(texts: list[bytes], hashes: RangeHash, size: int = SHINGLE) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text."""
-    words = Words([x.lower().split() for x in texts])
-    if not len(words.starts):
-        return [np.zeros(0, np.uint64) for _ in texts]
-    hashes.load(words.data)
-    counts = np.diff(words.first)
-    sets = []
-    # A shingle starts at every word that has enough words after it, or at the first word of a short text.
-    starts = np.flatnonzero((np.arange(len(words.doc)) + size <= words.first[words.doc + 1]) | (np.arange(len(words.doc)) == words.first[words.doc]))
-    last = np.minimum(starts + size, words.first[words.doc[starts] + 1]) - 1
-    values = hashes.of(words.starts[starts], words.ends[last])
-    edges = np.concatenate(([0], np.cumsum(np.where(counts >= size, counts - size + 1, np.minimum(counts, 1)))))
-    for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
-        sets.append(np.unique(values[a:b]))
-    return sets
+def words_of(text: bytes) -> list[bytes]:
+    return text.lower().split()
+
+
+def _spans(count: int, size: int) -> int:
+    return count - size + 1 if count >= size else min(count, 1)
+
+
+def shingle_sets(lists: list[list[bytes]], size: int = SHINGLE) -> list[np.ndarray]:
+    """Sorted distinct 64-bit shingle hashes of each list of words. Words are hashed by a keyed function and mixed by
+    place, so that no structure of the letters makes different shingles alike."""
+    counts = np.fromiter(map(len, lists), np.int64, len(lists))
+    first = np.concatenate(([0], np.cumsum(counts)))
+    spans = np.fromiter((_spans(n, size) for n in counts.tolist()), np.int64, len(lists))
+    edges = np.concatenate(([0], np.cumsum(spans)))
+    flat = [w for words in lists for w in words]
+    if not flat:
+        return [np.zeros(0, np.uint64) for _ in lists]
+    own = np.empty(len(flat), object)
+    own[:] = flat
+    hashes = hash_array(own)
+    starts = np.repeat(first[:-1], spans) + np.arange(edges[-1]) - np.repeat(edges[:-1], spans)
+    lengths = np.minimum(size, np.repeat(counts, spans))
+    values = lengths.astype(np.uint64)
+    places = mixed(np.arange(1, size + 1, dtype=np.uint64))
+    for k in range(size):
+        part = mixed(hashes[np.minimum(starts + k, len(flat) - 1)] + places[k])
+        values += np.where(lengths > k, part, np.uint64(0))
+    values = mixed(values)
+    return [np.unique(values[a:b]) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def shingles(words: list[bytes], size: int = SHINGLE) -> set[tuple[bytes, ...]]:
+    """The shingles themselves."""
+    return {tuple(words[i : i + size]) for i in range(_spans(len(words), size))}
+
+
+def _same_words(words: list[bytes]) -> bytes:
+    """Digest of a sequence of words: equal only for equal sequences."""
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
+def similar_words(a: set, b: set, percent: int) -> bool:
+    common = len(a & b)
+    return 100 * common >= percent * (len(a) + len(b) - common)
 
 
 def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
@@ -128,14 +158,14 @@ def _digest(text: Column) -> Column:
 
 
 def describe(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """A row for each document: row (a number of its own), id, n (set size), set (digest), signature, bands."""
+    """A row for each document: row (a number of its own), id, n (set size), set (digest of its words), signature, bands."""
     key = docs.schema[id_column].dataType.simpleString()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = TaskContext.get().partitionId() << 36
-        hashes = RangeHash()
         for batch in slices(batches, "text"):
-            sets = shingle_sets(texts_of(batch, "text"), hashes)
+            lists = [words_of(x) for x in texts_of(batch, "text")]
+            sets = shingle_sets(lists)
             filled = [i for i, x in enumerate(sets) if len(x)]
             packed: list[bytes | None] = [None] * len(sets)
             bands: list[bytes | None] = [None] * len(sets)
@@ -149,7 +179,7 @@ def describe(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
                     batch.column(0),
                     batch.column(2),
                     pa.array([len(x) for x in sets], pa.int64()),
-                    pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
+                    pa.array([_same_words(x) for x in lists], pa.binary()),
                     pa.array(packed, pa.binary()),
                     pa.array(bands, pa.binary()),
                 ],
@@ -203,16 +233,18 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     rows = members.unionByName(heads).join(texts, "node").repartition("b", "share").sortWithinPartitions("b", "share", "kind")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = RangeHash()
-        head = None
+        head, head_words, whole = None, [], None
         for batch in slices(batches, "text"):
-            sets = shingle_sets(texts_of(batch, "text"), hashes)
+            lists = [words_of(x) for x in texts_of(batch, "text")]
             found = []
-            for hub, kind, node, own in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), sets, strict=True):
+            for hub, kind, node, words, own in zip(*(batch.column(i).to_pylist() for i in (0, 1, 2)), lists, shingle_sets(lists), strict=True):
                 if kind == 0:
-                    head = own
+                    head, head_words, whole = own, words, None
                 elif similar(own, head, percent):
-                    found.append((node, hub))
+                    # Hashes only spare most of the work: the words decide.
+                    whole = shingles(head_words) if whole is None else whole
+                    if similar_words(shingles(words), whole, percent):
+                        found.append((node, hub))
             if found:
                 a, b = zip(*found, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
@@ -224,9 +256,8 @@ def _fine(nodes: DataFrame, texts: DataFrame) -> DataFrame:
     """Rows (node, signature, n) with long signatures."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = RangeHash()
         for batch in slices(batches, "text"):
-            sets = shingle_sets(texts_of(batch, "text"), hashes)
+            sets = shingle_sets([words_of(x) for x in texts_of(batch, "text")])
             packed = [x.tobytes() for x in _packed(_minima(sets, FINE_HASHES))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary()), pa.array([len(x) for x in sets], pa.int64())], ["node", "signature", "n"])
 
@@ -284,7 +315,8 @@ def _across(buckets: DataFrame, roots: DataFrame, classes: DataFrame, texts: Dat
 
 
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", percent: int = PERCENT) -> DataFrame:
-    """A row for each document: row, id, digest, n_shingles, set, component_id (smallest id reachable, its own included)."""
+    """A row for each document: row, id, digest, n_shingles, set, group (the component's own number, null for a document
+    alone), component_id (smallest id reachable, its own included)."""
     described = stored(describe(docs, id_column, text_column), "signatures")
     groups = described.where("n > 0").groupBy("set").agg(F.min("id").alias("least_id"), F.min("row").alias("node"), F.count(F.lit(1)).alias("copies"))
     first = described.select(F.col("row").alias("node"), "id", "n", "signature", "bands")
@@ -315,23 +347,21 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     least = least.join(by_root, "root", "left").where("copies > 1 OR root IS NOT NULL")
     # A class may hold a large part of all rows: its row is met under eight keys.
     shares = 8
-    least = least.select("set", F.coalesce("component", "least_id").alias("component"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
+    least = least.select("set", F.coalesce("component", "least_id").alias("component"), F.coalesce("root", "node").alias("group"), F.explode(F.sequence(F.lit(0), F.lit(shares - 1))).alias("share"))
     rows = described.select("row", "id", "digest", "n", "set", F.expr(f"cast(pmod(row, {shares}) AS int)").alias("share"))
     joined = rows.join(least, ["set", "share"], "left")
     return joined.select(
-        "row", "id", "digest", F.col("n").alias("n_shingles"), "set",
+        "row", "id", "digest", F.col("n").alias("n_shingles"), "set", F.when(F.col("n") > 0, F.col("group")).alias("group"),
         F.when(F.col("n") > 0, F.coalesce("component", "id")).otherwise(F.col("id")).alias("component_id"),
     )
 
 
 def _with_set(rows: DataFrame) -> DataFrame:
-    """Rows (node, text) whose text has the node's set: tells rows with equal ids apart. One row is kept for a node."""
+    """Rows (node, text) whose text has the node's words: tells rows with equal ids apart. One row is kept for a node."""
 
     def same(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = RangeHash()
         for batch in slices(batches, "text"):
-            sets = shingle_sets(texts_of(batch, "text"), hashes)
-            digests = (hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets)
+            digests = (_same_words(words_of(x)) for x in texts_of(batch, "text"))
             keep = pa.array([x == y for x, y in zip(digests, batch.column(1).to_pylist(), strict=True)], pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(keep), batch.column(2).filter(keep)], ["node", "text"])
 
@@ -348,12 +378,13 @@ def report(docs: DataFrame, **options: object) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options: object) -> DataFrame:
-    """One document of each group, with its own columns: the one with the smallest id, of several texts with that id
-    the one with the smallest digest, of equal rows one. Texts without shingles and groups without any id stay."""
-    found = near_duplicates(docs, id_column, text_column, **options).where("n_shingles > 0 AND component_id IS NOT NULL")
-    first = F.col("id") == F.col("component_id")
-    chosen = found.where(first).groupBy("component_id").agg(F.min("digest").alias("chosen"))
-    marked = found.join(chosen, "component_id", "left").withColumn("stays", F.coalesce(first & (F.col("digest") == F.col("chosen")), F.lit(False)))
+    """One document of each group, with its own columns: the one with the smallest id (of a group without ids, of all), of
+    several texts with that id the one with the smallest digest, of equal rows one. Texts without shingles stay."""
+    found = near_duplicates(docs, id_column, text_column, **options).where("group IS NOT NULL")
+    order = F.struct(F.col("id").isNull().alias("none"), "id", "digest")
+    chosen = found.groupBy("group").agg(F.min(order).alias("chosen"))
+    stays = F.col("id").eqNullSafe(F.col("chosen.id")) & (F.col("digest") == F.col("chosen.digest"))
+    marked = found.join(chosen, "group").withColumn("stays", stays)
     marked = stored(marked.groupBy("id", "digest", "stays").agg(F.count(F.lit(1)).alias("rows")).where("rows > 1 OR NOT stays"), "marked")
     goes, repeated = sized(marked.where("NOT stays")), sized(marked.where("stays"))
 

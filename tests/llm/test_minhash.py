@@ -79,6 +79,45 @@ def test_groups_that_hang_together_by_few(copies, monkeypatch):
     assert found(minhash.report(docs).collect()) == brute(rows)
 
 
+def thue_morse(letters):
+    """The string and its complement, which polynomial hashes modulo 2^64 cannot tell apart from 1,024 letters on."""
+    own = "".join("ab"[bin(i).count("1") % 2] for i in range(letters))
+    return own, own.translate(str.maketrans("ab", "ba"))
+
+
+@pytest.mark.parametrize("letters", [1024, 2048])
+def test_words_decide_not_hashes(spark, letters):
+    one, two = thue_morse(letters)
+    a, b = minhash.shingle_sets([[one.encode()], [two.encode()]])
+    assert a.tolist() != b.tolist()
+    docs = spark.createDataFrame([(1, one), (2, two), (3, one + " x y z u v"), (4, two + " x y z u v")], "doc_id long, text string")
+    assert {(r.doc_id, r.component_id) for r in minhash.report(docs).collect()} == {(i, i) for i in (1, 2, 3, 4)}
+    assert minhash.keep_one(docs).count() == 4
+
+
+def test_links_are_confirmed_on_words(spark, monkeypatch):
+    """Where all hashes of shingles are equal, words still tell texts apart."""
+    monkeypatch.setattr(minhash, "hash_array", lambda own: np.ones(len(own), np.uint64))
+    pairs = spark.createDataFrame([(1, 0)], "a long, b long")
+    texts = spark.createDataFrame([(0, "a b c d e f g"), (1, "h i j k l m n")], "node long, text string")
+    assert minhash._confirmed(pairs, texts, 75).collect() == []
+
+
+def test_same_shingles_in_another_order(spark):
+    """Lines said more often have the same shingles but not the same words."""
+    line = "alpha beta gamma delta epsilon zeta eta "
+    docs = spark.createDataFrame([(5, line * 4), (3, line * 3), (8, line * 9), (1, line)], "doc_id long, text string")
+    assert found(minhash.report(docs).collect()) == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_one_stays_of_groups_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(None, text), (None, text), (None, text + " tail"), (None, "other words that stand alone in here"), (None, None), (7, "some more words of their own kind")]
+    kept = [(r.doc_id, r.text) for r in minhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert len(kept) == 4
+    assert sum(t is not None and t.startswith("w0") for _, t in kept) == 1
+
+
 def test_one_of_each_group_stays(docs, listed):
     kept = minhash.keep_one(docs)
     assert kept.columns == docs.columns
