@@ -7,6 +7,8 @@ copied once per block only. Chunk texts are cut from fixed-length blocks.
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -103,9 +105,12 @@ def chunk(
     window: int = CHUNK_BREAK_WINDOW,
     max_chunks: int | None = None,
     drop_contained_tail: bool = False,
+    places: Mapping[str, Callable[[Column], Column]] | None = None,
+    drop: Sequence[str] = (),
 ) -> DataFrame:
     """One row per chunk: the other columns of ``documents`` plus ``chunk_id, chunk_index, chunk_start, text,
-    char_count``.
+    char_count``, and the columns of ``places``, which are functions of a chunk's start. Those in ``drop`` serve these
+    functions and are not repeated for each chunk.
 
     A text shorter than ``size`` is one untrimmed chunk. Longer ones are cut by ``chunk_ends``, trimmed, and
     blank chunks are left out while the index still advances. A closing chunk may lie wholly inside its
@@ -116,7 +121,8 @@ def chunk(
         raise ValueError(f"size + window must not exceed {_BLOCK}")
     body, length = F.col("_body"), F.col("_length")
     is_short = F.coalesce(length < size, F.lit(True))
-    kept = [name for name in documents.columns if name != text]
+    kept = [name for name in documents.columns if name != text and name not in drop]
+    places = dict(places or {})
 
     prepared = (
         documents.withColumn("_body", F.col(text))
@@ -139,6 +145,7 @@ def chunk(
             start.alias("chunk_start"),
             end.alias("chunk_end"),
             strip(raw).alias("text"),
+            *[place(start).alias(name) for name, place in places.items()],
         )
 
     cut = F.transform(ends, piece)
@@ -150,6 +157,7 @@ def chunk(
         F.struct(
             F.lit(0).alias("chunk_index"), F.lit(0).alias("chunk_start"), length.alias("chunk_end"),
             body.alias("text"),
+            *[place(F.lit(0)).alias(name) for name, place in places.items()],
         )
     )
     pieces = F.when(is_short, whole).otherwise(F.filter(cut, lambda c: F.length(c["text"]) > 0))
@@ -162,10 +170,42 @@ def chunk(
             F.col("_chunk.chunk_start").alias("chunk_start"),
             F.col("_chunk.text").alias("text"),
             F.length("_chunk.text").alias("char_count"),
+            *[F.col(f"_chunk.{name}").alias(name) for name in places],
+        )
+    )
+
+
+def as_of(starts: Column, at: Column) -> Column:
+    """How many of the ascending ``starts`` are at or before ``at``, found by halving."""
+    size = F.size(starts)
+    halvings = F.sequence(F.lit(0), F.ceil(F.log2(size + 1)).cast("int"))
+
+    def halve(state: Column, _: Column) -> Column:
+        middle = F.floor((state["low"] + state["high"]) / 2).cast("int")
+        is_open = state["low"] < state["high"]
+        before = F.get(starts, middle) <= at
+        return F.struct(
+            F.when(is_open & before, middle + 1).otherwise(state["low"]).alias("low"),
+            F.when(is_open & ~before, middle).otherwise(state["high"]).alias("high"),
         )
+
+    return F.aggregate(
+        halvings, F.struct(F.lit(0).alias("low"), size.alias("high")), halve, lambda state: state["low"]
     )
 
 
+def page_at(page_starts: str = "page_starts") -> Callable[[Column], Column]:
+    """Page of a place: the last that begins at or before it; NULL for texts without pages."""
+    starts = F.col(page_starts)
+    return lambda at: F.when(F.size(starts) > 0, F.greatest(as_of(starts, at), F.lit(1)))
+
+
+def title_at(headings: str = "headings") -> Callable[[Column], Column]:
+    """Heading of a place: the last that begins at or before it, NULL if there is none."""
+    starts, titles = F.col(f"{headings}.at"), F.col(f"{headings}.title")
+    return lambda at: F.get(titles, as_of(starts, at) - 1)
+
+
 def add_page_number(chunks: DataFrame, page_starts: str = "page_starts") -> DataFrame:
     """Add ``page_number``: the last page that begins at or before the chunk.
 

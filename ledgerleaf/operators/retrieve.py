@@ -253,11 +253,3 @@ def retrieve(
     vectors = embed(chunks.select("chunk_id", "company_id", "text"), "text", "embedding") if embeddings is None else embeddings
     found = search(queries, vectors, k).withColumnRenamed("query_id", "question_id")
     return found.join(chunks.select("chunk_id", "company_id", "document_id", "document_type", "text"), "chunk_id")
-
-
-def new_embeddings(chunks: DataFrame, existing: DataFrame, embed: Embedder = hashed_embedding) -> DataFrame:
-    """Embeddings of the chunks that have none yet."""
-    missing = chunks.select("chunk_id", "company_id", "text").join(
-        existing.select("chunk_id"), "chunk_id", "left_anti"
-    )
-    return embed(missing, "text", "embedding").select("chunk_id", "company_id", "embedding")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions.constants import CHUNK_OVERLAP, CHUNK_SIZE
 from ledgerleaf.operators import metrics, retrieve
-from ledgerleaf.operators.chunk import add_section_title, chunk, heading_offsets
+from ledgerleaf.operators.chunk import chunk, heading_offsets, page_at, title_at
 from ledgerleaf.operators.generate import Generator
+from ledgerleaf.operators.pages import extracted_pages
 from ledgerleaf.operators.report import run_summary
 from ledgerleaf.operators.status import work_list
 from ledgerleaf.session import stored
@@ -20,13 +23,15 @@ from ledgerleaf.sources import parsers
 MAX_SHARED_DOCUMENTS = 1_000_000
 
 
+def sized_list(listed: DataFrame, max_shared: int = MAX_SHARED_DOCUMENTS) -> DataFrame:
+    """A narrow list, marked for broadcast if it is counted to be short enough: texts and file bytes then stay where they
+    are read. A longer one is met in a shuffle join."""
+    return F.broadcast(listed) if listed.limit(max_shared + 1).count() <= max_shared else listed
+
+
 def files_to_do(files: DataFrame, todo: DataFrame, max_shared: int = MAX_SHARED_DOCUMENTS) -> DataFrame:
-    """Files of the work list, and no others. A list that is counted to be short enough is broadcast, so that file
-    bytes stay where they are read; a longer one is met in a shuffle join."""
-    listed = todo.select("document_id")
-    if listed.limit(max_shared + 1).count() <= max_shared:
-        listed = F.broadcast(listed)
-    return files.join(listed, "document_id", "left_semi")
+    """Files of the work list, and no others."""
+    return files.join(sized_list(todo.select("document_id"), max_shared), "document_id", "left_semi")
 
 
 def document_metrics(
@@ -42,52 +47,84 @@ def document_metrics(
 
 
 def document_chunks(extracted: DataFrame, size: int = CHUNK_SIZE, overlap: int = CHUNK_OVERLAP) -> DataFrame:
-    """Chunks of the readable documents, with company, type and section."""
+    """Chunks of the readable documents, with company, type, page and section."""
     texts = extracted.filter("success").select(
         "document_id", "company_id", "document_type", "page_count", "has_tables", F.col("full_text").alias("text"),
-        heading_offsets("full_text").alias("headings"),
+        "page_starts", heading_offsets("full_text").alias("headings"),
     )
-    return add_section_title(chunk(texts, size=size, overlap=overlap)).withColumn("created_at", F.current_timestamp())
+    places = {"page_number": page_at("page_starts"), "section_title": title_at("headings")}
+    cut = chunk(texts, size=size, overlap=overlap, places=places, drop=("page_starts", "headings"))
+    return cut.withColumn("created_at", F.current_timestamp())
+
+
+def _extracted(
+    todo: DataFrame, files: DataFrame | None, pages: DataFrame | None, parser_registry: dict[str, parsers.Parser] | None
+) -> DataFrame:
+    """Texts of the listed documents, from files or, where a document is given page by page, from its pages."""
+    keep = ("company_id", "document_type")
+    parts = []
+    if pages is not None:
+        given = pages.drop(*keep).join(sized_list(todo.select("document_id", *keep)), "document_id")
+        parts.append(extracted_pages(given, keep))
+        todo = todo.join(pages.select("document_id").distinct(), "document_id", "left_anti")
+    if files is not None:
+        parts.append(parsers.extract(files_to_do(files, todo), parser_registry, keep=keep))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def process_documents(
     spark: SparkSession,
     database: str,
-    files: DataFrame,
+    files: DataFrame | None = None,
     parser_registry: dict[str, parsers.Parser] | None = None,
     fn: Generator | None = None,
     embed: retrieve.Embedder = retrieve.hashed_embedding,
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
+    pages: DataFrame | None = None,
 ) -> DataFrame:
     """Process the unprocessed documents among ``files`` (``document_id, company_id, document_type, file_type,
-    content``, see ``classified_folder``).
+    content``, see ``classified_folder``) and ``pages`` (``document_id, page, text, n_images``).
 
-    Files are parsed where they are read. The texts are written to the shared folder once and read by each of
-    the following steps. Chunks, their embeddings and metrics are saved before the status, so a run that breaks off
-    is simply repeated: documents whose rows were saved are recognised by their ids, which alone are compared, so
-    neither texts nor vectors are shuffled for it. Returns the run's summary.
+    Files are parsed where they are read; pages are brought together by document. The texts are written to the shared
+    folder once and read by each of the following steps. Chunks, their embeddings and metrics are saved before the
+    status, so a run that breaks off is simply repeated: documents whose rows were saved are recognised by their ids,
+    which alone are compared, so neither texts nor vectors are shuffled for it. Returns the run's summary.
     """
     todo = work_list(spark.table(f"{database}.documents"))
-    picked = files_to_do(files, todo)
-    extracted = stored(parsers.extract(picked, parser_registry, keep=("company_id", "document_type")), "extracted")
+    extracted = stored(_extracted(todo, files, pages, parser_registry), "extracted")
     chunks = stored(document_chunks(extracted, size, overlap), "chunks")
     found = stored(metrics.to_wide(document_metrics(extracted, fn)), "metrics")
 
     tables.append_documents(chunks, f"{database}.document_chunks")
-    own = tables.without_stored(chunks.select("chunk_id", "company_id", "text"), f"{database}.chunk_embeddings", "chunk_id")
-    tables.append(embed(own, "text", "embedding").select("chunk_id", "company_id", "embedding"), f"{database}.chunk_embeddings")
+    sync_embeddings(spark, database, embed)
     tables.append_new(found, f"{database}.financial_metrics")
     results = extracted.select("document_id", "success", "error", "page_count", "has_tables", "has_charts")
     tables.mark_documents(results, f"{database}.documents")
     return run_summary(extracted.select(F.col("success").alias("processed")), chunks, found)
 
 
+def pending_embeddings(
+    spark: SparkSession, database: str, embed: retrieve.Embedder = retrieve.hashed_embedding
+) -> DataFrame | None:
+    """Vectors of the deliveries of chunks that have none yet, or None. Which these are follows from the catalog: no
+    stored row is compared, and only files of these deliveries are read."""
+    chunks = f"{database}.document_chunks"
+    waiting = tables.partitions(spark, chunks) - tables.partitions(spark, f"{database}.chunk_embeddings")
+    if not waiting:
+        return None
+    rows = spark.table(chunks).filter(F.col("delivery").isin(*sorted(waiting)))
+    return embed(rows.select("chunk_id", "company_id", "text", "delivery"), "text", "embedding").drop("text")
+
+
 def sync_embeddings(
     spark: SparkSession, database: str, embed: retrieve.Embedder = retrieve.hashed_embedding
 ) -> int:
-    """Catch up on all stored chunks that have no embedding yet (a run embeds its own); returns how many."""
-    missing = retrieve.new_embeddings(
-        spark.table(f"{database}.document_chunks"), spark.table(f"{database}.chunk_embeddings"), embed
-    )
-    return tables.append_new(missing, f"{database}.chunk_embeddings")
+    """Embed the deliveries of chunks that have no vectors yet; returns how many deliveries. Their vectors become visible
+    together, as deliveries of the same names, which are thereby done."""
+    missing = pending_embeddings(spark, database, embed)
+    if missing is None:
+        return 0
+    before = len(tables.partitions(spark, f"{database}.chunk_embeddings"))
+    tables.append_by_delivery(missing, f"{database}.chunk_embeddings")
+    return len(tables.partitions(spark, f"{database}.chunk_embeddings")) - before

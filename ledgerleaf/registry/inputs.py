@@ -35,6 +35,11 @@ def _seconds_after_start(number: Column) -> Column:
     return F.timestamp_seconds(F.unix_timestamp(F.lit(START)) + number)
 
 
+def start_of(number: str) -> Column:
+    """A time that follows the number."""
+    return _seconds_after_start(F.col(number).cast("long"))
+
+
 def manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest_of(table(spark, sf_dir, "documents"))
 

@@ -1,4 +1,4 @@
-"""Table schemas. Fractions are DOUBLE throughout, lists are arrays."""
+"""Table schemas: fixed values of the data model. Fractions are DOUBLE throughout, lists are arrays."""
 
 from __future__ import annotations
 
@@ -15,8 +15,15 @@ DOCUMENTS = """
     processing_error STRING, uploaded_at TIMESTAMP, processed_at TIMESTAMP, upload_day DATE
 """
 
-# Partition columns, always last, and what they are made of.
-PARTITIONS = {"documents": "upload_day"}
+# Partition columns, always last, and what they are made of. A delivery is one append: its rows become visible together.
+PARTITIONS = {
+    "documents": "upload_day",
+    "financial_metrics": "delivery",
+    "document_chunks": "delivery",
+    "chunk_embeddings": "delivery",
+    "investment_analysis": "delivery",
+    "analysis_dimensions": "delivery",
+}
 DERIVED = {"upload_day": "coalesce(to_date(uploaded_at), DATE '1970-01-01')"}
 
 FINANCIAL_METRICS = """
@@ -24,28 +31,28 @@ FINANCIAL_METRICS = """
     period_end STRING, revenue DOUBLE, revenue_growth_rate DOUBLE, recurring_revenue DOUBLE, gross_margin DOUBLE,
     operating_margin DOUBLE, net_income DOUBLE, ebitda DOUBLE, cash_balance DOUBLE, burn_rate DOUBLE,
     runway_months DOUBLE, cac DOUBLE, ltv DOUBLE, ltv_cac_ratio DOUBLE, headcount INT, active_users INT,
-    extracted_at TIMESTAMP, confidence_score DOUBLE
+    extracted_at TIMESTAMP, confidence_score DOUBLE, delivery STRING
 """
 
 DOCUMENT_CHUNKS = """
     chunk_id STRING NOT NULL, company_id STRING NOT NULL, document_id STRING NOT NULL, text STRING NOT NULL,
     chunk_index INT, document_type STRING, page_number INT, section_title STRING, char_count INT,
-    created_at TIMESTAMP
+    created_at TIMESTAMP, delivery STRING
 """
 
-CHUNK_EMBEDDINGS = "chunk_id STRING NOT NULL, company_id STRING, embedding ARRAY<FLOAT>"
+CHUNK_EMBEDDINGS = "chunk_id STRING NOT NULL, company_id STRING, embedding ARRAY<FLOAT>, delivery STRING"
 
 INVESTMENT_ANALYSIS = """
     analysis_id STRING NOT NULL, company_id STRING NOT NULL, overall_score DOUBLE, recommendation STRING,
     confidence_level DOUBLE, executive_summary STRING, market_analysis STRING, competitive_moat STRING,
     team_assessment STRING, financial_analysis STRING, key_risks ARRAY<STRING>, key_opportunities ARRAY<STRING>,
     suggested_investment_amount DOUBLE, suggested_valuation DOUBLE, next_steps ARRAY<STRING>,
-    analyzed_at TIMESTAMP, analyzed_by STRING, documents_analyzed INT
+    analyzed_at TIMESTAMP, analyzed_by STRING, documents_analyzed INT, delivery STRING
 """
 
 ANALYSIS_DIMENSIONS = """
     analysis_id STRING NOT NULL, company_id STRING NOT NULL, dimension STRING, weight DOUBLE, score DOUBLE,
-    reasoning STRING, key_findings ARRAY<STRING>
+    reasoning STRING, key_findings ARRAY<STRING>, delivery STRING
 """
 
 TABLES = {
@@ -61,8 +68,10 @@ TABLES = {
 # One file as extracted: text, counts and its tables cell by cell.
 CELL = "STRUCT<table_index: INT, table_name: STRING, row_index: INT, col_index: INT, row_label: STRING, " \
     "col_name: STRING, value: STRING>"
-EXTRACTED = f"""
-    document_id STRING, success BOOLEAN, error STRING, file_type STRING, full_text STRING, page_count INT,
-    has_tables BOOLEAN, has_charts BOOLEAN, table_count INT, paragraph_count INT, sheet_count INT, total_rows INT,
-    row_count INT, col_count INT, line_count INT, char_count INT, cells ARRAY<{CELL}>
-"""
+EXTRACTED_FIELDS = {
+    "document_id": "STRING", "success": "BOOLEAN", "error": "STRING", "file_type": "STRING", "full_text": "STRING",
+    "page_count": "INT", "page_starts": "ARRAY<INT>", "has_tables": "BOOLEAN", "has_charts": "BOOLEAN",
+    "table_count": "INT", "paragraph_count": "INT", "sheet_count": "INT", "total_rows": "INT", "row_count": "INT",
+    "col_count": "INT", "line_count": "INT", "char_count": "INT", "cells": f"ARRAY<{CELL}>",
+}
+EXTRACTED = ", ".join(f"{name} {kind}" for name, kind in EXTRACTED_FIELDS.items())

@@ -1,12 +1,19 @@
 """Managed tables: creation, keyed appends and replacement.
 
 Every write is keyed by deterministic ids, so a run that is repeated after a failure adds nothing twice.
+
+Files are written to a folder of their own first and only then become part of a table, by one statement to the catalog:
+an append is a new partition (its ``delivery``), a replacement points the table, or the days it touches, to the new
+files. A run that breaks off before leaves the table as it was, and who reads a table meanwhile reads the files that it
+pointed to; ``vacuum`` deletes the folders that no table points to any more.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+import time
+import uuid
+from collections.abc import Iterable, Mapping
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -14,7 +21,6 @@ from pyspark.sql import functions as F
 from ledgerleaf import schemas
 from ledgerleaf.operators.report import company_rollup, table_counts
 from ledgerleaf.operators.status import new_rows, status_merge, upsert_companies
-from ledgerleaf.session import scratch_path
 
 KEYS = {
     "companies": "company_id",
@@ -31,7 +37,8 @@ def create_tables(spark: SparkSession, database: str, names: Iterable[str] = tup
 
     Documents are partitioned by upload day, so that a status update rewrites the days it touches. No
     table is partitioned by company: a few huge and very many tiny partitions would be the result.
-    Readers that filter by company profit from sorted files instead (see ``append``).
+    Readers that filter by company profit from sorted files instead (see ``append``). The other large tables are
+    partitioned by delivery, one for each run.
     """
     spark.sql(f"CREATE DATABASE IF NOT EXISTS {database}")
     for name in names:
@@ -52,34 +59,126 @@ def count_tables(spark: SparkSession, database: str) -> DataFrame:
     return table_counts({name: spark.table(f"{database}.{name}") for name in names})
 
 
-def _fitted(df: DataFrame, table: DataFrame) -> DataFrame:
-    """Columns of the table in its order; derived ones are computed, missing ones become NULL."""
+def new_delivery() -> str:
+    """Name of an append; later ones sort behind earlier ones."""
+    return f"{time.time_ns():020d}-{uuid.uuid4().hex[:8]}"
+
+
+def _partition(table: str) -> str | None:
+    return schemas.PARTITIONS.get(table.rsplit(".", 1)[-1])
+
+
+def _place(spark: SparkSession, *described: str) -> str:
+    rows = spark.sql(" ".join(described)).collect()
+    return next(row[1] for row in rows if row[0].strip(": ") == "Location").rstrip("/")
+
+
+def _versions(spark: SparkSession, database: str) -> str:
+    return f"{_place(spark, 'DESCRIBE DATABASE', database)}/versions"
+
+
+def _new_version(spark: SparkSession, table: str) -> str:
+    database, _, name = table.rpartition(".")
+    return f"{_versions(spark, database or spark.catalog.currentDatabase())}/{name}-{uuid.uuid4().hex}"
+
+
+def _clause(values: Mapping[str, object]) -> str:
+    return "PARTITION (" + ", ".join(f"{name} = '{value}'" for name, value in values.items()) + ")"
+
+
+def _point(spark: SparkSession, table: str, places: Mapping[str | None, str]) -> None:
+    """Make a table (None), or partitions of it, consist of the files at new places."""
+    column = _partition(table)
+    known = set() if column is None else partitions(spark, table)
+    added = []
+    for value, place in places.items():
+        if value is None:
+            spark.sql(f"ALTER TABLE {table} SET LOCATION '{place}'")
+        elif value in known:
+            spark.sql(f"ALTER TABLE {table} {_clause({column: value})} SET LOCATION '{place}'")
+        else:
+            added.append(f"{_clause({column: value})} LOCATION '{place}'")
+    if added:
+        spark.sql(f"ALTER TABLE {table} ADD {' '.join(added)}")
+
+
+def partitions(spark: SparkSession, table: str) -> set[str]:
+    """Values of a table's partition column, as the catalog has them; no file is read."""
+    return {row[0].split("=", 1)[1] for row in spark.sql(f"SHOW PARTITIONS {table}").collect()}
+
+
+def vacuum(spark: SparkSession, database: str) -> int:
+    """Delete the folders below the database that no table points to; returns how many. Only for times when nobody writes,
+    or still reads what was there before the last write."""
+    used = set()
+    for table in spark.catalog.listTables(database):
+        name = f"{database}.{table.name}"
+        used.add(_place(spark, "DESCRIBE TABLE EXTENDED", name))
+        column = _partition(name)
+        for value in partitions(spark, name) if column else ():
+            used.add(_place(spark, "DESCRIBE TABLE EXTENDED", name, _clause({column: value})))
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_versions(spark, database))
+    system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    folders = [status.getPath() for status in system.listStatus(path)] if system.exists(path) else []
+    names = {place.rsplit("/versions/", 1)[-1].split("/", 1)[0] for place in used}
+    unused = [folder for folder in folders if folder.getName() not in names]
+    for folder in unused:
+        system.delete(folder, True)
+    return len(unused)
+
+
+def _fitted(df: DataFrame, table: DataFrame, but: str | None = None) -> DataFrame:
+    """Columns of the table in its order, ``but`` one; derived ones are computed, missing ones become NULL."""
 
     def column(name: str) -> Column:
         if name in schemas.DERIVED:
             return F.expr(schemas.DERIVED[name])
         return F.col(name) if name in df.columns else F.lit(None)
 
-    return df.select(*[column(field.name).cast(field.dataType).alias(field.name) for field in table.schema.fields])
+    fields = [field for field in table.schema.fields if field.name != but]
+    return df.select(*[column(field.name).cast(field.dataType).alias(field.name) for field in fields])
 
 
-def append(df: DataFrame, table: str) -> int:
+def append(df: DataFrame, table: str, delivery: str | None = None) -> int:
     """Append all rows; returns how many. Rows are sorted by company within files where there is one, so
-    that a filter on a company skips most row groups."""
+    that a filter on a company skips most row groups. A table of deliveries gets one more, whole or not at all."""
     spark = df.sparkSession
     seen = Observation()
-    fitted = _fitted(df, spark.table(table)).observe(seen, F.count(F.lit(1)).alias("n"))
+    by_delivery = _partition(table) == "delivery"
+    fitted = _fitted(df, spark.table(table), "delivery" if by_delivery else None)
+    fitted = fitted.observe(seen, F.count(F.lit(1)).alias("n"))
     if "company_id" in fitted.columns:
         fitted = fitted.sortWithinPartitions("company_id")
-    fitted.write.insertInto(table)
+    if not by_delivery:
+        fitted.write.insertInto(table)
+        return seen.get["n"]
+    place = _new_version(spark, table)
+    fitted.write.parquet(place)
+    if seen.get["n"]:
+        _point(spark, table, {delivery or new_delivery(): place})
     return seen.get["n"]
 
 
-def append_new(df: DataFrame, table: str, key: str | None = None) -> int:
+def _written(df: DataFrame, place: str, column: str) -> dict[str, str]:
+    """Write rows by a partition column; its values and where the files of each are."""
+    df.write.partitionBy(column).parquet(place)
+    found = df.sparkSession.read.schema(df.schema).parquet(place).select(F.col(column).cast("string")).distinct()
+    return {row[0]: f"{place}/{column}={row[0]}" for row in found.collect()}
+
+
+def append_by_delivery(df: DataFrame, table: str) -> None:
+    """Append rows that name the delivery they belong to; all of these become visible together. A delivery that the table
+    has already is replaced."""
+    spark = df.sparkSession
+    place = _new_version(spark, table)
+    _point(spark, table, _written(_fitted(df, spark.table(table)), place, "delivery"))
+
+
+def append_new(df: DataFrame, table: str, key: str | None = None, delivery: str | None = None) -> int:
     """Append the rows whose key the table does not have yet; returns how many."""
     spark = df.sparkSession
     key = key or KEYS[table.rsplit(".", 1)[-1]]
-    return append(new_rows(df, spark.table(table), key), table)
+    return append(new_rows(df, spark.table(table), key), table, delivery)
 
 
 def without_stored(df: DataFrame, table: str, key: str) -> DataFrame:
@@ -90,29 +189,31 @@ def without_stored(df: DataFrame, table: str, key: str) -> DataFrame:
     return df if repeated.isEmpty() else df.join(repeated, key, "left_anti")
 
 
-def append_documents(df: DataFrame, table: str) -> int:
+def append_documents(df: DataFrame, table: str, delivery: str | None = None) -> int:
     """Append the rows of the documents the table has no rows of yet; returns how many.
 
-    An append is one commit, so a document's rows are there as a whole or not at all.
+    An append is one delivery, so a document's rows are there as a whole or not at all.
     """
-    return append(without_stored(df, table, "document_id"), table)
+    return append(without_stored(df, table, "document_id"), table, delivery)
 
 
 def replace(df: DataFrame, table: str, partitions_only: bool = False) -> None:
-    """Replace a table, or only the partitions that occur in ``df``, by rows that may be derived from it.
+    """Replace a table, or only the days that occur in ``df``, by rows that may be derived from it.
 
-    The rows are first written to the shared folder: the table is only touched once they are complete.
+    The rows are complete before the table, or one day after the other, points to them.
     """
     spark = df.sparkSession
-    staged = scratch_path(spark, table.replace(".", "-"))
-    _fitted(df, spark.table(table)).write.parquet(staged)
-    setting = "spark.sql.sources.partitionOverwriteMode"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, "dynamic" if partitions_only else "static")
-    try:
-        spark.read.parquet(staged).write.insertInto(table, overwrite=True)
-    finally:
-        spark.conf.set(setting, before)
+    place = _new_version(spark, table)
+    column = _partition(table)
+    fitted = _fitted(df, spark.table(table))
+    if column is None:
+        fitted.write.parquet(place)
+        _point(spark, table, {None: place})
+        return
+    places = _written(fitted, place, column)
+    _point(spark, table, places)
+    for value in set() if partitions_only else partitions(spark, table) - set(places):
+        spark.sql(f"ALTER TABLE {table} DROP {_clause({column: value})}")
 
 
 def register_companies(companies: DataFrame, table: str) -> None:

@@ -1,7 +1,8 @@
 """Small file parsers used inside tasks: bytes of one file to text, counts and cells.
 
-A parser takes bytes and returns a dict with the columns of ``schemas.EXTRACTED`` that it knows. The
-registry maps extensions to parsers and is an argument of ``extract``, so other formats can be added.
+A parser takes bytes and returns a dict with the columns of ``schemas.EXTRACTED`` that it knows; in place of
+``full_text`` it may give ``pages``, a list of texts. The registry maps extensions to parsers and is an argument of
+``extract``, so other formats can be added.
 """
 
 from __future__ import annotations
@@ -18,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf import schemas
+from ledgerleaf.operators.pages import PAGE_BREAK
 
 Parser = Callable[[bytes], dict]
 
@@ -183,10 +185,22 @@ PARSERS: dict[str, Parser] = {
     ".md": parse_text,
 }
 
-_COLUMNS = [part.split(":")[0].split()[0] for part in re.sub(r"ARRAY<.*>", "ARRAY", schemas.EXTRACTED).split(",")]
+_COLUMNS = list(schemas.EXTRACTED_FIELDS)
 _DEFAULTS = {"has_tables": False, "has_charts": False, "table_count": 0}
 
 
+def _joined(parsed: dict) -> dict:
+    """Pages become one text, with the offset at which each begins."""
+    if "pages" not in parsed:
+        return parsed
+    texts = parsed.pop("pages")
+    starts, at = [], 0
+    for text in texts:
+        starts.append(at)
+        at += len(text) + len(PAGE_BREAK)
+    return {"page_count": len(texts), "page_starts": starts, "full_text": PAGE_BREAK.join(texts)} | parsed
+
+
 def extract(
     files: DataFrame,
     parsers: dict[str, Parser] | None = None,
@@ -206,7 +220,7 @@ def extract(
         if extension not in registry:
             return row | {"error": f"Unsupported file type: {extension}"}
         try:
-            parsed = registry[extension](bytes(data))
+            parsed = _joined(registry[extension](bytes(data)))
         except Exception as error:  # one bad file must not fail the job
             return row | {"error": str(error) or type(error).__name__}
         return row | _DEFAULTS | parsed | {"success": True, "char_count": len(parsed["full_text"])}

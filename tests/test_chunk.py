@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerleaf.operators.chunk import add_section_title, chunk, heading_offsets
+from ledgerleaf.operators.chunk import add_section_title, as_of, chunk, heading_offsets, page_at, title_at
 
 ENDS = (". ", ".\n", "! ", "!\n", "? ", "?\n")
 
@@ -80,3 +80,28 @@ def test_no_shuffle(spark):
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select(F.col("doc_id").alias("document_id"), "text")
     plan = chunk(documents)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan
+
+
+def test_as_of(spark):
+    import bisect
+    import random
+
+    rng = random.Random(1)
+    rows = [(sorted(rng.sample(range(500), n)), rng.randrange(-5, 505)) for n in (0, 1, 2, 3, 7, 8, 100, 255, 256, 257) for _ in range(20)]
+    frame = spark.createDataFrame(rows, "starts array<int>, at int")
+    found = frame.select("starts", "at", as_of(F.col("starts"), F.col("at")).alias("n")).collect()
+    assert all(r.n == bisect.bisect_right(r.starts, r.at) for r in found)
+    placed = frame.select("starts", page_at("starts")(F.col("at")).alias("page")).collect()
+    assert all((r.page is None) == (not r.starts) and (r.page or 1) >= 1 for r in placed)
+
+
+def test_places_equal_the_columns_added_afterwards(spark):
+    text = "# One\n" + "Words follow here. " * 90 + "\n## Two\n" + "More of them! " * 120
+    frame = spark.createDataFrame([("d", text, [0, 900, 2000]), ("e", "short", [0]), ("f", None, None)], "document_id string, text string, page_starts array<int>")
+    frame = frame.withColumn("headings", heading_offsets("text"))
+    after = add_section_title(chunk(frame)).drop("page_starts", "headings")
+    places = {"page_number": page_at(), "section_title": title_at()}
+    inside = chunk(frame, places=places, drop=("page_starts", "headings"))
+    assert sorted(map(repr, inside.drop("page_number").collect())) == sorted(map(repr, after.select(*inside.drop("page_number").columns).collect()))
+    pages = {(r.document_id, r.chunk_start): r.page_number for r in inside.collect()}
+    assert all(p == (None if d == "f" else sum(x <= at for x in ([0, 900, 2000] if d == "d" else [0]))) for (d, at), p in pages.items())

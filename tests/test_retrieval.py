@@ -112,15 +112,6 @@ def test_generate(spark, distinct):
         assert (row["reply"], row["error"]) == expected
 
 
-def test_new_embeddings(spark):
-    chunks = texts(spark)
-    known = retrieve.hashed_embedding(chunks.filter("company_id = 'a'")).select("chunk_id", "company_id", "embedding")
-    fresh = retrieve.new_embeddings(chunks, known).collect()
-    assert sorted(row["chunk_id"] for row in fresh) == ["d2_0", "d3_0"]
-    norms = {row["chunk_id"]: sum(x * x for x in row["embedding"]) for row in fresh}
-    assert norms["d2_0"] == pytest.approx(1.0, abs=1e-5) and norms["d3_0"] == 0.0
-
-
 def test_candidates_are_those_of_asked_pairs_only(spark):
     chunks = spark.range(20_000).selectExpr(
         "concat('k', id) AS chunk_id", "concat('c', id % 5000) AS company_id", "array(sin(id), cos(id), sin(id * 3.0)) AS embedding"
