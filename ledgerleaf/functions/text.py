@@ -77,11 +77,16 @@ def url_filename(url: Column | str, disposition: Column | str | None = None, as_
 
 
 # Entities decoded in page text, in this order: "&amp;" last, so that "&amp;lt;" reads "&lt;".
-_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"))
+
+
+# What becomes a blank in the text of a page, in this order, and how its blanks are joined. Read alike by Java and Python.
+MARKUP = (r"(?s)<!--.*?-->", r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>", r"(?s)<[^>]+>")
+BLANKS = r"[ \t\r\n\f]+"
 
 
 def _decode_entities(value: Column) -> Column:
-    for entity, char in _ENTITIES:
+    for entity, char in ENTITIES:
         value = F.replace(value, F.lit(entity), F.lit(char))
     return value
 
@@ -99,12 +104,12 @@ def text_counts(text: Column | str) -> dict[str, Column]:
 
 def html_text(html: Column | str) -> Column:
     """Visible text of a page on one line."""
-    value = F.regexp_replace(as_col(html), r"(?s)<!--.*?-->", " ")
-    value = F.regexp_replace(value, r"(?is)<(script|style)\b[^>]*>.*?</(script|style)\s*>", " ")
-    value = F.regexp_replace(value, r"(?s)<[^>]+>", " ")
-    return F.trim(F.regexp_replace(_decode_entities(value), r"[ \t\r\n\f]+", " "))
+    value = as_col(html)
+    for pattern in MARKUP:
+        value = F.regexp_replace(value, pattern, " ")
+    return F.trim(F.regexp_replace(_decode_entities(value), BLANKS, " "))
 
 
 def html_title(html: Column | str) -> Column:
     raw = F.regexp_extract(as_col(html), r"(?is)<title[^>]*>(.*?)</title\s*>", 1)
-    return F.trim(F.regexp_replace(_decode_entities(raw), r"[ \t\r\n\f]+", " "))
+    return F.trim(F.regexp_replace(_decode_entities(raw), BLANKS, " "))

@@ -69,7 +69,12 @@ def ingest_folders(
     return summary
 
 
-def ingest_fetched(fetched: DataFrame, company: str, database: str) -> int:
-    """Register fetched payloads (``url, content`` and the company id column ``company``)."""
-    documents = classify(files.fetched_manifest(fetched, company), path="source_url")
-    return tables.register_documents(documents, f"{database}.documents")
+def classified_payloads(fetched: DataFrame, company: str, with_content: bool = False, **columns: object) -> DataFrame:
+    """Classified ``documents`` rows of fetched payloads (``url, content`` and the company id column ``company``; see
+    ``files.payload_files`` for other ``columns``). ``with_content`` adds the bytes, as ``process_documents`` takes them."""
+    return classify(files.payload_files(fetched, company, with_content=with_content, **columns), path="source_url")
+
+
+def ingest_fetched(fetched: DataFrame, company: str, database: str, **columns: object) -> int:
+    """Register fetched payloads; returns how many are new."""
+    return tables.register_documents(classified_payloads(fetched, company, **columns), f"{database}.documents")

@@ -34,6 +34,16 @@ def files_to_do(files: DataFrame, todo: DataFrame, max_shared: int = MAX_SHARED_
     return files.join(sized_list(todo.select("document_id"), max_shared), "document_id", "left_semi")
 
 
+def once(files: DataFrame) -> DataFrame:
+    """Each document once: the same payload may have been fetched several times. Only ids are compared; of documents that
+    occur more than once the bytes are shuffled."""
+    repeated = files.groupBy("document_id").count().filter("count > 1").select("document_id")
+    if repeated.isEmpty():
+        return files
+    copies = files.join(repeated, "document_id", "left_semi").dropDuplicates(["document_id"])
+    return files.join(repeated, "document_id", "left_anti").unionByName(copies)
+
+
 def document_metrics(
     extracted: DataFrame, fn: Generator | None = None, document_type: str = "financial"
 ) -> DataFrame:
@@ -68,7 +78,7 @@ def _extracted(
         parts.append(extracted_pages(given, keep))
         todo = todo.join(pages.select("document_id").distinct(), "document_id", "left_anti")
     if files is not None:
-        parts.append(parsers.extract(files_to_do(files, todo), parser_registry, keep=keep))
+        parts.append(parsers.extract(once(files_to_do(files, todo)), parser_registry, keep=keep))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -204,12 +204,16 @@ _TAGLESS = (
 )
 
 
+# Text of a web page, given as ``html``.
+PAGE_TEXT = _decoded(_TAGLESS)
+
+
 @query(
     "page_text",
     "SELECT page_id, "
     + _decoded(r"regexp_extract(html, '(?is)<title[^>]*>(.*?)</title\s*>', 1)")
     + " AS title, "
-    + _decoded(_TAGLESS)
+    + PAGE_TEXT
     + " AS text FROM pages",
 )
 def page_text(spark, sf_dir):

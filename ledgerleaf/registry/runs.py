@@ -10,10 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import ids
-from ledgerleaf.plans import process
+from ledgerleaf.plans import ingest, process
 from ledgerleaf.registry import inputs
-from ledgerleaf.registry.queries import query
-from ledgerleaf.registry.views import BLANKS, LETTERS, sql
+from ledgerleaf.registry.queries import PAGE_TEXT, query
+from ledgerleaf.registry.views import BLANKS, LETTERS, chunk_bounds, sql
 from ledgerleaf.session import stored
 from ledgerleaf.sinks import tables
 
@@ -74,6 +74,38 @@ def page_chunks_run(spark, sf_dir):
         )
 
 
+@query(
+    "fetched_run",
+    sql(
+        f"""SELECT d.document_id, company_id, '.html' AS file_type, n_documents, true AS processed, chunk_index,
+          md5({_PAGE_CHUNK.replace("f.", "d.")}) AS text_md5
+        FROM web_texts d JOIN web_bounds b USING (document_id), (SELECT count(*) AS n_documents FROM web_texts)
+        WHERE b.whole OR length({_PAGE_CHUNK.replace("f.", "d.")}) > 0""",
+        extra={
+            "web_texts": rf"""SELECT DISTINCT substr(sha256(substr(md5(host), 1, 16) || '|' || url || '|' || sha256(html)), 1, 32) AS document_id,
+              substr(md5(host), 1, 16) AS company_id, {PAGE_TEXT} AS text
+              FROM (SELECT *, regexp_extract(url, '^[a-z]+://([^/?#]*)', 1) AS host FROM pages)""",
+            "web_bounds": chunk_bounds("web_texts"),
+        },
+    ),
+)
+def fetched_run(spark, sf_dir):
+    # Web pages as payloads that were fetched, some of them twice, from registration to chunks.
+    host = F.regexp_extract("url", r"^[a-z]+://([^/?#]*)", 1)
+    fetched = inputs.table(spark, sf_dir, "pages").select("url", F.encode("html", "UTF-8").alias("content"), ids.company_id(host).alias("company"))
+    fetched = fetched.unionByName(fetched.filter(F.length("content") % 3 == 0))
+    given = {"uploaded_at": F.lit(inputs.START).cast("timestamp")}
+    with scratch_database(spark) as database:
+        ingest.ingest_fetched(fetched, "company", database, **given)
+        payloads = ingest.classified_payloads(fetched, "company", with_content=True, **given)
+        process.process_documents(spark, database, payloads, embed=_letters)
+        documents = spark.table(f"{database}.documents")
+        counted = documents.agg(F.count(F.lit(1)).alias("n_documents"))
+        found = spark.table(f"{database}.document_chunks").drop("company_id").join(documents, "document_id")
+        found = found.select("document_id", "company_id", "file_type", "processed", "chunk_index", F.md5("text").alias("text_md5"))
+        return stored(found.withColumn("n_documents", F.lit(counted.first()[0])), "result")
+
+
 @query(
     "index_sync",
     sql(

@@ -107,6 +107,7 @@ def fetched_manifest(
     content: str = "content",
     disposition: str | None = None,
     uploaded_at: Column | None = None,
+    keep: Sequence[str] = (),
 ) -> DataFrame:
     """Unclassified ``documents`` rows of fetched payloads (``url, content``); failed fetches (NULL) give none."""
     company = F.col(company_id) if isinstance(company_id, str) else company_id
@@ -123,9 +124,58 @@ def fetched_manifest(
         F.octet_length(content).cast("long").alias("file_size_bytes"),
         F.lit(False).alias("processed"),
         stamped.alias("uploaded_at"),
+        *keep,
     )
 
 
+# Extensions by media type, as far as there are parsers for them.
+MEDIA_TYPES = {
+    "text/html": ".html",
+    "application/xhtml+xml": ".html",
+    "text/plain": ".txt",
+    "text/markdown": ".md",
+    "text/csv": ".csv",
+    "application/pdf": ".pdf",
+    "application/msword": ".doc",
+    "application/vnd.ms-excel": ".xls",
+    "application/vnd.openxmlformats-officedocument.wordprocessingml.document": ".docx",
+    "application/vnd.openxmlformats-officedocument.spreadsheetml.sheet": ".xlsx",
+}
+
+
+def media_suffix(content: Column, named: Column, declared: Column | None = None) -> Column:
+    """Extension that picks a payload's parser: by its declared media type, by how its bytes begin, or by its name."""
+    head = F.lower(F.decode(F.substring(content, 1, 256), "ISO-8859-1"))
+    begins = (
+        F.when(head.startswith("%pdf-"), ".pdf")
+        .when(head.rlike(r"^[^\x21-\x7e]*(?:<!doctype\s+html|<html|<head|<body)"), ".html")
+    )
+    if declared is None:
+        return F.coalesce(begins, named)
+    known = F.create_map(*[F.lit(part) for pair in MEDIA_TYPES.items() for part in pair])
+    return F.coalesce(known[F.lower(F.trim(F.substring_index(declared, ";", 1)))], begins, named)
+
+
+def payload_files(
+    fetched: DataFrame,
+    company_id: Column | str,
+    url: str = "url",
+    content: str = "content",
+    disposition: str | None = None,
+    declared: str | None = None,
+    uploaded_at: Column | None = None,
+    with_content: bool = False,
+) -> DataFrame:
+    """Fetched payloads in the form that ``manifest`` gives files: their ``file_type`` is the parser they need, which the
+    media type (column ``declared``, if any) or the bytes tell better than a URL. ``with_content`` adds the bytes."""
+    rows = fetched.withColumn("_bytes", F.col(content).cast("binary"))
+    extra = {"file_type": media_suffix(F.col("_bytes"), F.col("file_type"), None if declared is None else F.col(declared))}
+    found = fetched_manifest(rows, company_id, url, content, disposition, uploaded_at, keep=("_bytes", *([declared] if declared else ())))
+    named = [c for c in found.columns if c not in ("_bytes", declared)]
+    made = found.withColumns(extra).select(*named, F.col("_bytes").alias("content"))
+    return made if with_content else made.drop("content")
+
+
 def page_text(pages: DataFrame, html: str = "html") -> DataFrame:
     """Replace the markup of web pages by ``title`` and ``text``."""
     return pages.withColumns({"title": html_title(html), "text": html_text(html)}).drop(html)

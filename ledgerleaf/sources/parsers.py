@@ -19,6 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ledgerleaf import schemas
+from ledgerleaf.functions.text import BLANKS, ENTITIES, MARKUP
 from ledgerleaf.operators.pages import PAGE_BREAK
 
 Parser = Callable[[bytes], dict]
@@ -64,6 +65,24 @@ def parse_text(content: bytes) -> dict:
     }
 
 
+_CHARSET = re.compile(rb"""<meta[^>]{0,200}charset\s*=\s*["']?\s*([A-Za-z0-9_.:-]+)""", re.IGNORECASE)
+_MARKUP = [re.compile(pattern, re.ASCII) for pattern in MARKUP]
+
+
+def parse_html(content: bytes) -> dict:
+    """Visible text of a web page, as ``html_text`` gives it, in the character set that the page declares."""
+    declared = _CHARSET.search(content[:4096])
+    try:
+        text = content.decode(declared.group(1).decode() if declared else "utf-8", errors="ignore")
+    except LookupError:
+        text = content.decode("utf-8", errors="ignore")
+    for pattern in _MARKUP:
+        text = pattern.sub(" ", text)
+    for entity, char in ENTITIES:
+        text = text.replace(entity, char)
+    return {"file_type": "html", "full_text": re.sub(BLANKS, " ", text).strip(" "), "page_count": 1}
+
+
 def parse_csv(content: bytes) -> dict:
     rows = [row for row in csv.reader(io.StringIO(content.decode("utf-8-sig", errors="ignore"))) if row]
     if not rows:
@@ -183,6 +202,8 @@ PARSERS: dict[str, Parser] = {
     ".csv": parse_csv,
     ".txt": parse_text,
     ".md": parse_text,
+    ".html": parse_html,
+    ".htm": parse_html,
 }
 
 _COLUMNS = list(schemas.EXTRACTED_FIELDS)

@@ -6,6 +6,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from ledgerleaf.functions.text import html_text
 from ledgerleaf.operators import metrics, pages
 from ledgerleaf.sources import files, parsers
 
@@ -189,3 +190,33 @@ def test_pages_in_blocks(spark):
     assert row["page_starts"] == starts
     assert (row["page_count"], row["has_charts"]) == (40, True)
     assert pages.page_counts(frame).first()["char_count"] == len(row["full_text"])
+
+
+def test_payloads_are_parsed_by_media_type(spark):
+    page = "<!DOCTYPE html><html><head><meta charset='latin-1'><title>T</title><style>p{}</style></head><body><p>Größe &amp; mehr</p><!-- x --></body></html>"
+    rows = [
+        ("http://a.org/x", page.encode("latin-1"), None),
+        ("http://a.org/y.pdf", b"  <html><body>web &lt;page&gt;</body></html>", "application/octet-stream"),
+        ("http://a.org/z", b"a,b\n1,2\n", "Text/CSV; charset=utf-8"),
+        ("http://a.org/n.txt", b"plain words", None),
+        ("http://a.org/p", b"%PDF-1.7 ...", None),
+        ("http://a.org/gone", None, "text/html"),
+    ]
+    fetched = spark.createDataFrame(rows, "url string, content binary, kind string").withColumn("company", F.lit("c"))
+    found = files.payload_files(fetched, "company", declared="kind", with_content=True)
+    assert "kind" not in found.columns
+    pages = {"p": lambda content: {"pages": ["one", "two"], "has_charts": True}}
+    read = parsers.extract(found.select("document_id", "file_type", "content", "source_url"), {".pdf": pages["p"]}, keep=("source_url",))
+    texts = {r.source_url.rsplit("/", 1)[1]: r for r in read.collect()}
+    assert texts["x"].full_text == "T Größe & mehr" and texts["x"].file_type == "html"
+    assert texts["y.pdf"].full_text == "web <page>"
+    assert texts["z"].full_text == "a | b\n1 | 2"
+    assert texts["n.txt"].full_text == "plain words"
+    assert (texts["p"].full_text, texts["p"].page_starts, texts["p"].page_count, texts["p"].has_charts) == ("one\n\ntwo", [0, 5], 2, True)
+    assert len(texts) == 5
+
+
+def test_html_parser_equals_the_column(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    for row in pages.select("html", html_text("html").alias("text")).collect():
+        assert parsers.parse_html(row.html.encode())["full_text"] == row.text
