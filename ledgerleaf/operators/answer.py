@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ledgerleaf.functions.constants import ANSWER_TOP_K, NO_ANSWER
 from ledgerleaf.functions.text import as_col, strip
-from ledgerleaf.operators.generate import Generator, extractive_reply, generate
+from ledgerleaf.operators.generate import Generator, Replies, extractive_reply, generate
 from ledgerleaf.operators.retrieve import Embedder, hashed_embedding, retrieve
-from ledgerleaf.session import stored
+from ledgerleaf.session import stored_buckets
 
 
 def context(retrieved: DataFrame) -> DataFrame:
@@ -68,9 +68,11 @@ def ask(
     k: int = ANSWER_TOP_K,
     include_sources: bool = True,
     embeddings: DataFrame | None = None,
+    replies: Replies | None = None,
 ) -> DataFrame:
     """Answer ``questions`` (``question_id, company_id, question``): adds ``answer, num_sources, confidence,
-    error`` and, with ``include_sources``, ``sources``.
+    error`` and, with ``include_sources``, ``sources``. Question ids are unique; ``replies`` keeps the generator's replies
+    for later runs.
 
     A question without any chunk keeps its row, with a fixed answer and confidence 0.
     """
@@ -78,9 +80,9 @@ def ask(
     prompted = questions.join(contexts, "question_id", "left").withColumn(
         "_prompt", F.when(F.col("context").isNotNull(), answer_prompt("question", "context"))
     )
-    # Read for the prompts and again for the answers: the search runs once.
-    prompted = stored(prompted, "prompts")
-    answered = generate(prompted, "_prompt", fn, "_reply", "error")
+    # Read for the prompts and again for the answers: the search runs once, and contexts stay where they are.
+    prompted = stored_buckets(prompted, "prompts", ["question_id"])
+    answered = generate(prompted, "_prompt", fn, "_reply", "error", row_id="question_id", replies=replies)
     has_sources = F.col("context").isNotNull()
     empty = F.array().cast("array<struct<document_id:string,document_type:string,text:string,score:double>>")
     columns = [

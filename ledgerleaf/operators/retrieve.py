@@ -3,15 +3,22 @@
 Scores are cosines, computed block-wise inside tasks; candidates are cut to ``k`` per question and company
 where they arise, so the shuffle carries only possible answers. Scores equal to nine decimals are ties and
 fall to the smaller chunk id, which keeps results independent of how rows are split.
+
+Texts and vectors stay where they are written: few question vectors go to all vectors; many meet the vectors in
+their slots, which hold a bounded number of one company's, in tables that are bucketed by slot; and what was found
+meets the texts by id in a table that is bucketed by it.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.feature import HashingTF, Normalizer
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
@@ -24,6 +31,9 @@ MAX_SHARED_VECTORS = 1024
 MAX_SHARED_PAIRS = 200_000
 # Company ids of at most this many asked companies are broadcast to filter the chunks.
 MAX_SHARED_COMPANIES = 10_000
+# Vectors of a slot, and questions that are put to a slot at once.
+ROWS_PER_SLOT = 50_000
+QUESTIONS_PER_SLOT = 10_000
 _DIGITS = 9
 _BLOCK_ROWS = 256
 
@@ -134,25 +144,87 @@ def _blocks(rows: DataFrame, key: str) -> DataFrame:
                         {"_scope": [name], "ids": [block["_key"].tolist()], "data": [data.tobytes()]}
                     )
 
-    return rows.select(F.col(key).cast("string").alias("_key"), "_scope", "embedding").mapInPandas(
+    # Sorted within tasks, so that blocks of small companies are not cut by others between their rows.
+    sorted_rows = rows.select(F.col(key).cast("string").alias("_key"), "_scope", "embedding").sortWithinPartitions("_scope")
+    return sorted_rows.mapInPandas(
         pack, "_scope string, ids array<string>, data binary"
     )
 
 
+def with_slots(vectors: DataFrame, rows: DataFrame, keys: Sequence[str] = ("company_id",), rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
+    """``vectors`` with the ``slot`` of each: those of a company (and of whatever else is in ``keys``) are split into as many
+    as their number asks for. They are counted in ``rows``, which has the same keys and need not hold vectors."""
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+    # Companies of one slot, nearly all, are not listed: at most rows / rows_per_slot others are.
+    split = sizes.filter(F.col("_rows") > rows_per_slot).select(*keys, F.ceil(F.col("_rows") / rows_per_slot).alias("_parts"))
+    large = split.collect()
+    part = F.lit(0).cast("long")
+    if large:
+        listed = vectors.sparkSession.createDataFrame(large, split.schema)
+        vectors = vectors.join(F.broadcast(listed), list(keys), "left")
+        part = F.pmod(F.xxhash64("chunk_id"), F.coalesce("_parts", F.lit(1)))
+    return vectors.withColumn("slot", F.xxhash64(*keys, part)).drop("_parts")
+
+
+def _rows_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and unit vectors of an Arrow table (ids first, embeddings last), without those that are null."""
+    table = table.filter(pc.is_valid(table.column(table.num_columns - 1)))
+    ids = table.column(0).to_pandas().to_numpy()
+    lists = table.column(table.num_columns - 1).combine_chunks()
+    data = lists.flatten().to_numpy(zero_copy_only=False).reshape(len(ids), -1) if len(ids) else np.zeros((0, 0))
+    return ids, _unit_rows(data)
+
+
+def _search_slots(queries: DataFrame, chunks: DataFrame, k: int, questions_per_slot: int) -> DataFrame:
+    """Many vectors asked of companies: questions go to the slots of their company, and the ``k`` best leave each. No vector
+    is moved if the chunks are a table bucketed by company and slot."""
+    # Questions may come from the same table: their columns have names of their own.
+    slots = chunks.select(F.col("company_id").alias("_company"), F.col("slot").alias("_slot")).distinct()
+    asked = queries.select("query_id", "embedding", F.col("company_id").alias("_company")).join(slots, "_company")
+    busiest = asked.groupBy("_company", "_slot").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0
+    rounds = max(1, math.ceil(busiest / questions_per_slot))
+
+    def score(vectors: pa.Table, questions: pa.Table) -> pa.Table:
+        out = [pd.DataFrame({"query_id": [], "score": [], "chunk_id": []}).astype({"score": float})]
+        names, right = _rows_of(questions.select(["query_id", "embedding"]))
+        ids, data = _rows_of(vectors.select(["chunk_id", "embedding"]))
+        for at in range(0, len(ids) if len(names) else 0, 4096):
+            own = ids[at : at + 4096]
+            groups = np.zeros(len(own), dtype=np.int64)
+            for q in range(0, len(names), 1024):
+                best = _best_per_batch(own, data[at : at + 4096], right[q : q + 1024], names[q : q + 1024], groups, k)
+                row = best.pop("_row").to_numpy()
+                out.append(best.rename(columns={"_vector": "query_id"}).assign(chunk_id=own[row]))
+            if len(out) > 64:
+                out = [_cut(pd.concat(out), k)]
+        kinds = pa.schema([("query_id", pa.string()), ("score", pa.float64()), ("chunk_id", pa.string())])
+        return pa.Table.from_pandas(_cut(pd.concat(out), k), schema=kinds, preserve_index=False)
+
+    found = None
+    for number in range(rounds):
+        now = asked if rounds == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(rounds)) == number)
+        own = chunks.select("chunk_id", "company_id", "slot", "embedding").groupBy("company_id", "slot")
+        met = own.cogroup(now.groupBy("_company", "_slot"))
+        part = met.applyInArrow(score, "query_id string, score double, chunk_id string")
+        found = part if found is None else found.unionByName(part)
+    return _ranked(found, ["query_id"], k).select("query_id", "rank", "chunk_id", "score")
+
+
+def _cut(found: pd.DataFrame, k: int) -> pd.DataFrame:
+    """The k best of each question, smaller ids first among equal scores."""
+    return found.sort_values(["query_id", "score", "chunk_id"], ascending=[True, False, True]).groupby("query_id", sort=False).head(k)
+
+
 def _search_blocks(queries: DataFrame, chunks: DataFrame, k: int, rows_per_task: int, by_company: bool) -> DataFrame:
     """Many vectors: blocks of chunks meet blocks of questions, of the same company if asked.
 
     More than ``rows_per_task`` chunks (of a company) are split: the chunk blocks go to as many keys as
-    their number asks for and the question blocks to all of these. There are at most
-    total / ``rows_per_task`` split companies, which bounds the table that is broadcast. Only the ``k``
-    best of a pair of blocks leave it.
+    their number asks for and the question blocks to all of these. Only the ``k`` best of a pair of blocks leave it.
     """
     chunk_blocks, query_blocks = _blocks(chunks, "chunk_id"), _blocks(queries, "query_id")
     if by_company:
         sizes = chunks.groupBy("_scope").agg(F.count("*").alias("_rows")).filter(F.col("_rows") > rows_per_task)
-        split = F.broadcast(
-            sizes.select("_scope", F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts"))
-        )
+        split = sizes.select("_scope", F.ceil(F.col("_rows") / rows_per_task).cast("int").alias("_parts"))
         chunk_blocks = chunk_blocks.join(split, "_scope", "left")
         query_blocks = query_blocks.join(split, "_scope", "left")
         parts, keys = F.coalesce("_parts", F.lit(1)), ["_scope", "_part"]
@@ -193,14 +265,16 @@ def search(
     max_shared_companies: int = MAX_SHARED_COMPANIES,
     rows_per_task: int = 500_000,
     max_shared_pairs: int = MAX_SHARED_PAIRS,
+    questions_per_slot: int = QUESTIONS_PER_SLOT,
 ) -> DataFrame:
     """``query_id, rank, chunk_id, score`` of the ``k`` chunks most similar to each question.
 
     ``queries`` has ``query_id, company_id, embedding``, ``chunks`` has ``chunk_id, company_id, embedding``.
     A question with a company sees that company's chunks only, one without sees all. The same vector asked
     of many companies counts once: up to ``max_shared_vectors`` distinct ones, asked in up to ``max_shared_pairs`` pairs
-    of vector and company, go to the chunks, more of them meet the chunks in a join of blocks. Both ways give the same
-    rows, and neither scores a company against vectors that did not ask it.
+    of vector and company, go to the chunks. More of them go to the slots of their companies, if ``chunks`` has a
+    ``slot`` (see ``with_slots``), else both meet in a join of blocks. All ways give the same rows, and none scores a
+    company against vectors that did not ask it.
     """
     has_company = F.col("company_id").isNotNull()
     asked = queries.select(F.col("query_id").cast("string").alias("query_id"), "company_id", "embedding").withColumns(
@@ -230,11 +304,16 @@ def search(
                 corpus = chunks.join(F.broadcast(companies), "company_id", "left_semi")
         best = _search_shared(filtered, unfiltered, pairs, corpus, k)
         return asked.join(best, ["_vector", "_scope"]).select("query_id", "rank", "chunk_id", "score")
-    of_company = chunks.filter(has_company).withColumn("_scope", F.col("company_id"))
-    of_all = chunks.withColumn("_scope", F.lit(""))
-    return _search_blocks(asked.filter(has_company), of_company, k, rows_per_task, True).unionByName(
-        _search_blocks(asked.filter(~has_company), of_all, k, rows_per_task, False)
-    )
+    sides = []
+    if not asked.filter(has_company).isEmpty():
+        if "slot" in chunks.columns:
+            sides.append(_search_slots(asked.filter(has_company), chunks, k, questions_per_slot))
+        else:
+            of_company = chunks.filter(has_company).withColumn("_scope", F.col("company_id"))
+            sides.append(_search_blocks(asked.filter(has_company), of_company, k, rows_per_task, True))
+    if not asked.filter(~has_company).isEmpty():
+        sides.append(_search_blocks(asked.filter(~has_company), chunks.withColumn("_scope", F.lit("")), k, rows_per_task, False))
+    return reduce(DataFrame.unionByName, sides)
 
 
 def retrieve(
@@ -247,7 +326,8 @@ def retrieve(
     """Chunks for questions in words: ``question_id, rank, score`` and the chunk's columns.
 
     ``questions`` has ``question_id, company_id, question``. ``embeddings`` (``chunk_id, company_id,
-    embedding``) saves embedding the chunks again.
+    embedding`` and ``slot``, if known) saves embedding the chunks again. If ``chunks`` is a table bucketed by
+    ``chunk_id``, no text is moved but those found.
     """
     queries = embed(questions, "question", "embedding").withColumnRenamed("question_id", "query_id")
     vectors = embed(chunks.select("chunk_id", "company_id", "text"), "text", "embedding") if embeddings is None else embeddings

@@ -124,7 +124,8 @@ def pending_embeddings(
     if not waiting:
         return None
     rows = spark.table(chunks).filter(F.col("delivery").isin(*sorted(waiting)))
-    return embed(rows.select("chunk_id", "company_id", "text", "delivery"), "text", "embedding").drop("text")
+    vectors = embed(rows.select("chunk_id", "company_id", "text", "delivery"), "text", "embedding").drop("text")
+    return retrieve.with_slots(vectors, rows, ("delivery", "company_id"))
 
 
 def sync_embeddings(

@@ -26,7 +26,7 @@ from ledgerleaf.operators import (
 from ledgerleaf.registry import inputs
 from ledgerleaf.registry.views import AMOUNT, BLANKS, IS_PERIOD, LETTERS, METRIC_OF_LABEL, sql
 from ledgerleaf.plans import analyse
-from ledgerleaf.session import scratch_path, spread, stored
+from ledgerleaf.session import scratch_path, spread, stored, stored_buckets
 from ledgerleaf.sources import files, parsers
 from ledgerleaf.streaming import incremental
 
@@ -706,12 +706,13 @@ def similarity_topk_filtered(spark, sf_dir):
 def similarity_many_questions(spark, sf_dir):
     vectors = _vectors(spark, sf_dir)
     questions = vectors.withColumnRenamed("chunk_id", "query_id")
+    vectors = stored_buckets(retrieve.with_slots(vectors, vectors), "vectors", ["company_id", "slot"])
     return retrieve.search(questions, vectors, k=2, max_shared_vectors=64).withColumn("score", _r("score"))
 
 
 def _chunk_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks as a written table, as retrieval finds them: made once, read for scoring and for the texts."""
-    return stored(inputs.document_chunks(spark, sf_dir), "chunks")
+    """Chunks as a written table, as retrieval finds them: made once, read for scoring and, by id, for the texts."""
+    return stored_buckets(inputs.document_chunks(spark, sf_dir), "chunks", ["chunk_id"])
 
 
 # Every company gets two questions; the regions have no documents at all. One question is for all companies.
@@ -719,7 +720,7 @@ _QUESTIONS = ("What are the main risks?", "Who are the target customers?")
 _OPEN_QUESTION = "What is the revenue and growth rate?"
 
 
-def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def asked_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = inputs.companies(spark, sf_dir).select("company_id")
     unknown = inputs.table(spark, sf_dir, "region").select(ids.company_id("r_name").alias("company_id"))
     asked = answer.questions_for(known.unionByName(unknown), _QUESTIONS)
@@ -731,7 +732,7 @@ def _questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return asked.unionByName(open_question)
 
 
-_QUESTION_VIEWS = {
+ANSWERED_VIEWS = {
     "asked": f"""SELECT company_id || '_' || CAST(n AS VARCHAR) AS question_id, company_id, question FROM (
         SELECT company_id FROM companies UNION ALL SELECT substr(md5(r_name), 1, 16) FROM region)
       CROSS JOIN (VALUES (0, '{_QUESTIONS[0]}'), (1, '{_QUESTIONS[1]}')) AS v(n, question)
@@ -749,12 +750,12 @@ _QUESTION_VIEWS = {
     "retrieved_chunks",
     sql(
         "SELECT question_id, CAST(rank AS INT) AS rank, chunk_id, document_type, md5(text) AS text_md5, round(score, 6) AS score FROM found",
-        "chunk_texts", "companies", extra=_QUESTION_VIEWS,
+        "chunk_texts", "companies", extra=ANSWERED_VIEWS,
     ),
 )
 def retrieved_chunks(spark, sf_dir):
     found = retrieve.retrieve(
-        _questions(spark, sf_dir), _chunk_table(spark, sf_dir), inputs.letter_embedding, k=3
+        asked_questions(spark, sf_dir), _chunk_table(spark, sf_dir), inputs.letter_embedding, k=3
     )
     return found.select(
         "question_id", "rank", "chunk_id", "document_type", F.md5("text").alias("text_md5"), _r("score").alias("score")
@@ -767,12 +768,12 @@ def retrieved_chunks(spark, sf_dir):
         """SELECT question_id, count(*) AS num_sources,
           md5(string_agg('[Document ' || CAST(rank AS VARCHAR) || ' - ' || document_type || ']' || chr(10) || text, chr(10) || chr(10) ORDER BY rank)) AS context_md5
         FROM found GROUP BY question_id""",
-        "chunk_texts", "companies", extra=_QUESTION_VIEWS,
+        "chunk_texts", "companies", extra=ANSWERED_VIEWS,
     ),
 )
 def answer_context(spark, sf_dir):
     found = retrieve.retrieve(
-        _questions(spark, sf_dir), _chunk_table(spark, sf_dir), inputs.letter_embedding, k=3
+        asked_questions(spark, sf_dir), _chunk_table(spark, sf_dir), inputs.letter_embedding, k=3
     )
     return answer.context(found).select(
         "question_id", F.col("num_sources").cast("long").alias("num_sources"), F.md5("context").alias("context_md5")
@@ -787,13 +788,13 @@ _ANSWERED = """SELECT a.question_id, a.company_id, coalesce(n, 0) AS num_sources
 
 
 def _answered(asked: str) -> str:
-    return sql(_ANSWERED.format(asked=asked, blanks=BLANKS), "chunk_texts", "companies", extra=_QUESTION_VIEWS)
+    return sql(_ANSWERED.format(asked=asked, blanks=BLANKS), "chunk_texts", "companies", extra=ANSWERED_VIEWS)
 
 
 @query("ask_batch", _answered("asked"))
 def ask_batch(spark, sf_dir):
     answered = answer.ask(
-        _questions(spark, sf_dir), _chunk_table(spark, sf_dir), embed=inputs.letter_embedding, k=3
+        asked_questions(spark, sf_dir), _chunk_table(spark, sf_dir), embed=inputs.letter_embedding, k=3
     )
     return answered.select(
         "question_id", "company_id", F.col("num_sources").cast("long").alias("num_sources"), "answer", "confidence"
@@ -816,12 +817,12 @@ def compare_companies(spark, sf_dir):
     "source_preview",
     sql(
         """SELECT question_id, CAST(rank AS INT) AS position, document_type, substr(text, 1, 100) AS preview FROM found""",
-        "chunk_texts", "companies", extra=_QUESTION_VIEWS,
+        "chunk_texts", "companies", extra=ANSWERED_VIEWS,
     ),
 )
 def source_preview(spark, sf_dir):
     answered = answer.ask(
-        _questions(spark, sf_dir), _chunk_table(spark, sf_dir), embed=inputs.letter_embedding, k=3
+        asked_questions(spark, sf_dir), _chunk_table(spark, sf_dir), embed=inputs.letter_embedding, k=3
     )
     return answer.source_preview(answered)
 
@@ -1277,7 +1278,7 @@ def _judge(prompts: list[str]) -> list[str]:
           FROM answers GROUP BY company_id, dimension, weight, ord)""",
         "chunk_texts", "companies", "dimension_questions",
         extra={
-            "vectors": _QUESTION_VIEWS["vectors"],
+            "vectors": ANSWERED_VIEWS["vectors"],
             "question_vectors": f"SELECT * EXCLUDE (text), {LETTERS} AS v FROM (SELECT *, question AS text FROM dimension_questions)",
             "answers": """SELECT company_id, dimension, weight, ord, question_number, question, trim(split_part(text, chr(10), 1), BLANKS) AS answer FROM (
               SELECT c.company_id, q.dimension, q.weight, q.ord, q.question_number, q.question, c.text, row_number() OVER (PARTITION BY c.company_id, q.dimension, q.question_number

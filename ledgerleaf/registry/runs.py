@@ -10,9 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import ids
+from ledgerleaf.operators import answer
 from ledgerleaf.plans import ingest, process
 from ledgerleaf.registry import inputs
-from ledgerleaf.registry.queries import PAGE_TEXT, query
+from ledgerleaf.registry.queries import ANSWERED_VIEWS, PAGE_TEXT, asked_questions, query
 from ledgerleaf.registry.views import BLANKS, LETTERS, chunk_bounds, sql
 from ledgerleaf.session import stored
 from ledgerleaf.sinks import tables
@@ -22,7 +23,7 @@ from ledgerleaf.sinks import tables
 def scratch_database(spark: SparkSession) -> Iterator[str]:
     """A database of managed tables that is dropped afterwards; results are stored before."""
     database = f"run_{uuid.uuid4().hex}"
-    tables.create_tables(spark, database)
+    tables.create_tables(spark, database, buckets=spark.sparkContext.defaultParallelism)
     try:
         yield database
     finally:
@@ -131,3 +132,33 @@ def index_sync(spark, sf_dir):
             F.lit(deliveries).alias("deliveries"), F.lit(synced).alias("synced"),
         )
         return stored(found, "result")
+
+
+_PROMPTS = """SELECT count(DISTINCT prompt) AS n FROM (
+  SELECT f.question_id, a.question || chr(10) || string_agg(f.document_type || chr(10) || f.text, chr(10) ORDER BY rank) AS prompt
+  FROM found f JOIN asked a USING (question_id) GROUP BY f.question_id, a.question)"""
+
+
+@query(
+    "generator_rerun",
+    sql(
+        f"""SELECT a.question_id, CASE WHEN text IS NULL THEN 'I don''t have enough information to answer that question based on the available documents.'
+          ELSE trim(split_part(text, chr(10), 1), {BLANKS}) END AS answer, p.n AS asked_first, CAST(0 AS BIGINT) AS asked_again
+        FROM asked a LEFT JOIN (SELECT question_id, text FROM found WHERE rank = 1) f USING (question_id), ({_PROMPTS}) p""",
+        "chunk_texts", "companies", extra=ANSWERED_VIEWS,
+    ),
+)
+def generator_rerun(spark, sf_dir):
+    # The same questions twice: the second run finds every reply of the first.
+    questions = asked_questions(spark, sf_dir)
+    chunks = stored(inputs.document_chunks(spark, sf_dir), "chunks")
+    with scratch_database(spark) as database:
+        table = f"{database}.generator_replies"
+        kept = tables.StoredReplies(spark, table, "extractive")
+        asked = []
+        for _ in range(2):
+            before = spark.table(table).count()
+            answered = answer.ask(questions, chunks, embed=_letters, k=3, replies=kept)
+            asked.append(spark.table(table).count() - before)
+        result = answered.select("question_id", "answer", F.lit(asked[0]).cast("long").alias("asked_first"), F.lit(asked[1]).cast("long").alias("asked_again"))
+        return stored(result, "result")

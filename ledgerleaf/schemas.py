@@ -23,7 +23,10 @@ PARTITIONS = {
     "chunk_embeddings": "delivery",
     "investment_analysis": "delivery",
     "analysis_dimensions": "delivery",
+    "generator_replies": "delivery",
 }
+# Columns by which rows are placed in buckets: texts and vectors are met there by ids and questions, and stay.
+BUCKETS = {"document_chunks": ("chunk_id",), "chunk_embeddings": ("company_id", "slot")}
 DERIVED = {"upload_day": "coalesce(to_date(uploaded_at), DATE '1970-01-01')"}
 
 FINANCIAL_METRICS = """
@@ -40,7 +43,8 @@ DOCUMENT_CHUNKS = """
     created_at TIMESTAMP, delivery STRING
 """
 
-CHUNK_EMBEDDINGS = "chunk_id STRING NOT NULL, company_id STRING, embedding ARRAY<FLOAT>, delivery STRING"
+# A slot holds a bounded number of vectors of one company and delivery.
+CHUNK_EMBEDDINGS = "chunk_id STRING NOT NULL, company_id STRING, slot BIGINT, embedding ARRAY<FLOAT>, delivery STRING"
 
 INVESTMENT_ANALYSIS = """
     analysis_id STRING NOT NULL, company_id STRING NOT NULL, overall_score DOUBLE, recommendation STRING,
@@ -55,6 +59,8 @@ ANALYSIS_DIMENSIONS = """
     reasoning STRING, key_findings ARRAY<STRING>, delivery STRING
 """
 
+GENERATOR_REPLIES = "prompt_key STRING NOT NULL, model STRING NOT NULL, reply STRING, asked_at TIMESTAMP, delivery STRING"
+
 TABLES = {
     "companies": COMPANIES,
     "documents": DOCUMENTS,
@@ -63,6 +69,7 @@ TABLES = {
     "chunk_embeddings": CHUNK_EMBEDDINGS,
     "investment_analysis": INVESTMENT_ANALYSIS,
     "analysis_dimensions": ANALYSIS_DIMENSIONS,
+    "generator_replies": GENERATOR_REPLIES,
 }
 
 # One file as extracted: text, counts and its tables cell by cell.

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -60,3 +61,25 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
+
+
+def write_buckets(df: DataFrame, place: str, keys: Sequence[str], buckets: int, by: Iterable[str] = (), name: str | None = None) -> None:
+    """Write rows as files by bucket of ``keys`` (and by the columns ``by``): as the table ``name``, or for a table that is
+    pointed to them later."""
+    spark = df.sparkSession
+    # Files are named after their buckets by writing them as a table, which is forgotten again if it was given no name.
+    table = name or f"staging_{uuid.uuid4().hex}"
+    writer = df.write.format("parquet").option("path", place).bucketBy(buckets, *keys).sortBy(*keys)
+    (writer.partitionBy(*by) if by else writer).saveAsTable(table)
+    if name is None:
+        spark.sql(f"DROP TABLE {table}")
+
+
+def stored_buckets(df: DataFrame, name: str, keys: Sequence[str]) -> DataFrame:
+    """As ``stored``, as a table in buckets of ``keys``: joins and groups by these keys do not move its rows. Each row is
+    moved once before, unless the frame is partitioned by the keys already."""
+    spark = df.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = f"{name}_{uuid.uuid4().hex}"
+    write_buckets(df.repartition(buckets, *keys), scratch_path(spark, name), keys, buckets, name=table)
+    return spark.table(table)

@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ledgerleaf import schemas
 from ledgerleaf.operators.report import company_rollup, table_counts
 from ledgerleaf.operators.status import new_rows, status_merge, upsert_companies
+from ledgerleaf.session import write_buckets
 
 KEYS = {
     "companies": "company_id",
@@ -32,8 +33,11 @@ KEYS = {
 }
 
 
-def create_tables(spark: SparkSession, database: str, names: Iterable[str] = tuple(schemas.TABLES)) -> None:
-    """Create the database and those of the tables that are missing.
+def create_tables(
+    spark: SparkSession, database: str, names: Iterable[str] = tuple(schemas.TABLES), buckets: int = 64
+) -> None:
+    """Create the database and those of the tables that are missing, chunks and vectors in ``buckets``: as many as tasks
+    are to read them.
 
     Documents are partitioned by upload day, so that a status update rewrites the days it touches. No
     table is partitioned by company: a few huge and very many tiny partitions would be the result.
@@ -45,6 +49,8 @@ def create_tables(spark: SparkSession, database: str, names: Iterable[str] = tup
         # Files cannot enforce NOT NULL; ``quality.check_columns`` reports it.
         columns = re.sub(r"\s+NOT NULL", "", schemas.TABLES[name])
         partition = f"PARTITIONED BY ({schemas.PARTITIONS[name]})" if name in schemas.PARTITIONS else ""
+        if name in schemas.BUCKETS:
+            partition += f" CLUSTERED BY ({', '.join(schemas.BUCKETS[name])}) INTO {buckets} BUCKETS"
         spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.{name} ({columns}) USING parquet {partition}")
 
 
@@ -68,9 +74,13 @@ def _partition(table: str) -> str | None:
     return schemas.PARTITIONS.get(table.rsplit(".", 1)[-1])
 
 
-def _place(spark: SparkSession, *described: str) -> str:
+def _described(spark: SparkSession, field: str, *described: str) -> str:
     rows = spark.sql(" ".join(described)).collect()
-    return next(row[1] for row in rows if row[0].strip(": ") == "Location").rstrip("/")
+    return next(row[1] for row in rows if row[0].strip(": ") == field)
+
+
+def _place(spark: SparkSession, *described: str) -> str:
+    return _described(spark, "Location", *described).rstrip("/")
 
 
 def _versions(spark: SparkSession, database: str) -> str:
@@ -153,15 +163,26 @@ def append(df: DataFrame, table: str, delivery: str | None = None) -> int:
         fitted.write.insertInto(table)
         return seen.get["n"]
     place = _new_version(spark, table)
-    fitted.write.parquet(place)
+    _write(fitted, place, table)
     if seen.get["n"]:
         _point(spark, table, {delivery or new_delivery(): place})
     return seen.get["n"]
 
 
-def _written(df: DataFrame, place: str, column: str) -> dict[str, str]:
-    """Write rows by a partition column; its values and where the files of each are."""
-    df.write.partitionBy(column).parquet(place)
+def _write(df: DataFrame, place: str, table: str, by: Iterable[str] = ()) -> None:
+    keys = schemas.BUCKETS.get(table.rsplit(".", 1)[-1])
+    if keys is None:
+        df.write.partitionBy(*by).parquet(place)
+        return
+    buckets = int(_described(df.sparkSession, "Num Buckets", "DESCRIBE TABLE EXTENDED", table))
+    # Each row is moved once, here.
+    write_buckets(df.repartition(buckets, *keys), place, keys, buckets, by)
+
+
+def _written(df: DataFrame, place: str, table: str) -> dict[str, str]:
+    """Write rows by the table's partition column; its values and where the files of each are."""
+    column = _partition(table)
+    _write(df, place, table, [column])
     found = df.sparkSession.read.schema(df.schema).parquet(place).select(F.col(column).cast("string")).distinct()
     return {row[0]: f"{place}/{column}={row[0]}" for row in found.collect()}
 
@@ -171,7 +192,7 @@ def append_by_delivery(df: DataFrame, table: str) -> None:
     has already is replaced."""
     spark = df.sparkSession
     place = _new_version(spark, table)
-    _point(spark, table, _written(_fitted(df, spark.table(table)), place, "delivery"))
+    _point(spark, table, _written(_fitted(df, spark.table(table)), place, table))
 
 
 def append_new(df: DataFrame, table: str, key: str | None = None, delivery: str | None = None) -> int:
@@ -210,7 +231,7 @@ def replace(df: DataFrame, table: str, partitions_only: bool = False) -> None:
         fitted.write.parquet(place)
         _point(spark, table, {None: place})
         return
-    places = _written(fitted, place, column)
+    places = _written(fitted, place, table)
     _point(spark, table, places)
     for value in set() if partitions_only else partitions(spark, table) - set(places):
         spark.sql(f"ALTER TABLE {table} DROP {_clause({column: value})}")
@@ -259,3 +280,19 @@ def save_analyses(analyses: DataFrame, dimensions: DataFrame, database: str) ->
     known = spark.table(f"{database}.analysis_dimensions").select("analysis_id").distinct()
     append(dimensions.join(known, "analysis_id", "left_anti"), f"{database}.analysis_dimensions")
     return append_new(analyses, f"{database}.investment_analysis")
+
+
+class StoredReplies:
+    """Replies of a generator, kept by the content of their prompts and the model that gave them: what was asked once is not
+    asked again, by whichever run. Each run adds one delivery."""
+
+    def __init__(self, spark: SparkSession, table: str, model: str) -> None:
+        self.spark, self.table, self.model = spark, table, model
+
+    def known(self) -> DataFrame:
+        rows = self.spark.table(self.table).filter(F.col("model") == self.model)
+        return rows.select("prompt_key", "reply")
+
+    def add(self, replies: DataFrame) -> int:
+        """Keep new replies (``prompt_key, reply``); of two runs that asked the same at once either reply may be used."""
+        return append(replies.withColumns({"model": F.lit(self.model), "asked_at": F.current_timestamp()}), self.table)

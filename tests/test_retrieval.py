@@ -1,11 +1,20 @@
 """Search against brute force, answers and generators."""
 
+import importlib
+import os
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from ledgerleaf.operators import answer, retrieve
 from ledgerleaf.operators.generate import generate
+from ledgerleaf.registry import inputs, queries
+from ledgerleaf.session import stored_buckets
+from ledgerleaf.sinks import tables
+
+SF_DIR = "/root/testdata/sf0.001"
+generate_module = importlib.import_module("ledgerleaf.operators.generate")
 
 
 def frames(spark, n_chunks=700, n_queries=90, hot=0.5):
@@ -122,3 +131,123 @@ def test_candidates_are_those_of_asked_pairs_only(spark):
     # Each company has four chunks: at most so many candidates for each pair, of 4,000,000 pairs with all chunks.
     assert found.count() <= 4 * 200
     assert found.select("_vector", "_scope").distinct().count() == 200
+
+
+def exchanged(frame):
+    """Columns of each exchange of a plan."""
+    plan, out = frame._jdf.queryExecution().executedPlan(), []
+
+    def walk(node):
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            return walk(node.initialPlan())
+        if "Exchange" in name:
+            out.append({a.name() for a in (node.output().apply(i) for i in range(node.output().length()))})
+        children = node.children()
+        for i in range(children.length()):
+            walk(children.apply(i))
+
+    walk(plan)
+    return out
+
+
+@pytest.fixture
+def no_broadcasts(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    yield
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
+def test_texts_are_met_where_they_lie(spark, no_broadcasts):
+    questions = queries.asked_questions(spark, SF_DIR)
+    chunks = stored_buckets(inputs.document_chunks(spark, SF_DIR), "chunks", ["chunk_id"])
+    found = retrieve.retrieve(questions, chunks, inputs.letter_embedding, k=3)
+    columns = exchanged(found)
+    assert columns and not any({"text", "embedding"} & names for names in columns)
+    plain = retrieve.retrieve(questions, inputs.document_chunks(spark, SF_DIR).drop("created_at"), inputs.letter_embedding, k=3)
+    assert any("text" in names for names in exchanged(plain))
+    key = ["question_id", "rank", "chunk_id"]
+    assert sorted(map(repr, found.select(*key, "text").collect())) == sorted(map(repr, plain.select(*key, "text").collect()))
+    answered = queries.QUERIES["ask_batch"](spark, SF_DIR)
+    assert not any({"text", "embedding", "context", "_prompt"} & names for names in exchanged(answered))
+
+
+def test_vectors_are_met_where_they_lie(spark, no_broadcasts):
+    found = queries.QUERIES["similarity_many_questions"](spark, SF_DIR)
+    columns = exchanged(found)
+    # Questions go to the slots; the vectors' side of the join is read in buckets.
+    assert sum("embedding" in names and "chunk_id" in names for names in columns) == 0
+    assert "Bucketed: true" in found._jdf.queryExecution().executedPlan().toString()
+
+
+@pytest.mark.parametrize("rows_per_slot, questions_per_slot", [(50_000, 10_000), (7, 3)])
+def test_slots_give_the_rows_of_blocks(spark, rows_per_slot, questions_per_slot):
+    rng = np.random.default_rng(4)
+    rows = [(f"k{i:03d}", "big" if i % 3 else f"c{i % 5}", np.round(rng.normal(size=4), 1).tolist()) for i in range(120)]
+    rows += [("none", "big", None), ("zero", "big", [0.0] * 4)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, company_id string, embedding array<float>")
+    asked = [(f"q{i}", ["big", "c0", "c1", "gone", None][i % 5], rng.normal(size=4).tolist()) for i in range(40)]
+    asked = spark.createDataFrame(asked, "query_id string, company_id string, embedding array<float>")
+    usable = chunks.filter("embedding IS NOT NULL")
+    expected = retrieve.search(asked, usable, k=3, max_shared_vectors=1, rows_per_task=10).collect()
+    placed = retrieve.with_slots(chunks, chunks, rows_per_slot=rows_per_slot)
+    slots = placed.groupBy("company_id").agg(F.countDistinct("slot").alias("n")).collect()
+    assert {r.company_id: r.n > 1 for r in slots}["big"] == (rows_per_slot < 50)
+    placed = placed.filter("company_id IS NOT NULL")
+    shared = [r for r in asked.collect() if r.company_id is not None]
+    found = retrieve.search(
+        asked.filter("company_id IS NOT NULL"), placed, k=3, max_shared_vectors=1, questions_per_slot=questions_per_slot
+    ).collect()
+    own = {r.query_id for r in shared}
+    assert sorted(map(repr, found)) == sorted(map(repr, [r for r in expected if r.query_id in own]))
+
+
+@pytest.mark.parametrize("share", [100_000, 2])
+def test_replies_meet_rows_by_id(spark, monkeypatch, share):
+    monkeypatch.setattr(generate_module, "ROWS_PER_SHARE", share)
+    prompts = ["a"] * 9 + ["b", "bad", None, "c"]
+    frame = spark.createDataFrame(list(enumerate(prompts)), "id long, prompt string")
+
+    def upper(batch):
+        if "bad" in batch:
+            raise ValueError("bad prompt")
+        return [p.upper() for p in batch]
+
+    rows = generate(frame, "prompt", upper, row_id="id").collect()
+    expected = {"a": ("A", None), "b": ("B", None), "c": ("C", None), "bad": (None, "bad prompt"), None: (None, None)}
+    assert sorted(r.id for r in rows) == list(range(len(prompts)))
+    assert all((r.reply, r.error) == expected[r.prompt] for r in rows)
+
+
+def test_replies_outlive_a_run(spark, tmp_path):
+    database = "replies_test"
+    tables.create_tables(spark, database, ["generator_replies"])
+    name = f"{database}.generator_replies"
+    log = str(tmp_path / "log")
+
+    def counted(batch):
+        with open(log, "a") as out:
+            out.write("".join(f"{p}\n" for p in batch))
+        if "bad" in batch:
+            raise ValueError("bad prompt")
+        return [p.upper() for p in batch]
+
+    def asked():
+        lines = open(log).read().split() if os.path.exists(log) else []
+        open(log, "w").close()
+        return lines
+
+    frame = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, "bad"), (5, None)], "id long, prompt string")
+    kept = tables.StoredReplies(spark, name, "m1")
+    first = generate(frame, "prompt", counted, replies=kept, batch_size=1).collect()
+    assert sorted(asked()) == ["a", "b", "bad"]
+    again = generate(frame.union(frame.limit(1).withColumn("prompt", F.lit("new"))), "prompt", counted, replies=kept, row_id="id", batch_size=1)
+    rows = generate(frame, "prompt", counted, replies=kept, row_id="id", batch_size=1).collect()
+    assert "a" not in asked()
+    assert sorted((r.id, r.reply) for r in rows) == sorted((r.id, r.reply) for r in first)
+    assert {r.reply for r in again.collect()} == {"A", "B", "NEW", None}
+    # Another model is asked itself.
+    generate(frame, "prompt", counted, replies=tables.StoredReplies(spark, name, "m2"), batch_size=1).collect()
+    assert sorted(asked()) == ["a", "b", "bad"]
+    spark.sql(f"DROP DATABASE {database} CASCADE")
