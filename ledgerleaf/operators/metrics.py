@@ -298,3 +298,46 @@ def revenue_growth(profile: DataFrame) -> DataFrame:
         "revenue_growth_rate",
         F.when(F.col("previous_revenue") != 0, (F.col("revenue") - F.col("previous_revenue")) / F.col("previous_revenue")),
     )
+
+
+# Metrics of a period from which growth and ratios follow.
+PERIOD_BASES = ("revenue", "recurring_revenue", "cash_balance", "burn_rate", "cac", "ltv")
+
+
+def wide_periods(wide: DataFrame) -> DataFrame:
+    """Bases of each company and period of the metrics table, the largest value of each: those of several deliveries are
+    merged by taking the largest again."""
+    return merged_periods(wide.select("company_id", F.col("period_start").alias("period"), *PERIOD_BASES))
+
+
+def merged_periods(periods: DataFrame) -> DataFrame:
+    return periods.groupBy("company_id", "period").agg(*[F.max(name).alias(name) for name in PERIOD_BASES])
+
+
+def period_growth(periods: DataFrame) -> DataFrame:
+    """Add ``period_key``, growth of revenue over the latest earlier dated period that has one, and the ratios of bases.
+
+    A late period reopens the one behind it, as all periods of a company are matched again; they are as many as its
+    calendar has. Undated periods have no growth and are nobody's predecessor.
+    """
+    dated = periods.withColumn("period_key", period_key("period"))
+    known = F.when(F.col("period_key").isNotNull(), F.col("revenue"))
+    earlier = Window.partitionBy("company_id").orderBy("period_key", "period").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.last(known, ignorenulls=True).over(earlier)
+    growth = F.when(F.col("period_key").isNotNull() & (F.col("_before") != 0), (F.col("revenue") - F.col("_before")) / F.col("_before"))
+    return dated.withColumn("_before", before).withColumns(
+        {
+            "revenue_growth_rate": growth,
+            "ltv_cac_ratio": _ratio("ltv", "cac"),
+            "runway_months": _ratio("cash_balance", "burn_rate"),
+        }
+    ).drop("_before")
+
+
+def derived_rows(periods: DataFrame) -> DataFrame:
+    """Growth and LTV/CAC of each company and period as rows of the metrics table."""
+    derived = periods.filter(F.col("revenue_growth_rate").isNotNull() | F.col("ltv_cac_ratio").isNotNull())
+    return derived.select(
+        ids.joined_id("company_id", "period", F.lit("derived")).alias("metric_id"), "company_id",
+        F.col("period").alias("period_start"), F.col("period").alias("period_end"), "revenue_growth_rate", "ltv_cac_ratio",
+    )

@@ -197,3 +197,35 @@ def company_rollup(companies: DataFrame, documents: DataFrame, analyses: DataFra
         .join(analysed, "company_id", "left")
         .withColumn("total_documents", F.coalesce("total_documents", F.lit(0)))
     )
+
+
+def rollup(companies: DataFrame, counts: DataFrame, analyses: DataFrame | None = None) -> DataFrame:
+    """Companies with ``total_documents``, summed from counts by day, and ``last_analyzed``, the latest of what they had and
+    of ``analyses``."""
+    totals = counts.groupBy("company_id").agg(F.sum("n_documents").cast("int").alias("_total"))
+    joined = companies.join(totals, "company_id", "left")
+    latest = F.col("last_analyzed")
+    if analyses is not None:
+        seen = analyses.groupBy("company_id").agg(F.max("analyzed_at").alias("_latest"))
+        joined, latest = joined.join(seen, "company_id", "left"), F.greatest("last_analyzed", "_latest")
+    made = {"total_documents": F.coalesce("_total", F.lit(0)), "last_analyzed": latest}
+    return joined.withColumns(made).select(*companies.columns)
+
+
+def financial_sums(metrics: DataFrame, *keys: str) -> DataFrame:
+    """Sums and counts from which ``financial_summary`` follows; those of several deliveries can be added."""
+    measures = {"revenue": "revenue", "burn_rate": "burn_rate", "runway": "runway_months"}
+    return metrics.groupBy("company_id", *keys).agg(
+        F.count(F.lit(1)).alias("metric_count"),
+        *[F.sum(column).alias(f"sum_{name}") for name, column in measures.items()],
+        *[F.count(column).alias(f"n_{name}") for name, column in measures.items()],
+    )
+
+
+def summary_of_sums(sums: DataFrame) -> DataFrame:
+    """``financial_summary`` from sums of deliveries."""
+    names = ("revenue", "burn_rate", "runway")
+    return sums.groupBy("company_id").agg(
+        F.sum("metric_count").alias("metric_count"),
+        *[F.try_divide(F.sum(f"sum_{name}"), F.sum(f"n_{name}")).alias(f"avg_{name}") for name in names],
+    )

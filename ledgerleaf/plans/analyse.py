@@ -11,7 +11,7 @@ from ledgerleaf.functions import ids
 from ledgerleaf.functions.constants import DIMENSION_TOP_K, DIMENSIONS, OVERVIEW_QUESTION, OVERVIEW_TOP_K
 from ledgerleaf.functions.numbers import fixed
 from ledgerleaf.functions.text import strip
-from ledgerleaf.operators import answer, report, score
+from ledgerleaf.operators import answer, metrics, report, score
 from ledgerleaf.operators.generate import Generator, generate
 from ledgerleaf.operators.retrieve import Embedder, hashed_embedding
 from ledgerleaf.session import stored
@@ -165,7 +165,9 @@ def analyse_companies(
         analyse(
             spark.table(f"{database}.companies"),
             spark.table(f"{database}.document_chunks"),
-            spark.table(f"{database}.financial_metrics"),
+            spark.table(f"{database}.financial_metrics").drop("delivery").unionByName(
+                metrics.derived_rows(spark.table(f"{database}.period_metrics")), allowMissingColumns=True
+            ),
             spark.table(f"{database}.documents"),
             answer_fn, judge_fn, summary_fn, embed,
             spark.table(f"{database}.chunk_embeddings"),
@@ -173,5 +175,5 @@ def analyse_companies(
         "analyses",
     )
     saved = tables.save_analyses(analyses, analysis_dimensions(analyses), database)
-    tables.update_rollup(spark, database)
+    tables.update_rollup(spark, database, analyses=analyses)
     return saved

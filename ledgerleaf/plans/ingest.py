@@ -9,7 +9,7 @@ from ledgerleaf.functions import ids
 from ledgerleaf.operators.classify import classify
 from ledgerleaf.operators.report import ingestion_summary
 from ledgerleaf.operators.status import new_rows, storage_paths
-from ledgerleaf.session import cut
+from ledgerleaf.session import cut, stored
 from ledgerleaf.sinks import tables
 from ledgerleaf.sources import files
 
@@ -46,7 +46,8 @@ def ingest_folders(
     tables.register_companies(
         companies.withColumn("company_id", ids.company_id("name")).drop("folder"), f"{database}.companies"
     )
-    documents = classified_folder(spark, base, companies, hash_content=hash_content)
+    # Listed once, whatever the steps below need of it.
+    documents = stored(classified_folder(spark, base, companies, hash_content=hash_content), "manifest")
     existing = spark.table(f"{database}.documents")
     fresh = new_rows(documents.select("document_id", "company_id"), existing, "document_id")
     counted = fresh.groupBy("company_id").agg(F.count("*").alias("documents_registered"))
@@ -65,7 +66,7 @@ def ingest_folders(
     # The summary has a row per company; it is fixed before the registration changes what is new.
     summary = cut(summary)
     tables.register_documents(documents, f"{database}.documents")
-    tables.update_rollup(spark, database)
+    tables.update_rollup(spark, database, documents)
     return summary
 
 
@@ -76,5 +77,6 @@ def classified_payloads(fetched: DataFrame, company: str, with_content: bool = F
 
 
 def ingest_fetched(fetched: DataFrame, company: str, database: str, **columns: object) -> int:
-    """Register fetched payloads; returns how many are new."""
-    return tables.register_documents(classified_payloads(fetched, company, **columns), f"{database}.documents")
+    """Register fetched payloads; returns how many are new. Payloads are read once, for their ids."""
+    documents = stored(classified_payloads(fetched, company, **columns), "manifest")
+    return tables.register_documents(documents, f"{database}.documents")

@@ -7,8 +7,9 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ledgerleaf import schemas
 from ledgerleaf.functions.constants import CHUNK_OVERLAP, CHUNK_SIZE
-from ledgerleaf.operators import metrics, retrieve
+from ledgerleaf.operators import metrics, report, retrieve
 from ledgerleaf.operators.chunk import chunk, heading_offsets, page_at, title_at
 from ledgerleaf.operators.generate import Generator
 from ledgerleaf.operators.pages import extracted_pages
@@ -21,6 +22,7 @@ from ledgerleaf.sources import parsers
 
 # Ids of at most this many unprocessed documents are broadcast to pick their files.
 MAX_SHARED_DOCUMENTS = 1_000_000
+UNREADABLE = "File could not be read"
 
 
 def sized_list(listed: DataFrame, max_shared: int = MAX_SHARED_DOCUMENTS) -> DataFrame:
@@ -73,13 +75,25 @@ def _extracted(
     """Texts of the listed documents, from files or, where a document is given page by page, from its pages."""
     keep = ("company_id", "document_type")
     parts = []
+    empty = todo.sparkSession.createDataFrame([], ", ".join(f"{name} STRING" for name in keep) + ", " + schemas.EXTRACTED)
     if pages is not None:
         given = pages.drop(*keep).join(sized_list(todo.select("document_id", *keep)), "document_id")
         parts.append(extracted_pages(given, keep))
         todo = todo.join(pages.select("document_id").distinct(), "document_id", "left_anti")
     if files is not None:
         parts.append(parsers.extract(once(files_to_do(files, todo)), parser_registry, keep=keep))
-    return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, parts, empty)
+
+
+def unreadable(todo: DataFrame, files: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Error rows for the listed documents among ``files`` of which no bytes arrived: files that were deleted since they
+    were listed, torn or locked. Only the listing and ids are looked at, no file is opened."""
+    keep = ("company_id", "document_type")
+    absent = stored(todo.select("document_id", *keep).join(extracted.select("document_id"), "document_id", "left_anti"), "absent")
+    # Mostly nothing is absent, and the listing need not be compared.
+    lost = absent if absent.isEmpty() else absent.join(files.select("document_id").distinct(), "document_id", "left_semi")
+    made = {"success": F.lit(False), "error": F.lit(UNREADABLE)}
+    return lost.withColumns(made).select("document_id", *keep, "success", "error")
 
 
 def process_documents(
@@ -99,21 +113,47 @@ def process_documents(
     Files are parsed where they are read; pages are brought together by document. The texts are written to the shared
     folder once and read by each of the following steps. Chunks, their embeddings and metrics are saved before the
     status, so a run that breaks off is simply repeated: documents whose rows were saved are recognised by their ids,
-    which alone are compared, so neither texts nor vectors are shuffled for it. Returns the run's summary.
+    which alone are compared, so neither texts nor vectors are shuffled for it. A file whose bytes do not arrive is
+    an error of its document, which stays on the list for the next run. Returns the run's summary.
     """
     todo = work_list(spark.table(f"{database}.documents"))
     extracted = stored(_extracted(todo, files, pages, parser_registry), "extracted")
+    if files is not None:
+        lost = stored(unreadable(todo, files, extracted), "lost")
+        extracted = extracted.unionByName(lost, allowMissingColumns=True)
     chunks = stored(document_chunks(extracted, size, overlap), "chunks")
     found = stored(metrics.to_wide(document_metrics(extracted, fn)), "metrics")
 
     tables.append_documents(chunks, f"{database}.document_chunks")
     sync_embeddings(spark, database, embed)
     tables.append_new(found, f"{database}.financial_metrics")
+    update_periods(spark, database)
     results = extracted.select("document_id", "success", "error", "page_count", "has_tables", "has_charts")
     tables.mark_documents(results, f"{database}.documents")
     return run_summary(extracted.select(F.col("success").alias("processed")), chunks, found)
 
 
+def update_periods(spark: SparkSession, database: str) -> int:
+    """Bring growth, ratios and sums of companies up to date with the deliveries of metrics that were not taken yet; returns
+    how many deliveries. Only these, and the shares of the companies in them, are read; merging a delivery again changes
+    nothing."""
+    waiting = tables.pending(spark, database, "financial_metrics", "periods")
+    if not waiting:
+        return 0
+    arrived = spark.table(f"{database}.financial_metrics").filter(F.col("delivery").isin(*waiting))
+    share = F.pmod(F.xxhash64("company_id"), F.lit(schemas.SHARES)).cast("int")
+    touched = [row[0] for row in arrived.select(share.alias("share")).distinct().collect()]
+    periods = spark.table(f"{database}.period_metrics").filter(F.col("share").isin(*touched))
+    known = periods.select("company_id", "period", *metrics.PERIOD_BASES)
+    merged = metrics.merged_periods(known.unionByName(metrics.wide_periods(arrived)))
+    grown = metrics.period_growth(merged).withColumn("share", share)
+    tables.replace(grown, f"{database}.period_metrics", partitions_only=True)
+    sums = report.financial_sums(arrived, "delivery")
+    tables.append_by_delivery(sums, f"{database}.metric_sums")
+    tables.take(spark, database, "periods", waiting)
+    return len(waiting)
+
+
 def pending_embeddings(
     spark: SparkSession, database: str, embed: retrieve.Embedder = retrieve.hashed_embedding
 ) -> DataFrame | None:

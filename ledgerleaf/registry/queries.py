@@ -493,7 +493,7 @@ def text_metrics(spark, sf_dir):
     return metrics.text_metrics(spread(inputs.statement_text(spark, sf_dir)))
 
 
-def _long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+def long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.combine(
         metrics.table_metrics(inputs.cells(spark, sf_dir)),
         metrics.text_metrics(spread(inputs.statement_text(spark, sf_dir))),
@@ -501,7 +501,7 @@ def _long_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _wide_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return metrics.to_wide(_long_metrics(spark, sf_dir)).drop("extracted_at")
+    return metrics.to_wide(long_metrics(spark, sf_dir)).drop("extracted_at")
 
 
 def _wide_in_millions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -534,7 +534,7 @@ def metrics_wide(spark, sf_dir):
     ),
 )
 def best_metrics(spark, sf_dir):
-    return metrics.best_per_period(_long_metrics(spark, sf_dir))
+    return metrics.best_per_period(long_metrics(spark, sf_dir))
 
 
 @query(
@@ -548,7 +548,7 @@ def best_metrics(spark, sf_dir):
     ),
 )
 def derived_metrics(spark, sf_dir):
-    derived = metrics.derived_metrics(metrics.period_profile(_long_metrics(spark, sf_dir)))
+    derived = metrics.derived_metrics(metrics.period_profile(long_metrics(spark, sf_dir)))
     return derived.select("company_id", "period", _r("ltv_cac_ratio").alias("ltv_cac_ratio"), _r("runway_months").alias("runway_months"))
 
 
@@ -564,7 +564,7 @@ def derived_metrics(spark, sf_dir):
     ),
 )
 def revenue_growth(spark, sf_dir):
-    grown = metrics.revenue_growth(metrics.period_profile(_long_metrics(spark, sf_dir)))
+    grown = metrics.revenue_growth(metrics.period_profile(long_metrics(spark, sf_dir)))
     return grown.select(
         "company_id", "period", F.date_format("period_key", "yyyy-MM-dd").alias("period_key"),
         _r("revenue").alias("revenue"), _r("revenue_growth_rate").alias("revenue_growth_rate"),
@@ -1134,7 +1134,7 @@ def system_stats(spark, sf_dir):
 )
 def run_summary(spark, sf_dir):
     return report.run_summary(
-        inputs.manifest(spark, sf_dir), inputs.document_chunks(spark, sf_dir), _long_metrics(spark, sf_dir)
+        inputs.manifest(spark, sf_dir), inputs.document_chunks(spark, sf_dir), long_metrics(spark, sf_dir)
     )
 
 

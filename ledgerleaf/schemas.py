@@ -24,10 +24,15 @@ PARTITIONS = {
     "investment_analysis": "delivery",
     "analysis_dimensions": "delivery",
     "generator_replies": "delivery",
+    "document_counts": "upload_day",
+    "metric_sums": "delivery",
+    "period_metrics": "share",
+    "cursors": "delivery",
 }
 # Columns by which rows are placed in buckets: texts and vectors are met there by ids and questions, and stay.
 BUCKETS = {"document_chunks": ("chunk_id",), "chunk_embeddings": ("company_id", "slot")}
 DERIVED = {"upload_day": "coalesce(to_date(uploaded_at), DATE '1970-01-01')"}
+SHARES = 64
 
 FINANCIAL_METRICS = """
     metric_id STRING NOT NULL, company_id STRING NOT NULL, document_id STRING NOT NULL, period_start STRING,
@@ -59,6 +64,25 @@ ANALYSIS_DIMENSIONS = """
     reasoning STRING, key_findings ARRAY<STRING>, delivery STRING
 """
 
+# Documents of a company by day; a company's totals are their sums.
+DOCUMENT_COUNTS = "company_id STRING NOT NULL, n_documents BIGINT, upload_day DATE"
+
+# Sums of a delivery of metrics; a company's averages follow from those of all deliveries.
+METRIC_SUMS = """
+    company_id STRING NOT NULL, metric_count BIGINT, sum_revenue DOUBLE, sum_burn_rate DOUBLE, sum_runway DOUBLE,
+    n_revenue BIGINT, n_burn_rate BIGINT, n_runway BIGINT, delivery STRING
+"""
+
+# Metrics of a company and period side by side, with what follows from them; companies are spread over shares.
+PERIOD_METRICS = """
+    company_id STRING NOT NULL, period STRING, period_key DATE, revenue DOUBLE, recurring_revenue DOUBLE,
+    cash_balance DOUBLE, burn_rate DOUBLE, cac DOUBLE, ltv DOUBLE, revenue_growth_rate DOUBLE, ltv_cac_ratio DOUBLE,
+    runway_months DOUBLE, share INT
+"""
+
+# Deliveries that a consumer has taken.
+CURSORS = "consumer STRING NOT NULL, taken STRING NOT NULL, delivery STRING"
+
 GENERATOR_REPLIES = "prompt_key STRING NOT NULL, model STRING NOT NULL, reply STRING, asked_at TIMESTAMP, delivery STRING"
 
 TABLES = {
@@ -70,6 +94,10 @@ TABLES = {
     "investment_analysis": INVESTMENT_ANALYSIS,
     "analysis_dimensions": ANALYSIS_DIMENSIONS,
     "generator_replies": GENERATOR_REPLIES,
+    "document_counts": DOCUMENT_COUNTS,
+    "metric_sums": METRIC_SUMS,
+    "period_metrics": PERIOD_METRICS,
+    "cursors": CURSORS,
 }
 
 # One file as extracted: text, counts and its tables cell by cell.

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf import schemas
-from ledgerleaf.operators.report import company_rollup, table_counts
+from ledgerleaf.operators.report import rollup, table_counts
 from ledgerleaf.operators.status import new_rows, status_merge, upsert_companies
 from ledgerleaf.session import write_buckets
 
@@ -153,20 +153,21 @@ def append(df: DataFrame, table: str, delivery: str | None = None) -> int:
     """Append all rows; returns how many. Rows are sorted by company within files where there is one, so
     that a filter on a company skips most row groups. A table of deliveries gets one more, whole or not at all."""
     spark = df.sparkSession
-    seen = Observation()
     by_delivery = _partition(table) == "delivery"
     fitted = _fitted(df, spark.table(table), "delivery" if by_delivery else None)
-    fitted = fitted.observe(seen, F.count(F.lit(1)).alias("n"))
     if "company_id" in fitted.columns:
         fitted = fitted.sortWithinPartitions("company_id")
     if not by_delivery:
-        fitted.write.insertInto(table)
+        seen = Observation()
+        fitted.observe(seen, F.count(F.lit(1)).alias("n")).write.insertInto(table)
         return seen.get["n"]
     place = _new_version(spark, table)
     _write(fitted, place, table)
-    if seen.get["n"]:
+    # Numbers of rows are in the files' footers.
+    rows = spark.read.schema(fitted.schema).parquet(place).count()
+    if rows:
         _point(spark, table, {delivery or new_delivery(): place})
-    return seen.get["n"]
+    return rows
 
 
 def _write(df: DataFrame, place: str, table: str, by: Iterable[str] = ()) -> None:
@@ -257,6 +258,18 @@ def register_documents(documents: DataFrame, table: str) -> int:
     return append_new(documents, table)
 
 
+def pending(spark: SparkSession, database: str, source: str, consumer: str) -> list[str]:
+    """Deliveries of the table ``source`` that ``consumer`` has not taken yet, by the catalog and the list of cursors."""
+    taken = spark.table(f"{database}.cursors").filter(F.col("consumer") == consumer).select("taken").collect()
+    return sorted(partitions(spark, f"{database}.{source}") - {row[0] for row in taken})
+
+
+def take(spark: SparkSession, database: str, consumer: str, deliveries: Iterable[str]) -> None:
+    """Note deliveries as taken. What a consumer does with them is done before and may be repeated."""
+    rows = [(consumer, name) for name in deliveries]
+    append(spark.createDataFrame(rows, "consumer string, taken string"), f"{database}.cursors")
+
+
 def mark_documents(results: DataFrame, table: str) -> None:
     """Record the outcome of a batch in the documents table: one pass over the days it touches."""
     documents = results.sparkSession.table(table)
@@ -266,11 +279,29 @@ def mark_documents(results: DataFrame, table: str) -> None:
         replace(status_merge(documents.filter(F.col("upload_day").isin(days)), results), table, partitions_only=True)
 
 
-def update_rollup(spark: SparkSession, database: str) -> None:
-    """Bring ``total_documents`` and ``last_analyzed`` of all companies up to date in their table."""
-    rolled = company_rollup(
-        spark.table(f"{database}.companies"), spark.table(f"{database}.documents"), spark.table(f"{database}.investment_analysis")
-    )
+def update_counts(spark: SparkSession, database: str, documents: DataFrame | None = None) -> None:
+    """Count the documents of each company on the days that occur in ``documents`` (all days, if None): a day's counts are
+    replaced as a whole, so counting one again changes nothing."""
+    stored_documents = spark.table(f"{database}.documents")
+    if documents is not None:
+        days = documents.select(F.expr(schemas.DERIVED["upload_day"]).alias("day")).distinct().collect()
+        if not days:
+            return
+        stored_documents = stored_documents.filter(F.col("upload_day").isin(*[row["day"] for row in days]))
+    counts = stored_documents.groupBy("company_id", "upload_day").agg(F.count(F.lit(1)).alias("n_documents"))
+    replace(counts, f"{database}.document_counts", partitions_only=True)
+
+
+def update_rollup(spark: SparkSession, database: str, documents: DataFrame | None = None, analyses: DataFrame | None = None) -> None:
+    """Bring ``total_documents`` and ``last_analyzed`` of all companies up to date in their table after a run.
+
+    Only the days of the run's ``documents`` are counted again, and of ``analyses`` only the run's own are looked at; the
+    rest is in the counts by day and in the companies. ``documents`` None counts all days.
+    """
+    if documents is not None or analyses is None:
+        update_counts(spark, database, documents)
+    latest = spark.table(f"{database}.investment_analysis") if analyses is None and documents is None else analyses
+    rolled = rollup(spark.table(f"{database}.companies"), spark.table(f"{database}.document_counts"), latest)
     replace(rolled, f"{database}.companies")
 
 

@@ -1,7 +1,9 @@
 """Incremental processing: newly arrived documents run through the batch operators as micro-batches.
 
-The stream's checkpoint remembers which input was taken; document ids and one partition per batch make
-repeated deliveries and repeated batches harmless.
+The stream's checkpoint remembers which input was taken. Documents that are delivered again are recognised by the ids in
+the stream's state, which holds each for a horizon of time after it first arrived: no batch reads what is stored. Only
+where the state cannot know, in the first batch of a checkpoint and for documents that say they are older than the horizon,
+ids are compared with the stored ones. One partition per batch makes repeated batches harmless.
 """
 
 from __future__ import annotations
@@ -9,7 +11,7 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -19,8 +21,10 @@ from ledgerleaf.operators.classify import classify
 
 DocumentsOf = Callable[[DataFrame], DataFrame]
 
-# Files of a micro-batch, which is held on the executors while its tables are written.
+# Files of a micro-batch, whose texts are written before its other tables are made of them.
 FILES_PER_BATCH = 1000
+# How long ids are kept in the state of a stream.
+HORIZON = "7 days"
 
 
 def _stored_ids(spark: SparkSession, path: str, label: str) -> DataFrame | None:
@@ -32,28 +36,35 @@ def _stored_ids(spark: SparkSession, path: str, label: str) -> DataFrame | None:
     return stored.filter(F.col("batch") != label).select("document_id")
 
 
-def process_batch(arrived: DataFrame, target: str, label: str) -> None:
+def process_batch(
+    arrived: DataFrame, target: str, label: str, compared: Column | None = None, unique: bool = False
+) -> None:
     """Classify, chunk and measure a batch of ``document_id, company_id, filename, relative_path, text``.
 
-    Documents that another batch has stored are left out. Each batch owns the partition ``batch=<label>`` of
-    every table and overwrites it, so a batch that broke off is repeated without checking chunk by chunk.
+    Documents that another batch has stored are left out: of the rows that meet ``compared`` (by default all) the ids are
+    compared with the stored ones, which are not read if there are no such rows. ``unique`` says that no id occurs twice.
+    Each batch owns the partition ``batch=<label>`` of every table and overwrites it, so a batch that broke off is repeated
+    without checking chunk by chunk; its texts are written first and read from there by what follows.
     """
+    spark = arrived.sparkSession
     # Only ids are compared; texts move if some of them did arrive before, or twice.
-    ids = arrived.groupBy("document_id").count()
+    ids = (arrived if compared is None else arrived.filter(compared)).select("document_id").distinct()
     fresh = arrived
-    known = _stored_ids(arrived.sparkSession, f"{target}/documents", label)
+    known = None if compared is not None and ids.isEmpty() else _stored_ids(spark, f"{target}/documents", label)
     if known is not None:
-        repeated = ids.select("document_id").join(known, "document_id", "left_semi")
+        repeated = ids.join(known, "document_id", "left_semi")
         if not repeated.isEmpty():
             fresh = fresh.join(repeated, "document_id", "left_anti")
-    if not ids.filter("count > 1").isEmpty():
+    if not unique and not arrived.groupBy("document_id").count().filter("count > 1").isEmpty():
         fresh = fresh.dropDuplicates(["document_id"])
-    batch = classify(fresh).persist()
+    classified = classify(fresh)
+    texts = f"{target}/texts/batch={label}"
+    classified.write.mode("overwrite").parquet(texts)
+    batch = spark.read.schema(classified.schema).parquet(texts)
     chunks = chunk(batch.select("document_id", "company_id", "document_type", "text"))
     found = metrics.text_metrics(batch.filter(F.col("document_type") == "financial"))
     for name, rows in (("chunks", chunks), ("metrics", found), ("documents", batch.drop("text"))):
         rows.write.mode("overwrite").parquet(f"{target}/{name}/batch={label}")
-    batch.unpersist()
 
 
 def incremental(
@@ -64,10 +75,14 @@ def incremental(
     checkpoint: str,
     documents_of: DocumentsOf = lambda rows: rows,
     files_per_batch: int | None = FILES_PER_BATCH,
+    horizon: str = HORIZON,
+    created_at: str | None = None,
 ) -> StreamingQuery:
     """Start a run over what has arrived at ``source`` (parquet) since the last run, and end with it.
 
-    ``documents_of`` shapes source rows into the columns ``process_batch`` takes.
+    ``documents_of`` projects source rows to the columns ``process_batch`` takes. Ids are kept for ``horizon`` after they
+    arrived. If documents may be delivered again later than that, ``created_at`` names a column with their time: those
+    created before the horizon are compared with the stored ones.
     """
     reader = spark.readStream.schema(schema)
     if files_per_batch is not None:
@@ -75,13 +90,18 @@ def incremental(
 
     # Batch numbers count within a checkpoint.
     stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
+    old = F.lit(False) if created_at is None else F.col(created_at) < F.current_timestamp() - F.expr(f"INTERVAL {horizon}")
 
     def handle(batch: DataFrame, number: int) -> None:
-        process_batch(documents_of(batch), target, f"{stream}-{number}")
+        rows = batch.drop("_arrived")
+        compared = F.lit(True) if number == 0 else old
+        process_batch(rows, target, f"{stream}-{number}", compared, unique=True)
 
+    # Arrival is the time of the batch, so no row is too late for the state.
+    arrived = documents_of(reader.parquet(source)).withColumn("_arrived", F.current_timestamp())
+    first = arrived.withWatermark("_arrived", horizon).dropDuplicatesWithinWatermark(["document_id"])
     return (
-        reader.parquet(source)
-        .writeStream.foreachBatch(handle)
+        first.writeStream.foreachBatch(handle)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -196,3 +196,25 @@ def test_equal_headings_keep_both_values(spark):
     rows = metrics.table_metrics(cells).collect()
     assert len({r.metric_id for r in rows}) == 2
     assert {r.value for r in rows} == {1e6, 2e6}
+
+
+def test_growth_of_periods(spark):
+    from ledgerleaf.operators import metrics
+
+    rows = [
+        ("a", "Q1 2024", 100.0), ("a", "Q3 2024", 300.0), ("a", "2019", 0.0), ("a", "FY20", 50.0), ("a", None, 7.0), ("a", "TTM", 9.0),
+        ("b", "Q1 2024", None), ("b", "Q2 2024", 10.0),
+    ]
+    bases = [n for n in metrics.PERIOD_BASES if n != "revenue"]
+    frame = spark.createDataFrame(rows, "company_id string, period string, revenue double")
+    frame = frame.withColumns({n: F.when(F.col("company_id") == "a", 4.0 if n == "cac" else 8.0) for n in bases})
+    grown = {(r.company_id, r.period): r for r in metrics.period_growth(frame).collect()}
+    assert grown["a", "Q1 2024"].revenue_growth_rate == 1.0
+    assert grown["a", "Q3 2024"].revenue_growth_rate == 2.0
+    assert grown["a", "FY20"].revenue_growth_rate is None and grown["a", "2019"].revenue_growth_rate is None
+    assert grown["a", None].revenue_growth_rate is None and grown["a", "TTM"].revenue_growth_rate is None
+    assert grown["b", "Q2 2024"].revenue_growth_rate is None
+    assert (grown["a", "TTM"].ltv_cac_ratio, grown["a", "TTM"].runway_months) == (2.0, 1.0)
+    late = metrics.merged_periods(frame.unionByName(frame.limit(1).withColumns({"period": F.lit("Q2 2024"), "revenue": F.lit(150.0)})))
+    grown = {(r.company_id, r.period): r.revenue_growth_rate for r in metrics.period_growth(late).collect()}
+    assert (grown["a", "Q2 2024"], grown["a", "Q3 2024"], grown["a", "Q1 2024"]) == (0.5, 1.0, 1.0)

@@ -83,7 +83,9 @@ def test_ingest_process_analyse(spark, base):
     assert (memo["overall_score"], memo["recommendation"], memo["confidence_level"]) == (7.5, "buy", 1.0)
     assert memo["executive_summary"] == "A summary."
     assert memo["key_risks"] == ["one", "two", "three"]
-    assert memo["financial_analysis"].startswith("Revenue: $5,500,000. Burn rate: $95,000/month. Runway: 18.0 months")
+    assert memo["financial_analysis"].startswith(
+        "Revenue: $5,500,000. Growth rate: 20.0%. Burn rate: $95,000/month. Runway: 18.0 months"
+    )
     assert counts(spark)["analysis_dimensions"] == 21
     weights = spark.table(f"{DB}.analysis_dimensions").agg(F.sum("weight")).first()[0]
     assert weights == pytest.approx(3.0)
@@ -175,3 +177,30 @@ def test_micro_batches_equal_one_batch(spark, tmp_path):
     documents.limit(5).withColumn("doc_id", F.col("doc_id") + 100000).coalesce(1).write.mode("append").parquet(source)
     run("many", "offsets1")
     assert len(rows("many", "documents")) == documents.count() + 5
+
+
+def test_state_recognises_what_is_delivered_again(spark, tmp_path, monkeypatch):
+    source, target, offsets = (str(tmp_path / n) for n in ("arrivals", "ingested", "offsets"))
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).coalesce(1)
+    read = []
+    real = incremental._stored_ids
+    monkeypatch.setattr(incremental, "_stored_ids", lambda *args: read.append(args[2]) or real(*args))
+
+    def deliver(rows, checkpoint=offsets, **options):
+        rows.write.mode("append").parquet(source)
+        incremental.incremental(spark, source, SCHEMA, target, checkpoint, shaped, 1, **options).awaitTermination()
+
+    def ids():
+        return sorted(r.document_id for r in spark.read.parquet(f"{target}/documents").collect())
+
+    first, more = documents.filter("doc_id < 40"), documents
+    deliver(first)
+    deliver(more)
+    deliver(documents)
+    assert ids() == sorted({str(r.doc_id) for r in documents.collect()})
+    # Only the first batch looked at what is stored.
+    assert [label.rsplit("-", 1)[1] for label in read] == ["0"]
+    # A new checkpoint knows nothing: its first batch compares.
+    deliver(documents, str(tmp_path / "offsets2"))
+    assert ids() == sorted({str(r.doc_id) for r in documents.collect()})
+    assert len(read) == 2
