@@ -207,6 +207,8 @@ PARSERS: dict[str, Parser] = {
 }
 
 _COLUMNS = list(schemas.EXTRACTED_FIELDS)
+# Parsed files that leave a task together: their number, and their size in characters, cells counted as some.
+FRAME_FILES, FRAME_SIZE, _CELL_SIZE = 1000, 2_000_000, 100
 _DEFAULTS = {"has_tables": False, "has_charts": False, "table_count": 0}
 
 
@@ -248,13 +250,25 @@ def extract(
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = {name: "Int32" for name in _COLUMNS if name.endswith("_count") or name == "total_rows"}
+        held: list[dict] = []
+        size = 0
+
+        def made() -> pd.DataFrame:
+            return pd.DataFrame(held, columns=names).astype(counts)
+
         for batch in batches:
-            # One frame per file, so that the parsed form of only one file is held at a time.
+            # Small files share a frame; a large one is parsed and handed on by itself.
             for values in batch.itertuples(index=False, name=None):
                 row = dict(zip(batch.columns, values))
                 parsed = parse_one(row["document_id"], row["_type"], row["content"])
-                kept = {name: row[name] for name in keep}
-                yield pd.DataFrame([kept | parsed], columns=names).astype(counts)
+                held.append({name: row[name] for name in keep} | parsed)
+                size += len(parsed["full_text"] or "") + _CELL_SIZE * len(parsed["cells"] or ())
+                if size >= FRAME_SIZE or len(held) >= FRAME_FILES:
+                    yield made()
+                    held.clear()
+                    size = 0
+        if held:
+            yield made()
 
     passed = "".join(f"`{name}` STRING, " for name in keep)
     return files.select("document_id", F.lower("file_type").alias("_type"), "content", *keep).mapInPandas(
