@@ -37,9 +37,10 @@ SHARED_CLASSES = 4_096
 # Words whose counts travel with the code; the first of them have classes of their own.
 LISTED = 50_000
 ITERATIONS = 6
-# Steps of which forward values are held at once, and tokens of the texts that a task trains on side by side.
+# Steps that are gone through at once, and the texts, and tokens of these, that a task trains on side by side: forward
+# values of so many tokens are held.
 PIECE = 128
-HELD_TOKENS = 1_000_000
+HELD_TEXTS, HELD_TOKENS = 4096, 1_000_000
 # Weight, in tokens, of the class frequencies that smooth each state's emissions.
 PRIOR = 500.0
 END = b"\n"
@@ -208,51 +209,66 @@ def _side_by_side(sequences: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray,
 def expected_counts(sequences: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Expected starts, transitions and emissions (class x state), and the log likelihood, of whole texts.
 
-    Texts stand side by side and are gone through in pieces of ``PIECE`` steps. Forward values at the borders are kept;
-    the way back makes those inside a piece anew and carries the backward values over its border.
+    Texts stand side by side and are gone through in pieces of ``PIECE`` steps. Forward values are kept, of more than
+    ``HELD_TOKENS`` tokens those at the borders only: the way back then makes those inside a piece anew. Backward values
+    are carried over the borders.
     """
     order = np.argsort([-len(x) for x in sequences], kind="stable")
     lengths = np.array([len(sequences[i]) for i in order])
     tokens = np.concatenate([sequences[i] for i in order])
     first = np.cumsum(lengths) - lengths
     states = len(model.start)
+    hold = len(tokens) <= HELD_TOKENS
 
-    def forward(begin: int, before: np.ndarray | None) -> tuple[np.ndarray, ...]:
+    def cells(begin: int) -> tuple[np.ndarray, ...]:
         times = np.arange(begin, min(begin + PIECE, lengths[0]))
         active = np.searchsorted(-lengths, -times, side="left")
         steps = tokens[np.minimum(first[: active[0]] + times[:, None], len(tokens) - 1)]
-        emitted = model.emits[steps]
-        alpha, scale = np.zeros((*steps.shape, states)), np.ones(steps.shape)
+        return steps, active, model.emits[steps]
+
+    def forward(active: np.ndarray, emitted: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+        alpha, scale = np.zeros(emitted.shape), np.ones(emitted.shape[:2])
         for t, n in enumerate(active):
             ahead = model.start if before is None else before[:n] @ model.moves
             a = ahead * emitted[t, :n]
             scale[t, :n] = a.sum(axis=1)
             alpha[t, :n] = before = a / scale[t, :n, None]
-        return steps, active, emitted, alpha, scale
+        return alpha, scale
 
     borders: list[np.ndarray | None] = [None]
     begins = range(0, int(lengths[0]), PIECE)
+    pieces: list[tuple[np.ndarray, np.ndarray]] = []
     log = 0.0
     for begin in begins:
-        piece = forward(begin, borders[-1])
-        log += float(np.log(piece[4]).sum())
-        borders.append(piece[3][-1, : piece[1][-1]].copy())
+        _, active, emitted = cells(begin)
+        pieces.append(forward(active, emitted, borders[-1]))
+        alpha, scale = pieces[-1]
+        log += float(np.log(scale).sum())
+        borders.append(alpha[-1, : active[-1]].copy())
+        if not hold:
+            pieces.clear()
     moves, emits = np.zeros_like(model.moves), np.zeros((len(model.emits), states))
     beta = np.ones((len(lengths), states))
+    back = np.ascontiguousarray(model.moves.T)
     for number, begin in reversed(list(enumerate(begins))):
         before = borders[number]
-        steps, active, emitted, alpha, scale = piece if begin == begins[-1] else forward(begin, before)
+        steps, active, emitted = cells(begin)
+        alpha, scale = pieces.pop() if hold else forward(active, emitted, before)
+        emitted /= scale[..., None]
         posterior = alpha  # turned into posteriors from the end on
         for t in range(len(steps) - 1, -1, -1):
             n = active[t]
             last = alpha[t - 1, :n] if t else None if before is None else before[:n]
-            ahead = emitted[t, :n] * beta[:n] / scale[t, :n, None]
+            ahead = emitted[t, :n] * beta[:n]
             posterior[t, :n] *= beta[:n]
             if last is not None:
                 moves += last.T @ ahead
-                beta[:n] = ahead @ model.moves.T
+                beta[:n] = ahead @ back
+        # Cells behind the end of a text hold no posterior.
+        reached = np.arange(steps.shape[1]) < active[:, None]
+        classes, weights = steps[reached], posterior[reached].T.copy()
         for state in range(states):
-            emits[:, state] += np.bincount(steps.ravel(), posterior[..., state].ravel(), len(emits))
+            emits[:, state] += np.bincount(classes, weights[state], len(emits))
     return posterior[0].sum(axis=0), moves * model.moves, emits, log
 
 
@@ -304,7 +320,7 @@ def train(encoded: DataFrame, words: Vocabulary, states: int = STATES, iteration
                 for text in _read(batch, "classes"):
                     texts.append(text)
                     size += len(text)
-                    if len(texts) >= 1024 or size >= HELD_TOKENS:
+                    if len(texts) >= HELD_TEXTS or size >= HELD_TOKENS:
                         add()
             if texts:
                 add()
@@ -333,11 +349,12 @@ def score(docs: DataFrame, held_out: Column, id_column: str = "doc_id", text_col
     texts = docs.where(~held_out).select(F.col(text_column).alias("text"))
     counts = stored(count_words(texts), "word_counts")
     words = vocabulary(counts)
-    encoded = stored(encode(docs, held_out, words, id_column, text_column), "encoded")
+    # In order of length, so that texts that stand side by side end together.
+    encoded = stored(encode(docs, held_out, words, id_column, text_column).sortWithinPartitions("n_tokens"), "encoded")
     model = train(encoded.where("NOT held_out"), words, **options)
 
     def likelihood(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, "classes", 4_000_000):
+        for batch in slices(batches, "classes"):
             kept = [batch.column(batch.schema.get_field_index(c)) for c in plain]
             yield pa.RecordBatch.from_arrays([*kept, pa.array(log10_likelihood(_read(batch, "classes"), model))], [*plain, "class_log"])
 
