@@ -17,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -165,19 +166,21 @@ def find_hits(
     windows = stored(benchmark_windows(benchmark, item_column, item_text, size), "windows")
     blocks = max(1, -(-windows.count() // block_windows))
     block = F.pmod(F.xxhash64("window"), F.lit(blocks))
-    scans = [
-        _scan(docs, text_column, WindowIndex(windows.where(block == b).collect()), names) for b in range(blocks)
-    ]
+
+    def scan(number: int) -> DataFrame:
+        return _scan(docs, text_column, WindowIndex(windows.where(block == number).collect()), names)
+
     if blocks == 1:
-        return scans[0], at
-    found = scans[0].where(F.lit(False)).select(id_column, *names)
-    for scan in scans:
-        found = found.unionByName(scan.where(F.size(at["starts"]) > 0).select(id_column, *names))
+        return scan(0), at
+    # One index at a time is on the driver: what it finds is stored before the next one is made.
+    hits = [stored(scan(b).where(F.size(at["starts"]) > 0).select(id_column, *names), "hits") for b in range(blocks)]
+    found = reduce(DataFrame.union, hits)
+    whole = _scan(docs, text_column, WindowIndex([]), names)
     # Equal rows have equal findings, so uniting by id and digest of the text needs no key of the row.
     found = found.groupBy(F.col(id_column).alias("key"), F.col(at["digest"]).alias("digest")).agg(
         *(F.flatten(F.collect_set(at[c])).alias(c) if c == "items" else F.flatten(F.collect_list(at[c])).alias(c) for c in ("starts", "ends", "items"))
     )
-    every = scans[0].drop(at["starts"], at["ends"], at["items"])
+    every = whole.drop(at["starts"], at["ends"], at["items"])
     joined = every.join(found, every[id_column].eqNullSafe(found["key"]) & (every[at["digest"]] == found["digest"]), "left")
     empty = {"starts": "array<int>", "ends": "array<int>", "items": "array<string>"}
     return joined.select(

@@ -1,5 +1,7 @@
+import gc
 import hashlib
 import re
+import weakref
 
 import pytest
 
@@ -62,3 +64,23 @@ def test_cut_and_dropped_texts_are_clean(docs, benchmark):
 def test_empty_tables(docs, none, benchmark):
     assert decontaminate.report(none, benchmark).count() == 0
     assert decontaminate.report(docs, benchmark.where("false")).where("contaminated").count() == 0
+
+
+def test_one_index_is_held_at_a_time(docs, spark, sf_dir, monkeypatch):
+    """Of many blocks the driver holds one index, and each is used before the next is made."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    alive, most = weakref.WeakSet(), []
+    real = decontaminate.WindowIndex
+
+    class Counted(real):
+        def __init__(self, rows):
+            gc.collect()
+            most.append(len(alive) + 1)
+            alive.add(self)
+            super().__init__(rows)
+
+    monkeypatch.setattr(decontaminate, "WindowIndex", Counted)
+    decontaminate.find_hits(docs.select("doc_id", "text").limit(5), benchmark, block_windows=200)
+    assert len(most) >= 4
+    # The one that is made and, at most, the one whose scan has just ended.
+    assert max(most) <= 2
