@@ -1,4 +1,10 @@
-"""From documents to packed training sequences, stage by stage; each stage works on all that the one before kept."""
+"""From documents to packed training sequences, stage by stage; each stage works on all that the one before kept.
+
+Defined cases: null, empty and unlettered texts, and texts mostly in scripts that no text with a language has, leave in the
+first stage; texts in several learned languages stay. Rows with null or equal ids are documents of their own: of equal
+ones, as of all near duplicates, one stays. Texts that repeated strings leave empty stay, and are packed as their end
+token alone. Other columns pass through all stages but the last, whatever their names; an empty table gives no rows.
+"""
 
 from __future__ import annotations
 
@@ -11,15 +17,15 @@ from ledgerleaf.llm import decontaminate, langid, minhash, packing, substrings
 from ledgerleaf.llm.common import in_fold, stored, table
 from ledgerleaf.llm.queries import tokenizer_path
 
-# A document goes if less than this share of its letters is in one language, or if it has no letters.
-LEAST_SHARE = 0.4
+# A document goes if less than this share of its letters is in a script that a learned language has.
+LEAST_KNOWN = 0.5
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language, as seen by a model of the other documents' languages."""
     model = langid.train(docs.where(~in_fold(F.col("doc_id"), 4, 2)))
-    found, (label, score) = langid.identify(docs, model, with_spans=False)
-    return found.where((F.col(label) != langid.UNKNOWN) & (F.col(score) >= LEAST_SHARE)).select(*docs.columns)
+    found, (label, _, known) = langid.identify(docs, model, with_spans=False, with_known=True)
+    return found.where((F.col(label) != langid.UNKNOWN) & (F.col(known) >= LEAST_KNOWN)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

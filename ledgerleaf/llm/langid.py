@@ -8,7 +8,9 @@ that mixed texts come out as spans. All steps are array code over batches of who
 
 Defined cases: texts that are null or have no letter get ``und``, score 0 and no spans; without any training text
 every text does. Words without letters follow their neighbours. Ties go to the language that is first by name. Texts
-of any length are labelled whole. The score is the share of letters in words of the predicted language.
+of any length are labelled whole. The score is the share of letters in words of the predicted language whose script
+some training language has: texts in scripts that no training text has get a label, as all texts with letters do, and a
+score near 0.
 """
 
 from __future__ import annotations
@@ -182,15 +184,17 @@ def _labels(batch: Batch, model: Model) -> np.ndarray:
     return viterbi(sums, batch.first, SWITCH_PENALTY)
 
 
-def identify(docs: DataFrame, model: Model, text_column: str = "text", with_spans: bool = True) -> tuple[DataFrame, list[str]]:
-    """All rows and columns of ``docs``, and the names of the added ones: prediction, score and, if asked for, spans
-    (language, first word, word after the last)."""
+def identify(
+    docs: DataFrame, model: Model, text_column: str = "text", with_spans: bool = True, with_known: bool = False
+) -> tuple[DataFrame, list[str]]:
+    """All rows and columns of ``docs``, and the names of the added ones: prediction, score and, if asked for, the share of
+    letters in scripts that some training language has, and spans (language, first word, word after the last)."""
     names = []
-    for name in ("lang_pred", "lang_score", "lang_spans")[: 2 + with_spans]:
+    for name in ("lang_pred", "lang_score", *["lang_known"] * with_known, *["lang_spans"] * with_spans):
         names.append(fresh([*docs.columns, *names], name))
     plain = docs.columns
     span = "array<struct<lang: string, first: int, stop: int>>"
-    kinds = "string; double" + f"; {span}" * with_spans
+    kinds = "string; double" + "; double" * with_known + f"; {span}" * with_spans
     span_type = pa.list_(pa.struct([("lang", pa.string()), ("first", pa.int32()), ("stop", pa.int32())]))
     languages = np.array([*model.languages, UNKNOWN])
 
@@ -208,9 +212,13 @@ def identify(docs: DataFrame, model: Model, text_column: str = "text", with_span
                 # Letters outside the known ranges still count a little, so that any lettered text has a label.
                 np.add.at(votes, (doc, labels), batch.letters + 1e-9)
             best = votes.argmax(axis=1)
-            score = np.where(lettered, votes.max(axis=1) / np.maximum(votes.sum(axis=1), 1e-12), 0.0)
+            share = np.where(lettered, votes.max(axis=1) / np.maximum(votes.sum(axis=1), 1e-12), 0.0)
+            known = np.zeros(len(texts))
+            if len(labels):
+                np.add.at(known, doc, np.where(model.scripts.any(axis=1)[batch.script], batch.letters, 0))
+            known = np.where(lettered, known / np.maximum(votes.sum(axis=1), 1e-12), 0.0).clip(0, 1)
             predicted = languages[np.where(lettered, best, len(model.languages))]
-            made = [pa.array(predicted, pa.string()), pa.array(score.clip(0, 1))]
+            made = [pa.array(predicted, pa.string()), pa.array((share * known).clip(0, 1)), *[pa.array(known)] * with_known]
             if with_spans:
                 cuts = np.flatnonzero((np.diff(labels.astype(np.int64), prepend=-1) != 0) | (np.diff(doc, prepend=-1) != 0))
                 ends = np.append(cuts, len(labels))[1:]

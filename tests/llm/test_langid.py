@@ -3,6 +3,7 @@ import itertools
 import numpy as np
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from ledgerleaf.llm import langid
 from ledgerleaf.llm.common import in_fold
 from ledgerleaf.llm.queries import op10_language_id
@@ -61,3 +62,91 @@ def test_empty_tables(docs, none):
     model = langid.train(none)
     assert {r[0] for r in langid.identify(docs, model, with_spans=False)[0].select(F.col("lang_pred_")).collect()} == {"und"}
     assert langid.identify(none, model)[0].count() == 0
+
+
+def test_pipeline_keeps_mixed_texts_and_drops_unseen_scripts(spark, sf_dir):
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    long = {r.lang: r.text[:600] for r in given.where("length(text) > 600").select("lang", "text").collect()}
+    thai, georgian = "สวัสดีครับ ผมชื่อสมชาย " * 20, "გამარჯობა მსოფლიო როგორ ხარ " * 20
+    rows = [
+        (-1, " ".join(long[x] for x in sorted(long)[:3])), (-2, thai), (-3, georgian), (-4, long["en"] + " " + thai[:40]),
+        (-5, thai + long["en"][:40]), (-6, "Ελληνικά γράμματα " * 9),
+    ]
+    more = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"lang": F.lit(None).cast("string"), "source": F.lit("x"), "n_chars": F.length("text").cast("long")})
+    docs = given.unionByName(more)
+    kept = {r.doc_id for r in corpus_pipeline.language_id(spark, docs, sf_dir).collect()}
+    assert {i for i in kept if i < 0} == {-1, -4}
+    found, (_, score) = langid.identify(more, langid.train(given), with_spans=False)
+    scores = {r.doc_id: r[score] for r in found.collect()}
+    assert scores[-2] < 0.01 and scores[-3] < 0.01 and 0.3 < scores[-1] < 0.7 and scores[-4] > 0.8
+
+
+def test_scores_of_a_query_equal_one_word_at_a_time(spark, docs, listed):
+    """Labels and scores of whole texts against a plain version: trigrams counted in a dictionary, all ways by dynamic
+    programming, letters counted one by one."""
+    import math
+    from collections import Counter, defaultdict
+
+    rows = [(i, (x or "")[:400], lang) for i, (x, lang) in enumerate((r.text, r.lang) for r in docs.limit(60).collect())]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(frame)
+    scripts = langid._script_table()
+
+    def grams(word):
+        points = [32, *map(ord, word), 32]
+        out = []
+        for a, b, c in zip(points, points[1:], points[2:]):
+            h = ((a * 0x9E3779B1 + b * 0x85EBCA77 + c * 0xC2B2AE3D) % 2**32) ^ ((b * 0x27D4EB2F) % 2**32 >> 7)
+            out.append((((h ^ (h >> 15)) * 0x2C1B3C6D) % 2**32) >> 16)
+        return out
+
+    def kind(word):
+        return [int(scripts[min(ord(c), 0xFFFF)]) for c in word]
+
+    counts, letters = defaultdict(Counter), defaultdict(Counter)
+    for _, text, lang in rows:
+        if lang is not None:
+            for word in text.lower().split():
+                letters[lang].update(kind(word))
+                if any(kind(word)):
+                    counts[lang].update(grams(word))
+    languages = sorted(counts)
+    assert languages == model.languages
+    totals = {x: sum(counts[x].values()) for x in languages}
+    used = {x: sum(n for k, n in letters[x].items() if k) for x in languages}
+
+    def value(word, lang):
+        return sum(math.log((counts[lang][g] + langid.SMOOTHING) / (totals[lang] + langid.SMOOTHING * langid.BUCKETS)) for g in grams(word))
+
+    def expected(text):
+        words = text.lower().split()
+        if not langid._LETTER.search(text):
+            return "und", 0.0
+        scores = []
+        for word in words:
+            script = max(kind(word))
+            own = [x for x in languages if script and letters[x][script] >= langid.SCRIPT_SHARE * used[x]] or languages
+            best = max(value(word, x) for x in own)
+            scores.append([0.0 if not script else value(word, x) - best if x in own else -1e4 for x in languages])
+        ways = [[(scores[0][s], [s]) for s in range(len(languages))]]
+        for row in scores[1:]:
+            before = ways[-1]
+            ways.append([max(((v - langid.SWITCH_PENALTY * (p != s) + row[s], [*w, s]) for p, (v, w) in enumerate(before)), key=lambda x: x[0]) for s in range(len(languages))])
+        way = max(ways[-1], key=lambda x: x[0])[1]
+        votes, known, total = Counter(), 0, 0
+        for word, s in zip(words, way):
+            n = sum(k > 0 for k in kind(word))
+            votes[s] += n + 1e-9
+            total += n + 1e-9
+            known += n * any(letters[x][max(kind(word))] >= langid.SCRIPT_SHARE * used[x] for x in languages if max(kind(word)))
+        s, most = max(votes.items(), key=lambda x: x[1])
+        return languages[s], most / total * min(1, known / total)
+
+    found, (label, score) = langid.identify(frame, model, with_spans=False)
+    same = 0
+    for r in found.collect():
+        want = expected(r.text)
+        if (r[label], round(r[score], 3)) == (want[0], round(want[1], 3)):
+            same += 1
+    # Words whose two best ways tie within rounding may be labelled either way.
+    assert same >= len(rows) - 1
