@@ -220,19 +220,30 @@ def expected_counts(sequences: list[np.ndarray], model: Model) -> tuple[np.ndarr
     states = len(model.start)
     hold = len(tokens) <= HELD_TOKENS
 
+    table = np.ascontiguousarray(model.emits.T)
+    onward = np.ascontiguousarray(model.moves.T)
+
+    # Values of a piece are laid out by step, state and text.
     def cells(begin: int) -> tuple[np.ndarray, ...]:
         times = np.arange(begin, min(begin + PIECE, lengths[0]))
         active = np.searchsorted(-lengths, -times, side="left")
         steps = tokens[np.minimum(first[: active[0]] + times[:, None], len(tokens) - 1)]
-        return steps, active, model.emits[steps]
+        emitted = np.empty((len(steps), states, steps.shape[1]))
+        for state in range(states):
+            emitted[:, state] = table[state][steps]
+        return steps, active, emitted
 
     def forward(active: np.ndarray, emitted: np.ndarray, before: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
-        alpha, scale = np.zeros(emitted.shape), np.ones(emitted.shape[:2])
-        for t, n in enumerate(active):
-            ahead = model.start if before is None else before[:n] @ model.moves
-            a = ahead * emitted[t, :n]
-            scale[t, :n] = a.sum(axis=1)
-            alpha[t, :n] = before = a / scale[t, :n, None]
+        alpha, scale = np.zeros(emitted.shape), np.ones((len(emitted), emitted.shape[2]))
+        for t, n in enumerate(active.tolist()):
+            a = alpha[t, :, :n]
+            if before is None:
+                np.multiply(model.start[:, None], emitted[t, :, :n], out=a)
+            else:
+                np.multiply(onward @ before[:, :n], emitted[t, :, :n], out=a)
+            np.sum(a, axis=0, out=scale[t, :n])
+            a /= scale[t, :n]
+            before = a
         return alpha, scale
 
     borders: list[np.ndarray | None] = [None]
@@ -244,45 +255,46 @@ def expected_counts(sequences: list[np.ndarray], model: Model) -> tuple[np.ndarr
         pieces.append(forward(active, emitted, borders[-1]))
         alpha, scale = pieces[-1]
         log += float(np.log(scale).sum())
-        borders.append(alpha[-1, : active[-1]].copy())
+        borders.append(alpha[-1, :, : active[-1]].copy())
         if not hold:
             pieces.clear()
     moves, emits = np.zeros_like(model.moves), np.zeros((len(model.emits), states))
-    beta = np.ones((len(lengths), states))
-    back = np.ascontiguousarray(model.moves.T)
+    beta = np.ones((states, len(lengths)))
     for number, begin in reversed(list(enumerate(begins))):
         before = borders[number]
         steps, active, emitted = cells(begin)
         alpha, scale = pieces.pop() if hold else forward(active, emitted, before)
-        emitted /= scale[..., None]
+        emitted /= scale[:, None]
         posterior = alpha  # turned into posteriors from the end on
         for t in range(len(steps) - 1, -1, -1):
-            n = active[t]
-            last = alpha[t - 1, :n] if t else None if before is None else before[:n]
-            ahead = emitted[t, :n] * beta[:n]
-            posterior[t, :n] *= beta[:n]
+            n = int(active[t])
+            last = alpha[t - 1, :, :n] if t else None if before is None else before[:, :n]
+            ahead = emitted[t, :, :n]
+            ahead *= beta[:, :n]
+            posterior[t, :, :n] *= beta[:, :n]
             if last is not None:
-                moves += last.T @ ahead
-                beta[:n] = ahead @ back
+                moves += last @ ahead.T
+                np.matmul(model.moves, ahead, out=beta[:, :n])
         # Cells behind the end of a text hold no posterior.
-        reached = np.arange(steps.shape[1]) < active[:, None]
-        classes, weights = steps[reached], posterior[reached].T.copy()
+        classes = steps.ravel()
         for state in range(states):
-            emits[:, state] += np.bincount(classes, weights[state], len(emits))
-    return posterior[0].sum(axis=0), moves * model.moves, emits, log
+            emits[:, state] += np.bincount(classes, posterior[:, state].ravel(), len(emits))
+    return posterior[0].sum(axis=1), moves * model.moves, emits, log
 
 
 def log10_likelihood(sequences: list[np.ndarray], model: Model) -> np.ndarray:
     """Exact log10 likelihood of each sequence by the scaled forward recursion."""
     steps, active, order = _side_by_side(sequences)
+    table, onward = np.ascontiguousarray(model.emits.T), np.ascontiguousarray(model.moves.T)
     logs = np.zeros(len(sequences))
-    alpha = np.zeros((len(sequences), len(model.start)))
-    for t in range(len(steps)):
-        n = active[t]
-        a = (model.start if t == 0 else alpha[:n] @ model.moves) * model.emits[steps[t, :n]]
-        scale = a.sum(axis=1)
+    alpha = np.zeros((len(model.start), len(sequences)))
+    for t, n in enumerate(active.tolist()):
+        a = np.take(table, steps[t, :n], axis=1)
+        a *= model.start[:, None] if t == 0 else onward @ alpha[:, :n]
+        scale = a.sum(axis=0)
         logs[:n] += np.log10(scale)
-        alpha = a / scale[:, None]
+        a /= scale
+        alpha = a
     out = np.empty(len(sequences))
     out[order] = logs
     return out
