@@ -7,7 +7,6 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ledgerleaf.functions import ids
 from ledgerleaf.functions.constants import DIMENSION_TOP_K, DIMENSIONS, OVERVIEW_QUESTION, OVERVIEW_TOP_K
 from ledgerleaf.functions.numbers import fixed
 from ledgerleaf.functions.text import strip

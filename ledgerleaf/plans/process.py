@@ -85,13 +85,12 @@ def _extracted(
     return reduce(DataFrame.unionByName, parts, empty)
 
 
-def unreadable(todo: DataFrame, files: DataFrame, extracted: DataFrame) -> DataFrame:
-    """Error rows for the listed documents among ``files`` of which no bytes arrived: files that were deleted since they
-    were listed, torn or locked. Only the listing and ids are looked at, no file is opened."""
+def unreadable(todo: DataFrame, listed: DataFrame, extracted: DataFrame) -> DataFrame:
+    """Error rows for the documents of the work list that were ``listed`` as files and of which no bytes arrived: files that
+    were deleted since, torn or locked. Only ids are compared."""
     keep = ("company_id", "document_type")
-    absent = stored(todo.select("document_id", *keep).join(extracted.select("document_id"), "document_id", "left_anti"), "absent")
-    # Mostly nothing is absent, and the listing need not be compared.
-    lost = absent if absent.isEmpty() else absent.join(files.select("document_id").distinct(), "document_id", "left_semi")
+    absent = todo.select("document_id", *keep).join(extracted.select("document_id"), "document_id", "left_anti")
+    lost = absent.join(listed.select("document_id").distinct(), "document_id", "left_semi")
     made = {"success": F.lit(False), "error": F.lit(UNREADABLE)}
     return lost.withColumns(made).select("document_id", *keep, "success", "error")
 
@@ -106,6 +105,7 @@ def process_documents(
     size: int = CHUNK_SIZE,
     overlap: int = CHUNK_OVERLAP,
     pages: DataFrame | None = None,
+    listed: DataFrame | None = None,
 ) -> DataFrame:
     """Process the unprocessed documents among ``files`` (``document_id, company_id, document_type, file_type,
     content``, see ``classified_folder``) and ``pages`` (``document_id, page, text, n_images``).
@@ -113,13 +113,13 @@ def process_documents(
     Files are parsed where they are read; pages are brought together by document. The texts are written to the shared
     folder once and read by each of the following steps. Chunks, their embeddings and metrics are saved before the
     status, so a run that breaks off is simply repeated: documents whose rows were saved are recognised by their ids,
-    which alone are compared, so neither texts nor vectors are shuffled for it. A file whose bytes do not arrive is
+    which alone are compared. Each chunk and vector is moved once, to its bucket. A file whose bytes do not arrive is
     an error of its document, which stays on the list for the next run. Returns the run's summary.
     """
     todo = work_list(spark.table(f"{database}.documents"))
     extracted = stored(_extracted(todo, files, pages, parser_registry), "extracted")
-    if files is not None:
-        lost = stored(unreadable(todo, files, extracted), "lost")
+    if listed is not None:
+        lost = stored(unreadable(todo, listed, extracted), "lost")
         extracted = extracted.unionByName(lost, allowMissingColumns=True)
     chunks = stored(document_chunks(extracted, size, overlap), "chunks")
     found = stored(metrics.to_wide(document_metrics(extracted, fn)), "metrics")

@@ -26,7 +26,7 @@ from ledgerleaf.operators import (
 from ledgerleaf.registry import inputs
 from ledgerleaf.registry.views import AMOUNT, BLANKS, IS_PERIOD, LETTERS, METRIC_OF_LABEL, sql
 from ledgerleaf.plans import analyse
-from ledgerleaf.session import scratch_path, spread, stored, stored_buckets
+from ledgerleaf.session import scratch_path, spread, stored_buckets
 from ledgerleaf.sources import files, parsers
 from ledgerleaf.streaming import incremental
 

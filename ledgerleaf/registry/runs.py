@@ -309,10 +309,11 @@ def unreadable_files(spark, sf_dir):
         ingest.ingest_folders(spark, base, companies, database)
         seen = []
         for out_of_reach in (hidden, []):
+            listed = stored(ingest.classified_folder(spark, base, companies).select("document_id"), "listed")
             files = ingest.classified_folder(spark, base, companies, with_content=True)
             for name in out_of_reach:
                 system.rename(path(f"{base}/{name}"), path(f"{away}/{name}"))
-            process.process_documents(spark, database, files, embed=_letters)
+            process.process_documents(spark, database, files, embed=_letters, listed=listed)
             for name in out_of_reach:
                 system.rename(path(f"{away}/{name}"), path(f"{base}/{name}"))
             status = spark.table(f"{database}.documents").groupBy("company_id").agg(

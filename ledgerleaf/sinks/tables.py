@@ -141,9 +141,9 @@ def _fitted(df: DataFrame, table: DataFrame, but: str | None = None) -> DataFram
     """Columns of the table in its order, ``but`` one; derived ones are computed, missing ones become NULL."""
 
     def column(name: str) -> Column:
-        if name in schemas.DERIVED:
-            return F.expr(schemas.DERIVED[name])
-        return F.col(name) if name in df.columns else F.lit(None)
+        if name in df.columns:
+            return F.col(name)
+        return F.expr(schemas.DERIVED[name]) if name in schemas.DERIVED else F.lit(None)
 
     fields = [field for field in table.schema.fields if field.name != but]
     return df.select(*[column(field.name).cast(field.dataType).alias(field.name) for field in fields])

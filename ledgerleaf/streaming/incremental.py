@@ -1,9 +1,10 @@
 """Incremental processing: newly arrived documents run through the batch operators as micro-batches.
 
 The stream's checkpoint remembers which input was taken. Documents that are delivered again are recognised by the ids in
-the stream's state, which holds each for a horizon of time after it first arrived: no batch reads what is stored. Only
-where the state cannot know, in the first batch of a checkpoint and for documents that say they are older than the horizon,
-ids are compared with the stored ones. One partition per batch makes repeated batches harmless.
+the stream's state, which holds each for a horizon of time after it first arrived: no batch reads what the stream has
+stored. Only where the state cannot know, for what other checkpoints stored in the same place and for documents that say
+they are older than the horizon, ids are compared with the stored ones. One partition per batch makes repeated batches
+harmless.
 """
 
 from __future__ import annotations
@@ -27,34 +28,42 @@ FILES_PER_BATCH = 1000
 HORIZON = "7 days"
 
 
-def _stored_ids(spark: SparkSession, path: str, label: str) -> DataFrame | None:
-    """Ids of the documents stored by other batches, or None before the first."""
+def _stored_ids(spark: SparkSession, path: str, but: Callable[[str], bool]) -> DataFrame | None:
+    """Ids of the documents stored by batches, without those whose label meets ``but``; None if there are none. Which
+    batches there are is seen from the folders."""
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        return None
-    stored = spark.read.schema("document_id STRING, batch STRING").parquet(path)
-    return stored.filter(F.col("batch") != label).select("document_id")
+    system = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    names = [status.getPath().getName() for status in system.listStatus(folder)] if system.exists(folder) else []
+    wanted = [name for name in names if name.startswith("batch=") and not but(name.removeprefix("batch="))]
+    return spark.read.schema("document_id STRING").parquet(*(f"{path}/{name}" for name in wanted)) if wanted else None
 
 
 def process_batch(
-    arrived: DataFrame, target: str, label: str, compared: Column | None = None, unique: bool = False
+    arrived: DataFrame, target: str, label: str, stream: str | None = None, old: Column | None = None, unique: bool = False
 ) -> None:
     """Classify, chunk and measure a batch of ``document_id, company_id, filename, relative_path, text``.
 
-    Documents that another batch has stored are left out: of the rows that meet ``compared`` (by default all) the ids are
-    compared with the stored ones, which are not read if there are no such rows. ``unique`` says that no id occurs twice.
-    Each batch owns the partition ``batch=<label>`` of every table and overwrites it, so a batch that broke off is repeated
-    without checking chunk by chunk; its texts are written first and read from there by what follows.
+    Documents that another batch has stored are left out. ``stream`` begins the labels of batches of which the caller
+    knows the documents: their ids are read only for the rows that are ``old``, if there are any. ``unique`` says that no
+    id occurs twice. Each batch owns the partition ``batch=<label>`` of every table and overwrites it, so a batch that
+    broke off is repeated without checking chunk by chunk; its texts are written first and read from there by what follows.
     """
     spark = arrived.sparkSession
+
+    def own(name: str) -> bool:
+        return stream is not None and name.startswith(f"{stream}-")
+
     # Only ids are compared; texts move if some of them did arrive before, or twice.
-    ids = (arrived if compared is None else arrived.filter(compared)).select("document_id").distinct()
+    compared = [(arrived, _stored_ids(spark, f"{target}/documents", lambda name: name == label or own(name)))]
+    if stream is not None and old is not None and not arrived.filter(old).isEmpty():
+        known = _stored_ids(spark, f"{target}/documents", lambda name: name == label or not own(name))
+        compared.append((arrived.filter(old), known))
     fresh = arrived
-    known = None if compared is not None and ids.isEmpty() else _stored_ids(spark, f"{target}/documents", label)
-    if known is not None:
-        repeated = ids.join(known, "document_id", "left_semi")
-        if not repeated.isEmpty():
-            fresh = fresh.join(repeated, "document_id", "left_anti")
+    for rows, known in compared:
+        if known is not None:
+            repeated = rows.select("document_id").distinct().join(known, "document_id", "left_semi")
+            if not repeated.isEmpty():
+                fresh = fresh.join(repeated, "document_id", "left_anti")
     if not unique and not arrived.groupBy("document_id").count().filter("count > 1").isEmpty():
         fresh = fresh.dropDuplicates(["document_id"])
     classified = classify(fresh)
@@ -90,12 +99,10 @@ def incremental(
 
     # Batch numbers count within a checkpoint.
     stream = hashlib.md5(checkpoint.encode()).hexdigest()[:12]
-    old = F.lit(False) if created_at is None else F.col(created_at) < F.current_timestamp() - F.expr(f"INTERVAL {horizon}")
+    old = None if created_at is None else F.col(created_at) < F.current_timestamp() - F.expr(f"INTERVAL {horizon}")
 
     def handle(batch: DataFrame, number: int) -> None:
-        rows = batch.drop("_arrived")
-        compared = F.lit(True) if number == 0 else old
-        process_batch(rows, target, f"{stream}-{number}", compared, unique=True)
+        process_batch(batch.drop("_arrived"), target, f"{stream}-{number}", stream, old, unique=True)
 
     # Arrival is the time of the batch, so no row is too late for the state.
     arrived = documents_of(reader.parquet(source)).withColumn("_arrived", F.current_timestamp())

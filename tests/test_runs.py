@@ -147,8 +147,11 @@ def test_company_updates(spark):
 SCHEMA = "doc_id LONG, text STRING, lang STRING, source STRING, n_chars LONG"
 
 
+COLUMNS = ("document_id", "company_id", "filename", "relative_path", "text")
+
+
 def shaped(rows):
-    return inputs.manifest_of(rows).select("document_id", "company_id", "filename", "relative_path", "text")
+    return inputs.manifest_of(rows).select(*COLUMNS)
 
 
 def test_micro_batches_equal_one_batch(spark, tmp_path):
@@ -184,7 +187,13 @@ def test_state_recognises_what_is_delivered_again(spark, tmp_path, monkeypatch):
     documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60).coalesce(1)
     read = []
     real = incremental._stored_ids
-    monkeypatch.setattr(incremental, "_stored_ids", lambda *args: read.append(args[2]) or real(*args))
+
+    def counted(*args):
+        found = real(*args)
+        read.append(found is not None)
+        return found
+
+    monkeypatch.setattr(incremental, "_stored_ids", counted)
 
     def deliver(rows, checkpoint=offsets, **options):
         rows.write.mode("append").parquet(source)
@@ -198,9 +207,76 @@ def test_state_recognises_what_is_delivered_again(spark, tmp_path, monkeypatch):
     deliver(more)
     deliver(documents)
     assert ids() == sorted({str(r.doc_id) for r in documents.collect()})
-    # Only the first batch looked at what is stored.
-    assert [label.rsplit("-", 1)[1] for label in read] == ["0"]
-    # A new checkpoint knows nothing: its first batch compares.
+    # No batch read what is stored.
+    assert read and not any(read)
+    read.clear()
+    # A new checkpoint knows nothing of the first: its batches compare with what that one stored.
     deliver(documents, str(tmp_path / "offsets2"))
     assert ids() == sorted({str(r.doc_id) for r in documents.collect()})
-    assert len(read) == 2
+    assert all(read)
+    # The state no longer knows documents that are older than the horizon: these are compared with their own stream's.
+    read.clear()
+    alone = str(tmp_path / "alone")
+    old = F.col("document_id").cast("int") < 10
+    for number in range(2):
+        incremental.process_batch(shaped(documents), alone, f"s-{number}", "s", old, unique=True)
+    stored = spark.read.parquet(f"{alone}/documents").groupBy("batch").count().collect()
+    assert {r["batch"]: r["count"] for r in stored} == {"s-0": 60, "s-1": 50}
+    assert read == [False, False, False, True]
+
+
+def test_run_takes_pages_files_and_what_does_not_arrive(spark, tmp_path):
+    database = DB + "4"
+    tables.create_tables(spark, database, buckets=2)
+    root = tmp_path / "base"
+    for name, content in {"acme/a.txt": "Runway: 18 months.", "acme/lost.txt": "gone", "acme/deck.pdf": "%PDF-1", "acme/b.txt": "Plain."}.items():
+        (root / name).parent.mkdir(parents=True, exist_ok=True)
+        (root / name).write_text(content)
+    companies = spark.createDataFrame([("acme", "Acme")], "folder string, name string")
+    ingest.ingest_folders(spark, str(root), companies, database)
+    documents = {r.filename: r.document_id for r in spark.table(f"{database}.documents").collect()}
+    files = ingest.classified_folder(spark, str(root), companies, with_content=True)
+    listed = spark.createDataFrame(ingest.classified_folder(spark, str(root), companies).select("document_id").collect())
+    (root / "acme/lost.txt").unlink()
+    key = documents["deck.pdf"]
+    pages = spark.createDataFrame(
+        [(key, 2, "Second page. " * 100, 1), (key, 1, "# Title\nFirst page.", 0), ("unknown", 1, "x", 0)],
+        "document_id string, page int, text string, n_images int",
+    )
+    ran = process.process_documents(spark, database, files, pages=pages, listed=listed).first()
+    assert (ran["documents"], ran["processed"]) == (4, 3)
+    status = {r.filename: r for r in spark.table(f"{database}.documents").collect()}
+    assert (status["lost.txt"].processed, status["lost.txt"].processing_error) == (False, process.UNREADABLE)
+    assert (status["deck.pdf"].processed, status["deck.pdf"].page_count, status["deck.pdf"].has_charts) == (True, 2, True)
+    chunks = spark.table(f"{database}.document_chunks")
+    assert {r.page_number for r in chunks.filter(F.col("document_id") == key).collect()} == {1, 2}
+    assert {r.page_number for r in chunks.filter(F.col("document_id") != key).collect()} == {None}
+    # The next run finds the file again and finishes it.
+    (root / "acme/lost.txt").write_text("gone")
+    again = ingest.classified_folder(spark, str(root), companies, with_content=True)
+    given = again.withColumn("document_id", F.when(F.col("filename") == "lost.txt", documents["lost.txt"]).otherwise(F.col("document_id")))
+    process.process_documents(spark, database, given)
+    status = {r.filename: r for r in spark.table(f"{database}.documents").collect()}
+    assert all(r.processed and r.processing_error is None for r in status.values())
+    assert spark.table(f"{database}.document_chunks").select("document_id").distinct().count() == 4
+    assert spark.table(f"{database}.companies").first()["total_documents"] == 4
+    spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def test_the_same_payload_is_processed_once(spark):
+    rows = [("d1", ".txt", b"same", "c", "other")] * 3 + [("d2", ".txt", b"own", "c", "other")]
+    files = spark.createDataFrame(rows, "document_id string, file_type string, content binary, company_id string, document_type string")
+    assert sorted(r.document_id for r in process.once(files).collect()) == ["d1", "d2"]
+
+
+def test_parsed_files_leave_in_frames_of_bounded_size(spark, monkeypatch):
+    from ledgerleaf.sources import parsers
+
+    monkeypatch.setattr(parsers, "FRAME_FILES", 3)
+    monkeypatch.setattr(parsers, "FRAME_SIZE", 50)
+    files = spark.range(40).select(
+        F.col("id").cast("string").alias("document_id"), F.lit(".txt").alias("file_type"),
+        F.repeat(F.lit("x"), (F.col("id") % 9 * 10).cast("int")).cast("binary").alias("content"),
+    )
+    found = {r.document_id: r.char_count for r in parsers.extract(files.coalesce(1)).collect()}
+    assert found == {str(i): i % 9 * 10 for i in range(40)}
