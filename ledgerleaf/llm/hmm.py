@@ -25,6 +25,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,6 +56,10 @@ def tokens_of(text: bytes) -> list[bytes]:
     return words
 
 
+def _flat(lists: list[list[bytes]]) -> pa.Array:
+    return pa.array([w for tokens in lists for w in tokens], pa.binary())
+
+
 @dataclass
 class Vocabulary:
     """Listed words with their numbers and counts, all tokens N, distinct tokens V, the mass of each class."""
@@ -93,8 +98,9 @@ def count_words(texts: DataFrame) -> DataFrame:
             return out
 
         for batch in slices(batches, "text"):
-            for text in texts_of(batch, "text"):
-                held.update(tokens_of(text))
+            words, counts = pc.value_counts(_flat([tokens_of(x) for x in texts_of(batch, "text")])).flatten()
+            for word, n in zip(words.to_pylist(), counts.to_pylist(), strict=True):
+                held[word] += n
             if len(held) > HELD_WORDS:
                 yield made()
         if held:
@@ -155,14 +161,23 @@ def encode(docs: DataFrame, held_out: Column, words: Vocabulary, id_column: str,
         count_logs = np.log10(words.counts + 0.5)
         mass_logs = np.log10(np.maximum(words.masses, 0.5))
         for batch in slices(batches, "text"):
+            lists = [tokens_of(x) for x in texts_of(batch, "text")]
+            # Each distinct token of the batch is looked up once.
+            coded = _flat(lists).dictionary_encode()
+            own = np.fromiter(map(find, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+            every = own[coded.indices.to_numpy()]
+            places = words.classes(every)
+            first = np.cumsum([0] + [len(x) for x in lists])
+            known = every >= 0
+            logs = np.where(known, count_logs[np.maximum(every, 0)] if len(count_logs) else 0.0, 0.0)
+            sums = [np.add.reduceat(x, first[:-1]) for x in (logs, mass_logs[places], known.astype(np.int64))]
+            unlisted = np.flatnonzero(~known)
+            bounds = np.searchsorted(unlisted, first)
+            codes = places.astype("<u2")
             out = []
-            for text in texts_of(batch, "text"):
-                tokens = tokens_of(text)
-                numbers = np.fromiter(map(find, tokens), np.int64, len(tokens))
-                classes = words.classes(numbers)
-                known = numbers >= 0
-                others = b" ".join([tokens[i] for i in np.flatnonzero(~known)])
-                out.append((len(tokens), classes.astype("<u2").tobytes(), float(count_logs[numbers[known]].sum()), float(mass_logs[classes].sum()), int(known.sum()), others))
+            for i, tokens in enumerate(lists):
+                others = b" ".join([tokens[k] for k in (unlisted[bounds[i] : bounds[i + 1]] - first[i]).tolist()])
+                out.append((len(tokens), codes[first[i] : first[i + 1]].tobytes(), float(sums[0][i]), float(sums[1][i]), int(sums[2][i]), others))
             n_tokens, classes, listed_log, mass_log, listed, others = zip(*out, strict=True)
             yield pa.RecordBatch.from_arrays(
                 [
