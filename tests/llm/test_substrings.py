@@ -1,8 +1,10 @@
 import collections
 import hashlib
 import random
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from ledgerleaf.llm import substrings
@@ -73,6 +75,37 @@ def test_a_very_long_text(spark):
     assert rows[2] == (len(sentence) * 3000, 1)
 
 
+def span_batch(lists):
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("stop", pa.int32())]))
+    spans = pa.array([[{"start": a, "stop": b} for a, b in x] for x in lists], kind)
+    return pa.RecordBatch.from_arrays([pa.array(range(len(lists))), pa.array(range(len(lists))), spans], ["id", "text_key", "spans"])
+
+
+def test_spans_are_united_by_document(monkeypatch):
+    monkeypatch.setattr(substrings, "UNITED", 7)
+    rng = random.Random(5)
+    lists = [[(a := rng.randint(0, 400), a + rng.randint(1, 30)) for _ in range(rng.randint(1, 40))] for _ in range(100)]
+    lists[3] = [(5, 9), (0, 2), (9, 12)]
+    found = [r for b in substrings.united([span_batch(lists)]) for r in b.to_pylist()]
+    assert [r["id"] for r in found] == list(range(100))
+    assert [(s["start"], s["stop"]) for s in found[3]["spans"]] == [(0, 2), (5, 12)]
+    for spans, row in zip(lists, found, strict=True):
+        covered = {p for a, b in spans for p in range(2 * a, 2 * b + 1)}
+        runs = [(s["start"], s["stop"]) for s in row["spans"]]
+        assert runs == sorted(runs)
+        assert [p for a, b in runs for p in range(2 * a, 2 * b + 1)] == sorted(covered)
+
+
+def test_many_spans_are_no_python_objects():
+    batch = span_batch([[(i * 7, i * 7 + 400) for i in range(200)]] * 5000)
+    tracemalloc.start()
+    found = sum(len(b.column(2).flatten()) for b in substrings.united([batch]))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found == 5000
+    assert peak < 60e6
+
+
 def test_empty_table(none):
     assert substrings.report(none).count() == 0
     assert substrings.cut_repeats(none).count() == 0
