@@ -6,9 +6,11 @@ confidence_score``, one row per metric, so that they can be united and turned wi
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping, Sequence
+from collections.abc import Callable, Iterable, Iterator, Mapping, Sequence
 from functools import reduce
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -230,10 +232,40 @@ def combine(*extracted: DataFrame) -> DataFrame:
     return reduce(lambda left, right: left.unionByName(right, allowMissingColumns=True), extracted)
 
 
+# Groups that a task holds while it combines rows.
+_HELD = 16384
+_GROUP = ["company_id", "period", "metric_name"]
+
+
+def best_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each group's rows the one with the largest confidence and id, null before all, of as many groups as are held at
+    once. Rows without a number for confidence pass as they are."""
+    held = None
+    for batch in batches:
+        rows = pa.Table.from_batches([batch])
+        odd = pc.fill_null(pc.is_nan(rows["confidence_score"]), False)
+        yield from rows.filter(odd).to_batches()
+        rows = rows.filter(pc.invert(odd))
+        rows = rows if held is None else pa.concat_tables([held, rows])
+        ranked = rows.take(pc.sort_indices(rows, [("confidence_score", "ascending"), ("metric_id", "ascending")], null_placement="at_start"))
+        numbered = ranked.select(_GROUP).append_column("_row", pa.array(range(len(ranked)), pa.int64()))
+        last = numbered.group_by(_GROUP, use_threads=False).aggregate([("_row", "max")])["_row_max"]
+        held = ranked.take(last)
+        if len(held) > _HELD:
+            yield from held.to_batches()
+            held = None
+    if held is not None:
+        yield from held.to_batches()
+
+
 def best_per_period(long: DataFrame) -> DataFrame:
-    """The most trusted value of each company, period and metric; equal trust falls to the larger id."""
+    """The most trusted value of each company, period and metric; equal trust falls to the larger id.
+
+    Tasks combine their rows batch by batch first: an aggregate over the texts of ids would sort all rows of a task.
+    """
     rank = F.struct("confidence_score", "metric_id")
-    return long.groupBy("company_id", "period", "metric_name").agg(
+    rows = long.select(*_GROUP, "metric_id", "value", "confidence_score")
+    return rows.mapInArrow(best_rows, rows.schema).groupBy(*_GROUP).agg(
         F.max_by("value", rank).alias("value"), F.max("confidence_score").alias("confidence_score")
     )
 
