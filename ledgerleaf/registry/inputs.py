@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ledgerleaf.functions import ids
-from ledgerleaf.functions.text import text_array
 from ledgerleaf.operators.chunk import chunk
 from ledgerleaf.operators.classify import classify
 from ledgerleaf.session import spread
@@ -222,14 +223,33 @@ def document_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks.withColumnRenamed("uploaded_at", "created_at")
 
 
+# Bytes of text that are counted at once.
+_COUNTED = 1_000_000
+
+
+def letter_counts(texts: pa.Array) -> pa.Array:
+    """How often each letter a-z occurs in each text, counted by byte: in UTF-8 they are no part of other characters."""
+    texts = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(texts.buffers()[1], np.int64, len(texts) + 1, texts.offset * 8) if len(texts) else np.zeros(1, np.int64)
+    data = np.frombuffer(texts.buffers()[2] or b"", np.uint8)
+    begins, ends = offsets[:-1], offsets[1:]
+    counts = np.zeros((len(texts), 26))
+    for at in range(offsets[0], offsets[-1], _COUNTED):
+        stop = min(at + _COUNTED, offsets[-1])
+        first, last = np.searchsorted(ends, [at, stop - 1], side="right")
+        own = slice(first, last + 1)
+        row = np.repeat(np.arange(last + 1 - first), np.minimum(ends[own], stop) - np.maximum(begins[own], at))
+        letter = data[at:stop] - np.uint8(ord("a"))
+        known = letter < 26
+        counts[own] += np.bincount(row[known] * 26 + letter[known], minlength=(last + 1 - first) * 26).reshape(-1, 26)
+    bounds = np.arange(0, counts.size + 1, 26, dtype=np.int32)
+    return pa.ListArray.from_arrays(pa.array(bounds), pa.array(counts.ravel()))
+
+
 def letter_embedding(df: DataFrame, text: str = "text", out: str = "embedding") -> DataFrame:
     """How often each letter a-z occurs: a plain embedder whose results SQL can reproduce."""
-    lowered = F.lower(F.coalesce(F.col(text), F.lit("")))
-    counts = F.transform(
-        text_array("abcdefghijklmnopqrstuvwxyz"),
-        lambda letter: (F.length("_lowered") - F.length(F.replace(F.col("_lowered"), letter, F.lit("")))).cast("double"),
-    )
-    return df.withColumn("_lowered", lowered).withColumn(out, counts).drop("_lowered")
+    count = F.arrow_udf(letter_counts, "array<double>")
+    return df.withColumn(out, count(F.lower(F.coalesce(F.col(text), F.lit("")))))
 
 
 def label_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ import importlib
 import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -251,3 +252,21 @@ def test_replies_outlive_a_run(spark, tmp_path):
     generate(frame, "prompt", counted, replies=tables.StoredReplies(spark, name, "m2"), batch_size=1).collect()
     assert sorted(asked()) == ["a", "b", "bad"]
     spark.sql(f"DROP DATABASE {database} CASCADE")
+
+
+def test_letters_are_counted_in_one_pass(spark, monkeypatch):
+    texts = [None, "", "ÀaİKz{`", "Zz" * 3000 + "q", "  ", "abc"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id int, text string").repartition(1)
+    found = inputs.letter_embedding(rows)
+    # Not a pass over the text for each letter.
+    assert "replace(" not in found._jdf.queryExecution().executedPlan().toString()
+    counted = {r["id"]: r["embedding"] for r in found.collect()}
+    for number, text in enumerate(texts):
+        lowered = (text or "").lower()
+        assert counted[number] == [float(lowered.count(chr(97 + i))) for i in range(26)]
+    # Pieces that end inside texts give the same counts, as do slices of a batch.
+    whole = inputs.letter_counts(pa.array([(x or "").lower() for x in texts])).to_pylist()
+    monkeypatch.setattr(inputs, "_COUNTED", 7)
+    assert inputs.letter_counts(pa.array([(x or "").lower() for x in texts])).to_pylist() == whole
+    assert inputs.letter_counts(pa.array(["xx"] + [(x or "").lower() for x in texts]).slice(1)).to_pylist() == whole
+    assert inputs.letter_counts(pa.array([], pa.string())).to_pylist() == []
