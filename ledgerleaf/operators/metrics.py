@@ -87,15 +87,16 @@ def table_metrics(
             cells.groupBy(*table).agg((F.max("row_index") + 2).alias("_rows")).filter(F.col("_rows") >= min_rows)
         )
         cells = cells.join(large.select(*table), table, "left_semi")
-    read = F.struct(
-        metric_of_label("row_label", keywords, word_boundary).alias("metric_name"), parse_amount("value").alias("value")
-    )
-    # Exploding the zero or one metrics of a cell computes both fields once; a filter on them would be
-    # pushed down and compute them twice.
-    kept = F.filter(F.array(read), lambda m: m["metric_name"].isNotNull() & m["value"].isNotNull())
+    # Both fields are plain columns, which Spark compiles and computes once, and a condition within the generator leaves
+    # out cells without them: a filter would be pushed down and compute them twice, a lambda would interpret them.
+    read = {"_name": metric_of_label("row_label", keywords, word_boundary), "_amount": parse_amount("value")}
+    known = F.col("_name").isNotNull() & F.col("_amount").isNotNull()
+    kept = F.when(known, F.array(F.struct(F.col("_name").alias("metric_name"), F.col("_amount").alias("value"))))
+    place = ("company_id", "document_id", "table_index", "row_index", "col_index", "col_name")
     return (
         cells.filter(is_period("col_name", periods))
-        .select("company_id", "document_id", "table_index", "row_index", "col_index", "col_name", F.inline(kept))
+        .select(*place, *[column.alias(name) for name, column in read.items()])
+        .select(*place, F.inline(kept))
         .select(
             # Two columns may have the same heading.
             ids.joined_id("document_id", "table_index", "row_index", "col_index", "col_name").alias("metric_id"),

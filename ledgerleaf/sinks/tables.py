@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ledgerleaf import schemas
 from ledgerleaf.operators.report import rollup, table_counts
 from ledgerleaf.operators.status import new_rows, status_merge, upsert_companies
-from ledgerleaf.session import write_buckets
+from ledgerleaf.session import stored, write_buckets
 
 KEYS = {
     "companies": "company_id",
@@ -197,10 +197,24 @@ def append_by_delivery(df: DataFrame, table: str) -> None:
 
 
 def append_new(df: DataFrame, table: str, key: str | None = None, delivery: str | None = None) -> int:
-    """Append the rows whose key the table does not have yet; returns how many."""
+    """Append the rows whose key the table does not have yet, one of each; returns how many.
+
+    Hashes of keys are compared first, so ``df`` is read twice. Only rows whose hash occurs more than once are shuffled and
+    compared by their keys: of a run that is not repeated, none.
+    """
     spark = df.sparkSession
     key = key or KEYS[table.rsplit(".", 1)[-1]]
-    return append(new_rows(df, spark.table(table), key), table, delivery)
+    hashed = F.xxhash64(key)
+    hashes = df.select(hashed.alias("_hash"), F.lit(True).alias("_arrived")).unionByName(
+        spark.table(table).select(hashed.alias("_hash"), F.lit(False).alias("_arrived"))
+    )
+    again = hashes.groupBy("_hash").agg(F.count(F.lit(1)).alias("_n"), F.bool_or("_arrived").alias("_arrived"))
+    again = stored(again.filter("_arrived AND _n > 1").select("_hash"), "hashes")
+    if again.isEmpty():
+        return append(df, table, delivery)
+    rows = df.withColumn("_hash", hashed)
+    met = new_rows(rows.join(again, "_hash", "left_semi").select(*df.columns), spark.table(table), key)
+    return append(rows.join(again, "_hash", "left_anti").select(*df.columns).unionByName(met), table, delivery)
 
 
 def without_stored(df: DataFrame, table: str, key: str) -> DataFrame:

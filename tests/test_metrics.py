@@ -55,3 +55,18 @@ def test_a_task_passes_on_few_rows(monkeypatch):
     again = [tuple(r[c] for c in COLUMNS) for b in metrics.best_rows(iter(batches)) for r in b.to_pylist()]
     assert len(again) > 18
     assert set(best.values()) <= set(again)
+
+
+def test_cells_are_read_by_compiled_columns(spark):
+    rows = [("c", "d", 0, i, 1, label, period, value) for i, (label, period, value) in enumerate([
+        ("Total Revenue", "Q1 2024", "$1.2K"), ("Total Revenue", "Q1 2024", "n/a"), ("Notes", "Q1 2024", "3"),
+        ("Net income", "Comment", "4"), (None, "Q1 2024", "5"), ("EBITDA", "Q1 2024", None), ("Headcount", "FY 2024", "(1,000)"),
+    ])]
+    cells = spark.createDataFrame(
+        rows, "company_id string, document_id string, table_index int, row_index int, col_index int, row_label string, col_name string, value string"
+    )
+    found = metrics.table_metrics(cells)
+    # A lambda would interpret all that is read from a cell.
+    assert "lambda" not in found._jdf.queryExecution().executedPlan().toString()
+    got = sorted((r["metric_id"], r["metric_name"], r["value"]) for r in found.collect())
+    assert got == [("d_0_0_1_Q1 2024", "revenue", 1200.0), ("d_0_6_1_FY 2024", "headcount", -1000.0)]

@@ -130,3 +130,21 @@ def test_sync_reads_new_deliveries_only(spark, database, monkeypatch):
     assert process.sync_embeddings(spark, DB) == 0
     assert names(spark, VECTORS, "chunk_id") == names(spark, CHUNKS, "chunk_id")
     assert tables.partitions(spark, VECTORS) == tables.partitions(spark, CHUNKS)
+
+
+def test_new_rows_are_compared_by_hash_first(spark, database, monkeypatch):
+    table = f"{DB}.financial_metrics"
+
+    def rows(*keys):
+        return spark.createDataFrame([(k, "c", "d", float(i)) for i, k in enumerate(keys)], "metric_id string, company_id string, document_id string, revenue double")
+
+    compared = []
+    new_rows = tables.new_rows
+    monkeypatch.setattr(tables, "new_rows", lambda arrived, *rest: compared.append(arrived.count()) or new_rows(arrived, *rest))
+    assert tables.append_new(rows("a", "b", "c"), table) == 3
+    # Nothing is there yet and nothing comes twice: no row is shuffled.
+    assert compared == []
+    assert tables.append_new(rows("c", "d", "d", "e", None, None), table) == 3
+    assert compared == [5]
+    assert sorted(r[0] or "" for r in spark.table(table).select("metric_id").collect()) == ["", "a", "b", "c", "d", "e"]
+    assert tables.append_new(rows("a", "e"), table) == 0
