@@ -1,12 +1,14 @@
 import collections
 import hashlib
 import random
+import re
 import tracemalloc
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from ledgerleaf.llm import substrings
 
 
@@ -106,6 +108,66 @@ def test_many_spans_are_no_python_objects():
     assert peak < 60e6
 
 
+def brute_words(rows, length):
+    """Texts without the words of strings of ``length`` words that start elsewhere too, and the blanks inside such runs."""
+    windows = collections.Counter()
+    for _, x in rows:
+        words = (x or "").split()
+        windows.update(tuple(words[i : i + length]) for i in range(len(words) - length + 1))
+    out = []
+    for key, x in rows:
+        spans = [m.span() for m in re.finditer(r"[^\x20\x09-\x0D]+", x or "")]
+        words = [x[a:b] for a, b in spans]
+        hit, gone = np.zeros(len(words), bool), np.zeros(len(x or ""), bool)
+        for i in range(len(words) - length + 1):
+            hit[i : i + length] |= windows[tuple(words[i : i + length])] > 1
+        for i in np.flatnonzero(hit):
+            gone[spans[i][0] if i == 0 or not hit[i - 1] else spans[i - 1][1] : spans[i][1]] = True
+        out.append((key, None if x is None else "".join(c for c, g in zip(x, gone) if not g)))
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_strings_of_words(spark, seed, monkeypatch):
+    rng = random.Random(seed)
+    monkeypatch.setattr(substrings, "PIECE", 300)
+    word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6)))
+    passages = [[word() for _ in range(n)] for n in (19, 20, 22, 30, 75, 50)]
+    rows = [(None, None), (1, ""), (2, " \n"), (3, "x " * 80), (3, "x " * 80), (4, "y" * 900)]
+    for i in range(60):
+        words = [word() for _ in range(rng.randint(0, 15))]
+        for _ in range(rng.randint(0, 4)):
+            own = rng.choice(passages)
+            words += own[rng.randint(0, 2) : len(own) - rng.randint(0, 2)] + [word() for _ in range(rng.randint(0, 9))]
+        rows.append((10 + i, "".join(w + rng.choice((" ", "\n", "  ")) for w in words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    result = substrings.cut_repeats(docs, words=20, length=10**6).collect()
+    assert sorted(((r.doc_id, r.text) for r in result), key=str) == brute_words(rows, 20)
+    assert sum(dict(rows)[r.doc_id] != r.text for r in result if r.doc_id) > 20
+
+
+def test_passages_of_over_50_words_leave_the_pipeline(spark, tmp_path):
+    """Also of fewer than 400 bytes, joined to other words at both ends; benchmark passages are left to their own stage."""
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(4)) for _ in range(n))
+    passage, short, item = text(51), text(40), text(55)
+    assert len(passage) < 400
+    texts = [f"{text(60)} {edge}{passage}{edge} {text(60)}" for edge in "xyz"] + [f"{text(60)} {short} {text(60)}" for _ in range(3)]
+    texts += [f"{text(60)} {item} {text(60)}" for _ in range(3)] + ["z" * 900, "z" * 950]
+    rows = [(i, x, "en", "s", len(x)) for i, x in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    cut = corpus_pipeline.suffix_array_dedup(spark, docs, str(tmp_path))
+    found = {r.doc_id: r.text for r in cut.collect()}
+    words = passage.split()
+    for i in range(3):
+        assert found[i] == texts[i].replace(" ".join(words[1:-1]), "")
+    assert [found[i] for i in range(3, 9)] == texts[3:9]
+    assert found[9] == found[10] == ""
+    kept = corpus_pipeline.decontamination(spark, cut, str(tmp_path)).collect()
+    assert {r.doc_id for r in kept} == {0, 1, 2, 3, 4, 5, 9, 10}
+
+
 def test_empty_table(none):
     assert substrings.report(none).count() == 0
     assert substrings.cut_repeats(none).count() == 0
