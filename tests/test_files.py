@@ -1,6 +1,8 @@
 """Folder scan, parsers and page documents."""
 
 import io
+import re
+import tracemalloc
 import zipfile
 
 import pytest
@@ -111,6 +113,22 @@ def test_text(extracted):
     assert extracted["acme/broken.txt"]["full_text"] == "ok bytes\n"
 
 
+def test_paragraphs_of_a_large_text_are_no_copies():
+    content = b"Some words of a paragraph\n \t\n" * 100_000 + b"\n\n \n"
+    tracemalloc.start()
+    parsed = parsers.parse_text(content)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert parsed["paragraph_count"] == 100_000
+    assert peak < 1.2 * len(content)
+
+
+@pytest.mark.parametrize("text", ["", "\n", " \n\n\t", "a", "a\n\nb", "\n\na\n \n\n\nb \n", "a\n\x0b\nb\n\n\x0b", "a\n\n\n\nb\n\n "])
+def test_paragraph_count(text):
+    parts = re.split(r"\n[ \t]*\n", text)
+    assert parsers.parse_text(text.encode())["paragraph_count"] == sum(bool(part.strip(" \t\n")) for part in parts)
+
+
 def test_csv(extracted):
     row = extracted["acme/financials/q1.CSV"]
     assert (row["row_count"], row["col_count"], row["page_count"], row["has_tables"]) == (2, 3, 1, True)
