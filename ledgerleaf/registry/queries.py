@@ -1330,7 +1330,8 @@ def text_files(spark, sf_dir):
     lines = inputs.table(spark, sf_dir, "documents").select(
         F.col("source").alias("company"), F.translate("text", "\r\n", "  ").alias("value")
     )
-    lines.write.partitionBy("company").text(base)
+    # A company with much text has more files, not larger ones.
+    lines.write.option("maxRecordsPerFile", 5000).partitionBy("company").text(base)
     found = files.company_files(spark, base).filter(F.col("file_type") == ".txt")
     named = found.withColumns(
         {"document_id": F.col("path"), "folder": F.replace(F.col("company_folder"), F.lit("company="), F.lit(""))}
